@@ -96,3 +96,26 @@ def uniform(*parts, seed: int = 0) -> Column:
     """Hash-based uniform number in [0, 1): the same row gets the same number on any partitioning."""
     h = F.xxhash64(F.lit(seed), *[as_col(p) for p in parts])
     return F.pmod(h, F.lit(2**31)).cast("double") / F.lit(float(2**31))
+
+
+# Fixed values of the portable row hash.
+MIX_A, MIX_C, MIX_M, MIX_SHIFT = 1103515245, 12345, 2**31, 15
+
+
+def mixed_uniform(parts: Sequence[Column | str], seed: int = 0) -> Column:
+    """Uniform number in [0, 1) from integer ids: plain arithmetic, so other engines can repeat it."""
+    h: Column = F.lit(seed % MIX_M).cast("long")
+    for part in [*parts, F.lit(0)]:
+        mixed = (h.bitwiseXOR(F.pmod(as_col(part).cast("long"), F.lit(MIX_M).cast("long")))) * MIX_A + MIX_C
+        mixed = F.pmod(mixed, F.lit(MIX_M).cast("long"))
+        h = mixed.bitwiseXOR(F.shiftright(mixed, MIX_SHIFT))
+    return h.cast("double") / float(MIX_M)
+
+
+def mixed_uniform_sql(parts: Sequence[str], seed: int = 0) -> str:
+    """The same number as SQL text."""
+    h = f"{seed % MIX_M}::BIGINT"
+    for part in [*parts, "0"]:
+        mixed = f"((xor({h}, ((({part})::BIGINT % {MIX_M}) + {MIX_M}) % {MIX_M})) * {MIX_A} + {MIX_C}) % {MIX_M}"
+        h = f"xor({mixed}, ({mixed}) >> {MIX_SHIFT})"
+    return f"({h})::DOUBLE / {MIX_M}.0::DOUBLE"

@@ -109,10 +109,10 @@ def order_log(
     key: Sequence[str],
     order: Sequence[str],
     step: str = "step",
-    max_rows: int = MAX_ROWS,
+    max_rows: int | None = None,
 ) -> OrderedLog:
     """Attach ``step`` = 0-based position of the row inside its key under the total order ``order``."""
-    key = tuple(key)
+    key, max_rows = tuple(key), max_rows or MAX_ROWS
     if _key_peak(df, key) <= max_rows:
         w = Window.partitionBy(*key).orderBy(*order)
         return OrderedLog(df.withColumn(step, (F.row_number().over(w) - 1).cast("long")), key, step, None)
@@ -121,9 +121,9 @@ def order_log(
     return OrderedLog(counted.withColumn(step, F.col(step) - 1), key, step, max_rows)
 
 
-def assume_steps(df: DataFrame, key: Sequence[str], step: str = "step", max_rows: int = MAX_ROWS) -> OrderedLog:
+def assume_steps(df: DataFrame, key: Sequence[str], step: str = "step", max_rows: int | None = None) -> OrderedLog:
     """A log whose dense ``step`` was stored by an earlier job."""
-    key = tuple(key)
+    key, max_rows = tuple(key), max_rows or MAX_ROWS
     return OrderedLog(df, key, step, None if _key_peak(df, key) <= max_rows else max_rows)
 
 

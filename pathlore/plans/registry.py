@@ -23,13 +23,11 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from pathlore.plans import (  # noqa: F401
-        behaviours,
-        cleaning,
-        grids,
-        grouping,
-        normalising,
-        pairs,
-        players,
-        sequences,
-    )
+    import importlib
+    import pkgutil
+
+    import pathlore.plans as plans
+
+    for found in sorted(pkgutil.iter_modules(plans.__path__), key=lambda m: m.name):
+        if found.name != "registry":
+            importlib.import_module(f"pathlore.plans.{found.name}")

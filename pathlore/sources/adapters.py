@@ -15,7 +15,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def state_log(spark: SparkSession, sf_dir: str, *need: str, max_rows: int = core.MAX_ROWS) -> OrderedLog:
+def state_log(spark: SparkSession, sf_dir: str, *need: str, max_rows: int | None = None) -> OrderedLog:
     """``events`` as a state log. ``need`` names the order-dependent columns to add:
     time_elapsed, lives, score, powerPellets. Everything else is a plain expression and always there."""
     ev = table(spark, sf_dir, "events")
