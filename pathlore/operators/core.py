@@ -235,21 +235,24 @@ def flag_runs(
     keep_open: bool = True,
     carry: Sequence[str] = (),
     aggs: Mapping[str, Column] | None = None,
+    split_after: Column | None = None,
 ) -> DataFrame:
     """Maximal runs of rows where ``flag`` holds.
 
     One row per run: ``run`` (1, 2, ... over all runs of the key), ``start_step``, ``last_step`` (last
     flagged row), ``end_step`` (first row after the run, or the last row when still open), ``n_rows``,
     ``is_open``. For each name in ``carry``: ``start_<name>`` and ``end_<name>`` at those rows. ``aggs``
-    are extra aggregates over the flagged rows. ``keep_first`` keeps a run active on row 0.
+    are extra aggregates over the flagged rows. ``keep_first`` keeps a run active on row 0. A run also ends
+    with a row where ``split_after`` holds.
     """
     step = log.step
-    flagged = log.having(log.df.withColumn("_f", F.coalesce(flag, F.lit(False))))
+    split = F.lit(False) if split_after is None else F.coalesce(split_after, F.lit(False))
+    flagged = log.having(log.df.withColumns({"_f": F.coalesce(flag, F.lit(False)), "_x": split}))
     seen = near(
         flagged,
         1,
         lambda w: {
-            "_p": F.lag("_f").over(w),
+            "_p": F.lag(F.col("_f") & ~F.col("_x")).over(w),
             "_n": F.lead(step).over(w),
             **{f"_e_{c}": F.coalesce(F.lead(c).over(w), F.col(c)) for c in carry},
         },
