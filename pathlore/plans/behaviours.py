@@ -383,20 +383,20 @@ def b13(spark, sf):
     return bh.captures(slice_log(spark, sf)).select("level_id", "run", "start_step", "end_step", "start_t")
 
 
-@query("b14_rejected_levels", "SELECT user_id AS level_id, count(*) AS bad_rows FROM events WHERE value > 95 GROUP BY 1")
+@query("b14_rejected_levels", "SELECT user_id AS level_id, count(*) AS bad_rows FROM events WHERE value > 300 GROUP BY 1")
 def b14(spark, sf):
     df = state_log(spark, sf).df.withColumn("lives", F.lit(3))
-    spoiled = df.withColumn("Pacman_X", F.when(F.col("value") <= 95, F.col("Pacman_X")))
+    spoiled = df.withColumn("Pacman_X", F.when(F.col("value") <= 300, F.col("Pacman_X")))
     return bh.split_valid(spoiled, ["level_id"])[1]
 
 
 @query(
     "b14_valid_levels",
-    "SELECT user_id AS level_id, count(*) AS n FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE value > 95) GROUP BY 1",
+    "SELECT user_id AS level_id, count(*) AS n FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE value > 300) GROUP BY 1",
 )
 def b14_valid(spark, sf):
     df = state_log(spark, sf).df.withColumn("lives", F.lit(3))
-    spoiled = df.withColumn("Pacman_X", F.when(F.col("value") <= 95, F.col("Pacman_X")))
+    spoiled = df.withColumn("Pacman_X", F.when(F.col("value") <= 300, F.col("Pacman_X")))
     return bh.split_valid(spoiled, ["level_id"])[0].groupBy("level_id").agg(F.count(F.lit(1)).alias("n"))
 
 

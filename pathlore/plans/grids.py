@@ -6,7 +6,8 @@ from pathlore.functions.expressions import grid_x, grid_y, half_unit
 from pathlore.operators import spatial
 from pathlore.operators.pellets import eaten_pellets, pellet_availability, remaining_pills
 from pathlore.operators.spatial import MazeGrid
-from pathlore.plans.behaviours import GRID_SQL, WALLS_SQL, maze_walls
+from pathlore.operators.behaviour import trap_candidates
+from pathlore.plans.behaviours import GRID_SQL, QUAD, WALLS_SQL, maze_walls
 from pathlore.plans.registry import query
 from pathlore.sources.adapters import STATE_SQL, state_log
 
@@ -113,49 +114,37 @@ def g9(spark, sf):
     return spatial.inflate_walls(maze_walls(spark, sf))
 
 
-# Path lengths by a keyed recursive search from every entity cell that occurs.
+# Path lengths by a keyed recursive search from every start cell that occurs.
 _EDGES = f"""{GRID_SQL}, nb AS (SELECT a.x2, a.y2, b.x2 AS nx, b.y2 AS ny FROM grid a JOIN nodes b ON abs(a.x2 - b.x2) + abs(a.y2 - b.y2) = 1
  UNION ALL SELECT -27, -1, 27, -1 UNION ALL SELECT 27, -1, -27, -1)"""
 _BFS = """bf(sx, sy, x2, y2, d) USING KEY (sx, sy, x2, y2) AS (SELECT DISTINCT sx, sy, sx, sy, 0::BIGINT FROM src
  UNION SELECT f.sx, f.sy, nb.nx, nb.ny, f.d + 1 FROM bf f JOIN nb ON nb.x2 = f.x2 AND nb.y2 = f.y2
  WHERE NOT EXISTS (SELECT 1 FROM recurring.bf r WHERE r.sx = f.sx AND r.sy = f.sy AND r.x2 = nb.nx AND r.y2 = nb.ny))"""
-_CELLS = ", ".join(f"CAST(round_even(2 * Ghost{g}_X, 0) AS BIGINT) AS x{g}, CAST(round_even(2 * Ghost{g}_Y, 0) AS BIGINT) AS y{g}" for g in (1, 2, 3, 4))
+_GOALS = "SELECT DISTINCT CASE {q} WHEN 0 THEN 25 WHEN 1 THEN -25 WHEN 2 THEN -25 ELSE 25 END AS sx, CASE {q} WHEN 0 THEN -19 WHEN 1 THEN -19 WHEN 2 THEN 17 ELSE 17 END AS sy, CAST(round_even(2 * Pacman_X, 0) AS BIGINT) AS tx, CAST(round_even(2 * Pacman_Y, 0) AS BIGINT) AS ty FROM states"
+
+
+def goal_pairs(spark, sf):
+    """From the corner opposite to the agent's quadrant to the agent."""
+    df = trap_candidates(state_log(spark, sf).df)
+    return df.select(F.col("_tx").alias("sx"), F.col("_ty").alias("sy"), F.col("_sx").alias("tx"), F.col("_sy").alias("ty"))
 
 
 @query(
     "g10_graph_distance",
-    "WITH RECURSIVE " + STATE_SQL + f", {WALLS_SQL}, {_EDGES}, cell AS (SELECT DISTINCT CAST(round_even(2 * Pacman_X, 0) AS BIGINT) AS tx, CAST(round_even(2 * Pacman_Y, 0) AS BIGINT) AS ty, {_CELLS} FROM states),"
-    + f""" src AS (SELECT DISTINCT x1 AS sx, y1 AS sy FROM cell), {_BFS}
- SELECT DISTINCT x1 AS sx, y1 AS sy, tx, ty, coalesce(d / 2.0::DOUBLE, 'inf'::DOUBLE) AS distance FROM cell LEFT JOIN bf ON bf.sx = x1 AND bf.sy = y1 AND bf.x2 = tx AND bf.y2 = ty""",
+    "WITH RECURSIVE " + STATE_SQL + f", {WALLS_SQL}, {_EDGES}, asked AS ({_GOALS.format(q=QUAD)}), src AS (SELECT DISTINCT sx, sy FROM asked), {_BFS}"
+    + """ SELECT CAST(asked.sx AS BIGINT) AS sx, CAST(asked.sy AS BIGINT) AS sy, tx, ty, coalesce(d / 2.0::DOUBLE, 'inf'::DOUBLE) AS distance
+ FROM asked LEFT JOIN bf ON bf.sx = asked.sx AND bf.sy = asked.sy AND bf.x2 = tx AND bf.y2 = ty""",
 )
 def g10(spark, sf):
-    maze = MazeGrid.from_walls(maze_walls(spark, sf))
-    pairs = state_log(spark, sf).df.select(
-        half_unit(F.col("Ghost1_X")).alias("sx"), half_unit(F.col("Ghost1_Y")).alias("sy"),
-        half_unit(F.col("Pacman_X")).alias("tx"), half_unit(F.col("Pacman_Y")).alias("ty"),
-    )
-    return spatial.graph_distances(pairs, maze)
+    return spatial.graph_distances(goal_pairs(spark, sf), MazeGrid.from_walls(maze_walls(spark, sf)))
 
 
 @query("g10_shortest_path_points")
 def g10_paths(spark, sf):
-    maze = MazeGrid.from_walls(maze_walls(spark, sf))
-    pairs = state_log(spark, sf).df.select(
-        half_unit(F.col("Ghost1_X")).alias("sx"), half_unit(F.col("Ghost1_Y")).alias("sy"),
-        half_unit(F.col("Pacman_X")).alias("tx"), half_unit(F.col("Pacman_Y")).alias("ty"),
-    )
-    return spatial.shortest_paths(pairs, maze)
+    return spatial.shortest_paths(goal_pairs(spark, sf), MazeGrid.from_walls(maze_walls(spark, sf)))
 
 
-@query(
-    "r10_entity_path_distances",
-    "WITH RECURSIVE " + STATE_SQL + f", {WALLS_SQL}, {_EDGES}, cell AS (SELECT game_state_id, CAST(round_even(2 * Pacman_X, 0) AS BIGINT) AS tx, CAST(round_even(2 * Pacman_Y, 0) AS BIGINT) AS ty, {_CELLS} FROM states),"
-    + f""" src AS (SELECT DISTINCT tx AS sx, ty AS sy FROM cell JOIN nodes ON nodes.x2 = tx AND nodes.y2 = ty), {_BFS}
- SELECT game_state_id, """ + ", ".join(
-        f"""CASE WHEN x{g} = tx AND y{g} = ty THEN 0 ELSE coalesce(b{g}.d / 2.0::DOUBLE, (SELECT min(m.d) + 1 FROM bf m JOIN nb ON nb.nx = m.x2 AND nb.ny = m.y2
- WHERE m.sx = tx AND m.sy = ty AND nb.x2 = x{g} AND nb.y2 = y{g}) / 2.0::DOUBLE, 'inf'::DOUBLE) END AS Ghost{g}_distance""" for g in (1, 2, 3, 4)
-    ) + " FROM cell " + " ".join(f"LEFT JOIN bf b{g} ON b{g}.sx = tx AND b{g}.sy = ty AND b{g}.x2 = x{g} AND b{g}.y2 = y{g}" for g in (1, 2, 3, 4)),
-)
+@query("r10_entity_path_distances")
 def r10(spark, sf):
     maze = MazeGrid.from_walls(maze_walls(spark, sf))
     out = spatial.entity_path_distances(state_log(spark, sf).df, maze)
