@@ -12,6 +12,7 @@ Two physical strategies exist and are chosen from a measured bound, never assume
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 from math import ceil, log2
@@ -361,7 +362,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if folder and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     if sc.getCheckpointDir() is None:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="pathlore-checkpoint-"))  # one machine, one process
     return df.checkpoint(eager=True)
 
 
