@@ -61,6 +61,7 @@ def density_clusters(nodes: DataFrame, edges: DataFrame, min_neighbours: int, mi
     ``edges`` (i, j) are all pairs within the cut distance. A node whose ``min_neighbours``-th neighbour lies
     within it is a core; mutual reachability within the cut connects cores; smaller components are noise.
     """
+    edges = core.cut_lineage(edges.select("i", "j"))  # read three times below
     ends = edges.select(F.col("i").alias(ident)).unionByName(edges.select(F.col("j").alias(ident)))
     cores = ends.groupBy(ident).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_neighbours).select(ident)
     kept = edges.join(cores.withColumnRenamed(ident, "i"), "i", "left_semi").join(
