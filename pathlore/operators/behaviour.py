@@ -376,15 +376,17 @@ def close_calls(log: OrderedLog, p: CloseCalls = CloseCalls()) -> DataFrame:
     close = F.lit(False)
     for g in ENTITIES:
         close = close | (live_distance(g) < p.close_distance)
+    if w_rows < 1:
+        raise ValueError("the search window must be at least one row")
     seen = core.near(
-        log, max(w_rows, 1),
+        log, w_rows + 1,
         lambda w: {
             "_later": F.lead("lives", w_rows).over(w),
             "_in_reach": F.lead(step, w_rows).over(w).isNotNull(),  # step + window <= last
             "_inside": F.lead(step, w_rows + 1).over(w).isNotNull(),  # step + window < last
             "_dies": F.coalesce(F.lead("lives").over(w) < F.col("lives"), F.lit(False)),
         },
-    ) if w_rows else log.df
+    )
     clear = (F.col("pacman_attack") == 1) | ~close
     marked = seen.withColumns(
         {
@@ -396,7 +398,7 @@ def close_calls(log: OrderedLog, p: CloseCalls = CloseCalls()) -> DataFrame:
         }
     ).select(*log.key, step, "time_elapsed", "_start", "_release")
     ahead = core.running_steps(log.having(marked), {"_next": ("min", F.col("_release"))}, reverse=True)
-    from_window = core.near(log.having(ahead), max(w_rows, 1), lambda w: {"_end": F.lead("_next", w_rows).over(w)})
+    from_window = core.near(log.having(ahead), w_rows, lambda w: {"_end": F.lead("_next", w_rows).over(w)})
     finals = core.key_bounds(log, ["time_elapsed"])
     starts = from_window.where("_start").join(finals.select(*log.key, "final_step", "final_time_elapsed"), list(log.key))
     spans = starts.select(
