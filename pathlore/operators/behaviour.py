@@ -261,27 +261,33 @@ def chase_or_collect(log: OrderedLog, p: ChaseOrCollect = ChaseOrCollect()) -> D
 
 
 def trap_candidates(df: DataFrame, p: Trapped = Trapped()) -> DataFrame:
-    """Adds ``candidate`` (not attacking, at least two live entities near) and the search key of those rows:
-    cell ``_sx, _sy``, goal ``_tx, _ty`` and the near entities' cells ``_blocked`` (sorted, distinct)."""
+    """Adds ``candidate`` (not attacking, at least two live entities near) and ``trap_key``, what its search
+    depends on: cell sx, sy, goal tx, ty and the near entities' cells (sorted, distinct).
+
+    Other rows get a key that no search has, spread over many values so that they do not meet in one task.
+    """
     ax, ay = half_unit(F.col("Pacman_X")), half_unit(F.col("Pacman_Y"))
     cells = []
     for g in ENTITIES:
         gx, gy = half_unit(F.col(f"Ghost{g}_X")), half_unit(F.col(f"Ghost{g}_Y"))
         near = is_live(g) & ((F.abs(ax - gx) + F.abs(ay - gy)) <= 2 * p.distance_threshold)
         cells.append(F.when(near, F.struct(gx.alias("x2"), gy.alias("y2"))))
-    near_cells = F.filter(F.array(*cells), lambda c: c.isNotNull())
     q = quadrant_index()
 
     def goal(axis):
         return F.coalesce(*[F.when(q == i, int(2 * c[axis])) for i, c in OPPOSITE_CORNER.items()]).cast("long")
 
-    near_df = df.withColumn("_near", near_cells)
-    return near_df.withColumns(
-        {
-            "candidate": F.coalesce((F.col("pacman_attack") == 0) & (F.size("_near") >= 2), F.lit(False)),
-            "_sx": ax, "_sy": ay, "_tx": goal(0), "_ty": goal(1), "_blocked": F.array_sort(F.array_distinct("_near")),
-        }
-    ).drop("_near")
+    near_df = df.withColumn("_near", F.filter(F.array(*cells), lambda c: c.isNotNull()))
+    is_candidate = F.coalesce((F.col("pacman_attack") == 0) & (F.size("_near") >= 2), F.lit(False))
+    own = F.struct(
+        ax.alias("sx"), ay.alias("sy"), goal(0).alias("tx"), goal(1).alias("ty"), F.array_sort(F.array_distinct("_near")).alias("blocked")
+    )
+    none = F.struct(
+        F.pmod(F.xxhash64("Pacman_X", "Pacman_Y", "Ghost1_X", "Ghost2_X", "Ghost3_X", "Ghost4_X"), F.lit(4096)).alias("sx"),
+        *[F.lit(None).cast("long").alias(c) for c in ("sy", "tx", "ty")],
+        F.lit(None).cast("array<struct<x2:bigint,y2:bigint>>").alias("blocked"),
+    )
+    return near_df.withColumn("candidate", is_candidate).withColumn("trap_key", F.when(F.col("candidate"), own).otherwise(none)).drop("_near")
 
 
 def trapped_flag(log: OrderedLog, maze: MazeGrid, p: Trapped = Trapped()) -> OrderedLog:
@@ -290,14 +296,13 @@ def trapped_flag(log: OrderedLog, maze: MazeGrid, p: Trapped = Trapped()) -> Ord
     The search runs once per distinct key of the candidate rows; other rows never reach Python.
     """
     df = trap_candidates(log.df, p)
-    key = ["_sx", "_sy", "_tx", "_ty", "_blocked"]
-    asked = df.where("candidate").select(*[F.col(c).alias(c[1:]) for c in key])
-    answer = reachability(asked, maze).select(*[F.col(c[1:]).alias(c) for c in key], "reachable")
-    # Non-candidate rows get a NULL key: they match nothing and spread over the join.
-    keyed = df.withColumn("_sx", F.when(F.col("candidate"), F.col("_sx")))
-    joined = keyed.join(answer, key, "left")
+    # The flag is tested after the combine: a filter on it below would be copied into every column it uses.
+    asked = df.groupBy("trap_key").agg(F.max("candidate").alias("c")).where("c").select("trap_key.*")
+    answer = reachability(asked, maze)
+    packed = answer.select(F.struct("sx", "sy", "tx", "ty", "blocked").alias("trap_key"), "reachable")
+    joined = df.join(packed, "trap_key", "left")
     return log.having(
-        joined.withColumn("trapped", F.col("candidate") & ~F.coalesce("reachable", F.lit(True))).drop(*key, "candidate", "reachable")
+        joined.withColumn("trapped", F.col("candidate") & ~F.coalesce("reachable", F.lit(True))).drop("trap_key", "candidate", "reachable")
     )
 
 

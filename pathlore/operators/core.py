@@ -355,6 +355,17 @@ def point_events(log: OrderedLog, lagged: Sequence[str], events: Mapping[str, Co
     return seen.withColumn("entity", F.explode(hits)).drop(*[f"prev_{c}" for c in lagged])
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by keys into several tasks per core, for stages whose work is in Python.
+
+    Their shuffles are small in bytes but long in time, so partitions must not be merged by size; an explicit
+    partition number keeps them apart.
+    """
+    spark = df.sparkSession
+    wanted = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(wanted, *keys)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the session names; iterative operators call it between rounds."""
     sc = df.sparkSession.sparkContext

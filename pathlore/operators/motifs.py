@@ -83,7 +83,7 @@ def matrix_profile(log: OrderedLog, column: str, m: int, block: int = 2048) -> D
         return out
 
     kinds = ", ".join(f"{k} {log.df.schema[k].dataType.simpleString()}" for k in key)
-    part = copies.groupBy(*key, "lb", "rb").applyInPandas(compare, f"{kinds}, start long, neighbour long, d double")
+    part = core.spread(copies, *key, "lb", "rb").groupBy(*key, "lb", "rb").applyInPandas(compare, f"{kinds}, start long, neighbour long, d double")
     return part.groupBy(*key, "start").agg(F.min(F.struct("d", "neighbour")).alias("b")).select(*key, "start", "b.neighbour", "b.d")
 
 

@@ -93,7 +93,7 @@ def eaten_pellets(log: OrderedLog, pellets: DataFrame, px: str = "px", py: str =
 
     rows = relevant_rows(log, points, x, y, counter)
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in key)
-    return rows.groupBy(*key).applyInPandas(fold, f"{kinds}, step long, pellet long, px double, py double")
+    return core.spread(rows, *key).groupBy(*key).applyInPandas(fold, f"{kinds}, step long, pellet long, px double, py double")
 
 
 def pellet_availability(log: OrderedLog, pellets: DataFrame, eaten: DataFrame, px: str = "px", py: str = "py") -> DataFrame:

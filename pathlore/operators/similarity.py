@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from pathlore.operators import core
 
-BLOCK_ROWS = 512
+BLOCK_ROWS = 256
 PAIRS_AT_ONCE = 4096
 
 
@@ -171,15 +171,13 @@ def find_measure(measure: str | Measure | Kernel, band: int | None = None) -> Me
 # ---- blocks of pairs ----------------------------------------------------------------------------------
 
 
-def _tasks(items: DataFrame, ident: str, value: str, cell: Column, block_rows: int, neighbours: bool,
-           group: Iterable[str] = ()) -> DataFrame:
+def _tasks(placed: DataFrame, block_rows: int, neighbours: bool, group: Iterable[str] = ()) -> DataFrame:
     """Copies of the items keyed by task: (group, cell, shift, lb, rb, side).
 
     Shift 0 pairs a cell's blocks among themselves, shift 1 with the blocks of the next cell. The number of
     blocks follows the cell's measured size.
     """
     group = list(group)
-    placed = items.select(*group, F.col(ident).alias("id"), F.col(value).alias("v"), cell.alias("cell"))
     spot = [*group, "cell"]
     sizes = placed.groupBy(*spot).agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("long").alias("nb"))
     # A salted id spreads evenly over the blocks, whatever the ids look like.
@@ -203,10 +201,15 @@ def _tasks(items: DataFrame, ident: str, value: str, cell: Column, block_rows: i
     return same.unionByName(as_left).unionByName(as_right)
 
 
+def flat(c: Column | str) -> Column:
+    """Points as x1, y1, x2, y2, ...: plain doubles cross to Python without a dict per point."""
+    return F.flatten(F.transform(c, lambda p: F.array(p["x"].cast("double"), p["y"].cast("double"))))
+
+
 def _decode(values, vector: bool) -> list:
     if vector:
         return [np.asarray(v, dtype=float) for v in values]
-    return [np.array([(p["x"], p["y"]) for p in v], dtype=float).reshape(-1, 2) for v in values]
+    return [np.asarray(v, dtype=float).reshape(-1, 2) for v in values]
 
 
 def _pairs_of(pdf: pd.DataFrame, m: Measure):
@@ -227,11 +230,11 @@ def _pairs_of(pdf: pd.DataFrame, m: Measure):
 
 def _run(items, measure, eps, ident, value, block_rows, shape: Callable, schema: str, band=None, group=()):
     m = find_measure(measure, band)
-    wide = value
-    items = items.select(*group, ident, F.transform(wide, lambda x: x.cast("double")).alias(wide)) if m.vector else items
-    bounded = eps is not None and m.key is not None
-    cell = F.floor(m.key(F.col(wide)) / F.lit(float(eps))).cast("long") if bounded and eps > 0 else F.lit(0).cast("long")
-    tasks = _tasks(items, ident, wide, cell, block_rows or BLOCK_ROWS, bounded and eps > 0, group)
+    bounded = eps is not None and m.key is not None and eps > 0
+    cell = F.floor(m.key(F.col(value)) / F.lit(float(eps))).cast("long") if bounded else F.lit(0).cast("long")
+    plain = F.transform(value, lambda x: x.cast("double")) if m.vector else flat(value)
+    placed = items.select(*group, F.col(ident).alias("id"), plain.alias("v"), cell.alias("cell"))
+    tasks = _tasks(placed, block_rows or BLOCK_ROWS, bounded, group)
     keys = [*group, "cell", "shift", "lb", "rb"]
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -243,7 +246,7 @@ def _run(items, measure, eps, ident, value, block_rows, shape: Callable, schema:
         return out
 
     kinds = "".join(f"{g} {items.schema[g].dataType.simpleString()}, " for g in group)
-    return tasks.groupBy(*keys).applyInPandas(work, kinds + schema)
+    return core.spread(tasks, *keys).groupBy(*keys).applyInPandas(work, kinds + schema)
 
 
 def pairs_within(items: DataFrame, measure="euclidean", eps: float | None = None, *, ident: str = "traj_id",
@@ -346,7 +349,7 @@ def alignment_paths(pairs: DataFrame, a: str = "points_a", b: str = "points_b",
                     d=[cost[len(pa[k]), len(pb[k]), k] for k in range(len(part))],
                 )
 
-    return pairs.select(*keep, a, b).mapInPandas(work, f"{kinds}, path array<struct<i:bigint,j:bigint>>, d double")
+    return core.spread(pairs.select(*keep, flat(a).alias(a), flat(b).alias(b)), *keep).mapInPandas(work, f"{kinds}, path array<struct<i:bigint,j:bigint>>, d double")
 
 
 def with_points(edges: DataFrame, items: DataFrame, ident: str = "traj_id", value: str = "points") -> DataFrame:

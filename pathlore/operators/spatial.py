@@ -247,13 +247,13 @@ def graph_distances(pairs: DataFrame, maze: MazeGrid) -> DataFrame:
                 out["distance"] = np.where(out.steps < 0, np.inf, out.steps / 2.0)
                 yield out[["sx", "sy", "tx", "ty", "distance"]]
 
-    return per_start.mapInPandas(search, "sx long, sy long, tx long, ty long, distance double")
+    return core.spread(per_start, "sx", "sy").mapInPandas(search, "sx long, sy long, tx long, ty long, distance double")
 
 
 def all_pairs_distances(maze: MazeGrid, spark) -> DataFrame:
     """The whole table for one maze: rows (sx, sy, tx, ty, distance) for reachable walkable points."""
     rows, cols = np.nonzero(maze.free)
-    nodes = spark.createDataFrame(pd.DataFrame({"sx": cols + maze.x0, "sy": rows + maze.y0})).repartition("sx", "sy")
+    nodes = core.spread(spark.createDataFrame(pd.DataFrame({"sx": cols + maze.x0, "sy": rows + maze.y0})), "sx", "sy")
 
     def search(batches):
         for pdf in batches:
@@ -293,7 +293,7 @@ def shortest_paths(pairs: DataFrame, maze: MazeGrid) -> DataFrame:
                         x, y = next((p for p in around if left >= 0 and maze.lookup(dist, i, *p) == left), (x, y))
                 yield pd.DataFrame(rows, columns=["sx", "sy", "tx", "ty", "pos", "x2", "y2"])
 
-    return asked.mapInPandas(walk, "sx long, sy long, tx long, ty long, pos long, x2 long, y2 long")
+    return core.spread(asked, "sx", "sy", "tx", "ty").mapInPandas(walk, "sx long, sy long, tx long, ty long, pos long, x2 long, y2 long")
 
 
 def reachability(keys: DataFrame, maze: MazeGrid) -> DataFrame:
@@ -312,7 +312,7 @@ def reachability(keys: DataFrame, maze: MazeGrid) -> DataFrame:
                 ]
                 yield part.assign(reachable=found)
 
-    return asked.mapInPandas(
+    return core.spread(asked, "sx", "sy", "blocked").mapInPandas(
         search, "sx long, sy long, tx long, ty long, blocked array<struct<x2:bigint,y2:bigint>>, reachable boolean"
     )
 

@@ -9,7 +9,7 @@ from pathlore.operators.core import OrderedLog
 from pathlore.operators.spatial import MazeGrid
 from pathlore.plans.registry import query
 from pathlore.plans.sequences import runs_sql
-from pathlore.sources.adapters import STATE_SQL, state_log, table
+from pathlore.sources.adapters import STATE_SQL, event_k, state_log, table
 
 ST = f"WITH {STATE_SQL} "
 G4 = (1, 2, 3, 4)
@@ -40,7 +40,7 @@ def detectors_log(spark, sf):
 def maze_walls(spark, sf):
     """About a ninth of the grid tiles act as walls, chosen by the ids of the events on the tile."""
     tile = table(spark, sf, "events").select(
-        ((F.get_json_object("props", "$.k").cast("long") % 28) - 14).alias("x"), ((F.col("event_id") % 31) - 16).alias("y"), "event_id"
+        ((event_k() % 28) - 14).alias("x"), ((F.col("event_id") % 31) - 16).alias("y"), "event_id"
     )
     return tile.groupBy("x", "y").agg((F.sum("event_id") % 9).alias("m")).where("m = 0").select("x", "y")
 

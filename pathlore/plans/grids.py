@@ -2,14 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from pathlore.functions.expressions import grid_x, grid_y, half_unit
+from pathlore.functions.expressions import grid_x, grid_y, half_unit, quadrant_index
 from pathlore.operators import spatial
 from pathlore.operators.pellets import eaten_pellets, pellet_availability, remaining_pills
 from pathlore.operators.spatial import MazeGrid
-from pathlore.operators.behaviour import trap_candidates
+from pathlore.operators.behaviour import OPPOSITE_CORNER
 from pathlore.plans.behaviours import GRID_SQL, QUAD, WALLS_SQL, maze_walls
 from pathlore.plans.registry import query
-from pathlore.sources.adapters import STATE_SQL, state_log
+from pathlore.sources.adapters import STATE_SQL, event_k, state_log
 
 ST = f"WITH {STATE_SQL} "
 
@@ -125,8 +125,12 @@ _GOALS = "SELECT DISTINCT CASE {q} WHEN 0 THEN 25 WHEN 1 THEN -25 WHEN 2 THEN -2
 
 def goal_pairs(spark, sf):
     """From the corner opposite to the agent's quadrant to the agent."""
-    df = trap_candidates(state_log(spark, sf).df)
-    return df.select(F.col("_tx").alias("sx"), F.col("_ty").alias("sy"), F.col("_sx").alias("tx"), F.col("_sy").alias("ty"))
+    df = state_log(spark, sf).df
+    q = quadrant_index()
+    corner = [F.coalesce(*[F.when(q == i, int(2 * c[axis])) for i, c in OPPOSITE_CORNER.items()]).cast("long") for axis in (0, 1)]
+    return df.select(
+        corner[0].alias("sx"), corner[1].alias("sy"), half_unit(F.col("Pacman_X")).alias("tx"), half_unit(F.col("Pacman_Y")).alias("ty")
+    )
 
 
 @query(
@@ -178,7 +182,7 @@ def g13(spark, sf):
 def pellet_grid(spark, sf):
     """Pellet points: the grid tiles whose events' ids sum to 1 or 2 modulo 5."""
     ev = spark.read.parquet(f"{sf}/events.parquet")
-    k = F.get_json_object("props", "$.k").cast("long")
+    k = event_k()
     tile = ev.select(((k % 28) - 13.5).alias("px"), ((F.col("event_id") % 31) - 16.5).alias("py"), "event_id")
     return tile.groupBy("px", "py").agg((F.sum("event_id") % 5).alias("m")).where("m in (1, 2)").select("px", "py")
 
