@@ -42,30 +42,38 @@ def manhattan(x1, y1, x2, y2) -> Column:
     return F.abs(as_col(x1) - as_col(x2)) + F.abs(as_col(y1) - as_col(y2))
 
 
-def inside_house(x: Column, y: Column) -> Column:
-    """Strictly inside the house box."""
-    return (x > HOUSE_X[0]) & (x < HOUSE_X[1]) & (y > HOUSE_Y[0]) & (y < HOUSE_Y[1])
+# Per-entity rules are SQL text: one expression parsed at once instead of dozens of column calls.
 
 
-def is_live(g: int) -> Column:
+def inside_house_sql(g: int) -> str:
+    """Entity g strictly inside the house box."""
+    (x0, x1), (y0, y1) = HOUSE_X, HOUSE_Y
+    return f"(Ghost{g}_X > {x0}D AND Ghost{g}_X < {x1}D AND Ghost{g}_Y > {y0}D AND Ghost{g}_Y < {y1}D)"
+
+
+def is_live_sql(g: int) -> str:
     """Entity g is neither dead / returning nor inside the house."""
-    return ~F.col(f"ghost{g}_state").isin(*DEAD_STATES) & ~inside_house(F.col(f"Ghost{g}_X"), F.col(f"Ghost{g}_Y"))
+    return f"(ghost{g}_state NOT IN {DEAD_STATES} AND NOT {inside_house_sql(g)})"
+
+
+def entity_distance_sql(g: int) -> str:
+    return f"(abs(Pacman_X - Ghost{g}_X) + abs(Pacman_Y - Ghost{g}_Y))"
+
+
+def is_live(g: int) -> Column:
+    return F.expr(is_live_sql(g))
 
 
-def live_distance(g: int, x="Pacman_X", y="Pacman_Y") -> Column:
+def live_distance(g: int) -> Column:
     """Manhattan distance to entity g, infinity unless it is live."""
-    return F.when(is_live(g), manhattan(x, y, f"Ghost{g}_X", f"Ghost{g}_Y")).otherwise(F.lit(INF))
+    return F.expr(f"CASE WHEN {is_live_sql(g)} THEN {entity_distance_sql(g)} ELSE double('Infinity') END")
 
 
-def quadrant_index(x="Pacman_X", y="Pacman_Y") -> Column:
+def quadrant_index(x: str = "Pacman_X", y: str = "Pacman_Y") -> Column:
     """0 top-left, 1 top-right, 2 bottom-right, 3 bottom-left; NULL where no rule applies."""
-    x, y = as_col(x), as_col(y)
-    usable = ~F.isnan(x) & ~F.isnan(y)
-    return (
-        F.when(usable & (x < 0) & (y > 0), 0)
-        .when(usable & (x >= 0) & (y >= 0), 1)
-        .when(usable & (x > 0) & (y < 0), 2)
-        .when(usable & (x <= 0) & (y <= 0), 3)
+    return F.expr(
+        f"""CASE WHEN isnan({x}) OR isnan({y}) THEN NULL WHEN {x} < 0 AND {y} > 0 THEN 0 WHEN {x} >= 0 AND {y} >= 0 THEN 1
+        WHEN {x} > 0 AND {y} < 0 THEN 2 WHEN {x} <= 0 AND {y} <= 0 THEN 3 END"""
     )
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pathlore.functions.expressions import (
-    ENTITIES, HOUSE_CENTRE, INF, half_unit, is_live, live_distance, manhattan, quadrant_index,
+    ENTITIES, HOUSE_CENTRE, INF, entity_distance_sql, is_live_sql, live_distance, quadrant_index,
 )
 from pathlore.operators import core, slicing
 from pathlore.operators.core import OrderedLog
@@ -114,16 +114,14 @@ def near_house(p: HuntNearHouse) -> tuple[Column, Column]:
     """(agent near the house, any live entity near the house)."""
     if p.closeness == "House perimeter":
         (x0, x1), (y0, y1) = p.x_boundaries, p.y_boundaries
-        near = lambda x, y: F.col(x).between(x0, x1) & F.col(y).between(y0, y1)
+        near = lambda who: f"({who}_X BETWEEN {x0} AND {x1} AND {who}_Y BETWEEN {y0} AND {y1})"
     elif p.closeness == "Distance to house":
         hx, hy = HOUSE_CENTRE
-        near = lambda x, y: manhattan(x, y, F.lit(hx), F.lit(hy)) <= p.boundary_distance
+        near = lambda who: f"(abs({who}_X - ({hx}D)) + abs({who}_Y - ({hy}D)) <= {p.boundary_distance})"
     else:
         raise ValueError(f"unknown closeness {p.closeness!r}")
-    any_entity = F.lit(False)
-    for g in ENTITIES:
-        any_entity = any_entity | (is_live(g) & near(f"Ghost{g}_X", f"Ghost{g}_Y"))
-    return near("Pacman_X", "Pacman_Y"), any_entity
+    any_entity = " OR ".join(f"({is_live_sql(g)} AND {near(f'Ghost{g}')})" for g in ENTITIES)
+    return F.expr(near("Pacman")), F.expr(any_entity)
 
 
 def hunt_near_house(log: OrderedLog, p: HuntNearHouse = HuntNearHouse()) -> DataFrame:
@@ -266,28 +264,24 @@ def trap_candidates(df: DataFrame, p: Trapped = Trapped()) -> DataFrame:
 
     Other rows get a key that no search has, spread over many values so that they do not meet in one task.
     """
-    ax, ay = half_unit(F.col("Pacman_X")), half_unit(F.col("Pacman_Y"))
-    cells = []
+    cell = lambda who: (f"bigint(rint({who}_X * 2))", f"bigint(rint({who}_Y * 2))")
+    (ax, ay), cells = cell("Pacman"), []
     for g in ENTITIES:
-        gx, gy = half_unit(F.col(f"Ghost{g}_X")), half_unit(F.col(f"Ghost{g}_Y"))
-        near = is_live(g) & ((F.abs(ax - gx) + F.abs(ay - gy)) <= 2 * p.distance_threshold)
-        cells.append(F.when(near, F.struct(gx.alias("x2"), gy.alias("y2"))))
-    q = quadrant_index()
-
-    def goal(axis):
-        return F.coalesce(*[F.when(q == i, int(2 * c[axis])) for i, c in OPPOSITE_CORNER.items()]).cast("long")
-
-    near_df = df.withColumn("_near", F.filter(F.array(*cells), lambda c: c.isNotNull()))
-    is_candidate = F.coalesce((F.col("pacman_attack") == 0) & (F.size("_near") >= 2), F.lit(False))
-    own = F.struct(
-        ax.alias("sx"), ay.alias("sy"), goal(0).alias("tx"), goal(1).alias("ty"), F.array_sort(F.array_distinct("_near")).alias("blocked")
-    )
-    none = F.struct(
-        F.pmod(F.xxhash64("Pacman_X", "Pacman_Y", "Ghost1_X", "Ghost2_X", "Ghost3_X", "Ghost4_X"), F.lit(4096)).alias("sx"),
-        *[F.lit(None).cast("long").alias(c) for c in ("sy", "tx", "ty")],
-        F.lit(None).cast("array<struct<x2:bigint,y2:bigint>>").alias("blocked"),
+        gx, gy = cell(f"Ghost{g}")
+        near = f"{is_live_sql(g)} AND abs({ax} - {gx}) + abs({ay} - {gy}) <= {2 * p.distance_threshold}"
+        cells.append(f"CASE WHEN {near} THEN named_struct('x2', {gx}, 'y2', {gy}) END")
+    goals = [" ".join(f"WHEN {i} THEN {int(2 * c[axis])}L" for i, c in OPPOSITE_CORNER.items()) for axis in (0, 1)]
+    near_df = df.withColumns({"_near": F.expr(f"filter(array({', '.join(cells)}), c -> c IS NOT NULL)"), "_q": quadrant_index()})
+    own = f"""named_struct('sx', {ax}, 'sy', {ay}, 'tx', CASE _q {goals[0]} END, 'ty', CASE _q {goals[1]} END,
+        'blocked', array_sort(array_distinct(_near)))"""
+    spot = "Pacman_X, Pacman_Y, Ghost1_X, Ghost2_X, Ghost3_X, Ghost4_X"
+    none = f"""named_struct('sx', pmod(xxhash64({spot}), 4096L), 'sy', bigint(NULL), 'tx', bigint(NULL), 'ty', bigint(NULL),
+        'blocked', cast(NULL AS array<struct<x2:bigint,y2:bigint>>))"""
+    return (
+        near_df.withColumn("candidate", F.expr("coalesce(pacman_attack = 0 AND size(_near) >= 2, false)"))
+        .withColumn("trap_key", F.expr(f"CASE WHEN candidate THEN {own} ELSE {none} END"))
+        .drop("_near", "_q")
     )
-    return near_df.withColumn("candidate", is_candidate).withColumn("trap_key", F.when(F.col("candidate"), own).otherwise(none)).drop("_near")
 
 
 def trapped_flag(log: OrderedLog, maze: MazeGrid, p: Trapped = Trapped()) -> OrderedLog:
@@ -348,18 +342,13 @@ def trapped_by_entities(log: OrderedLog, maze: MazeGrid, p: Trapped = Trapped())
 
 def row_distance(p: MeanDistance = MeanDistance()) -> Column:
     """Per row: distance of the agent to the live entities, NULL when none is live."""
-    n = F.lit(0)
-    sx = sy = sd = F.lit(0.0)
-    for g in ENTITIES:
-        live = is_live(g)
-        n = n + F.when(live, 1).otherwise(0)
-        sx = sx + F.when(live, F.col(f"Ghost{g}_X")).otherwise(0.0)
-        sy = sy + F.when(live, F.col(f"Ghost{g}_Y")).otherwise(0.0)
-        sd = sd + F.when(live, manhattan("Pacman_X", "Pacman_Y", f"Ghost{g}_X", f"Ghost{g}_Y")).otherwise(0.0)
+    add = lambda what: " + ".join(f"CASE WHEN {is_live_sql(g)} THEN {what(g)} ELSE 0 END" for g in ENTITIES)
+    n = add(lambda g: "1")
     if p.method == "centroid":
-        return F.when(n > 0, F.abs(F.col("Pacman_X") - sx / n) + F.abs(F.col("Pacman_Y") - sy / n))
+        x, y = add(lambda g: f"Ghost{g}_X"), add(lambda g: f"Ghost{g}_Y")
+        return F.expr(f"CASE WHEN {n} > 0 THEN abs(Pacman_X - ({x}) / ({n})) + abs(Pacman_Y - ({y}) / ({n})) END")
     if p.method == "average":
-        return F.when(n > 0, sd / n)
+        return F.expr(f"CASE WHEN {n} > 0 THEN ({add(entity_distance_sql)}) / ({n}) END")
     raise ValueError(f"unknown distance method {p.method!r}")
 
 
@@ -378,9 +367,7 @@ def close_calls(log: OrderedLog, p: CloseCalls = CloseCalls()) -> DataFrame:
     death while still close discards it; the last row ends it. The next one starts after that.
     """
     w_rows, step = p.search_window, log.step
-    close = F.lit(False)
-    for g in ENTITIES:
-        close = close | (live_distance(g) < p.close_distance)
+    close = F.expr(" OR ".join(f"({is_live_sql(g)} AND {entity_distance_sql(g)} < {p.close_distance})" for g in ENTITIES))
     if w_rows < 1:
         raise ValueError("the search window must be at least one row")
     seen = core.near(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pathlore.functions.expressions import ENTITIES, inside_house
+from pathlore.functions.expressions import ENTITIES, inside_house_sql
 from pathlore.operators import core
 from pathlore.operators.core import OrderedLog
 
@@ -99,14 +99,12 @@ def repair_attack_prefix(df: DataFrame, n: int = 350, step: str = "step") -> Dat
 
 def repair_house_prefix(df: DataFrame, n: int = 350, step: str = "step", entities: Sequence[int] = ENTITIES) -> DataFrame:
     """In the same rows an entity inside the house cannot be 'eaten' (4); it is at home (0)."""
-    early = (F.col(step) < n) & (F.col("powerPellets") == FULL_PILLS)
+    early = f"{step} < {n} AND powerPellets = {FULL_PILLS}"
     return df.withColumns(
         {
-            f"ghost{g}_state": F.when(
-                early & (F.col(f"ghost{g}_state") == 4) & inside_house(F.col(f"Ghost{g}_X"), F.col(f"Ghost{g}_Y")), 0
+            f"ghost{g}_state": F.expr(
+                f"int(CASE WHEN {early} AND ghost{g}_state = 4 AND {inside_house_sql(g)} THEN 0 ELSE ghost{g}_state END)"
             )
-            .otherwise(F.col(f"ghost{g}_state"))
-            .cast("int")
             for g in entities
         }
     )

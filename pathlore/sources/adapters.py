@@ -23,35 +23,30 @@ def event_k():
 def state_log(spark: SparkSession, sf_dir: str, *need: str, max_rows: int | None = None) -> OrderedLog:
     """``events`` as a state log. ``need`` names the order-dependent columns to add:
     time_elapsed, lives, score, powerPellets. Everything else is a plain expression and always there."""
-    ev = table(spark, sf_dir, "events")
-    base = ev.select(
-        F.col("user_id").alias("level_id"),
-        "user_id",
-        F.col("event_id").alias("game_state_id"),
-        "ts",
-        "event_type",
-        "value",
-        "props",
-        event_k().alias("k"),
+    base = table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("level_id"), "user_id", F.col("event_id").alias("game_state_id"), "ts", "event_type",
+        "value", "props", event_k().alias("k"),
     )
     log = core.order_log(base, ["level_id"], ["ts", "game_state_id"], max_rows=max_rows)
-    k, e = F.col("k"), F.col("game_state_id")
-    cols = {
-        "pacman_attack": F.col("event_type").isin("click", "view").cast("int"),
-        "Pacman_X": (k % 28) - 13.5,
-        "Pacman_Y": (e % 31) - 16.5,
-        "pellets": 244 - F.col("step"),
-        "direction": F.when(F.lit(False), F.lit("")),
-    }
-    word = None
-    for kind, name in _DIRECTION.items():
-        word = (F if word is None else word).when(F.col("event_type") == kind, name)
-    cols["direction"] = word
-    for g in (1, 2, 3, 4):
-        cols[f"Ghost{g}_X"] = ((k * g + e) % 55) / 2 - 13.5
-        cols[f"Ghost{g}_Y"] = ((e * g + k) % 61) / 2 - 16.5
-        cols[f"ghost{g}_state"] = ((e * g + k) % 5).cast("int")
-    log = log.having(log.df.withColumns(cols))
+    words = " ".join(f"WHEN '{kind}' THEN '{word}'" for kind, word in _DIRECTION.items())
+    e = "game_state_id"
+    log = log.having(log.df.selectExpr(
+        "*",
+        "int(event_type IN ('click', 'view')) AS pacman_attack",
+        "(k % 28) - 13.5D AS Pacman_X",
+        f"({e} % 31) - 16.5D AS Pacman_Y",
+        "244 - step AS pellets",
+        f"CASE event_type {words} END AS direction",
+        *[
+            column
+            for g in (1, 2, 3, 4)
+            for column in (
+                f"((k * {g} + {e}) % 55) / 2D - 13.5D AS Ghost{g}_X",
+                f"(({e} * {g} + k) % 61) / 2D - 16.5D AS Ghost{g}_Y",
+                f"int(({e} * {g} + k) % 5) AS ghost{g}_state",
+            )
+        ],
+    ))
     totals = {}
     if "time_elapsed" in need:
         totals["_t0"] = F.min("ts")
