@@ -5,6 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from pathlore.functions.expressions import mixed_uniform_sql
+from pathlore.operators import analysis
 from pathlore.operators import behaviour as bh
 from pathlore.operators import clustering as cl
 from pathlore.operators import core, embeddings, masks, validation
@@ -304,3 +305,21 @@ def e4_user(spark, sf):
 
     out = embeddings.embed(table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("flat")), "flat", encoder)
     return out.select("vec_id", (F.round(F.col("embedding")[0], 6) + 0.0).alias("m"), F.col("embedding")[1].alias("top"))
+
+
+# ---- the composed analysis ----------------------------------------------------------------------------
+
+
+@query("pattern_analysis_labels")
+def pattern_labels(spark, sf):
+    found = analysis.fit_geometric(detectors_log(spark, sf), "pacman_attack", "dtw", eps=25.0, min_neighbours=2, min_size=3)
+    return found.labels
+
+
+@query("pattern_analysis_measures")
+def pattern_measures(spark, sf):
+    found = analysis.fit_geometric(
+        detectors_log(spark, sf), "pacman_attack", "dtw", eps=25.0, min_neighbours=2, min_size=3, context=4,
+        validate_with=["Aggression1", "Aggression3"],
+    )
+    return found.measures
