@@ -317,24 +317,54 @@ def reachability(keys: DataFrame, maze: MazeGrid) -> DataFrame:
     )
 
 
+def distance_fields(targets: DataFrame, maze: MazeGrid) -> DataFrame:
+    """(tx, ty, field): path length in half units from every point of the bounds to the target, -1 without a path.
+
+    One search per distinct target. The way into a wall is closed, the way out of it is open: a start inside
+    a wall is one step farther than its nearest open neighbour.
+    """
+    asked = targets.select("tx", "ty").distinct()
+    h, w = maze.free.shape
+
+    def search(batches):
+        far = np.iinfo(np.int32).max
+        for pdf in batches:
+            for at in range(0, len(pdf), _BATCH):
+                part = pdf.iloc[at : at + _BATCH].to_numpy()
+                n, r, c = len(part), part[:, 1] - maze.y0, part[:, 0] - maze.x0
+                i = np.nonzero((r >= 0) & (r < h) & (c >= 0) & (c < w))[0]
+                dist = maze.flood(part)
+                reach = np.where((dist < 0) | ~maze.free, far, dist)
+                walled = i[~maze.free[r[i], c[i]]]
+                reach[walled] = far  # a target inside a wall is reached from nowhere
+                around = np.full((n, h + 2, w + 2), far, dtype=np.int32)
+                around[:, 1:-1, 1:-1] = reach
+                best = np.minimum.reduce([around[:, :-2, 1:-1], around[:, 2:, 1:-1], around[:, 1:-1, :-2], around[:, 1:-1, 2:]])
+                for ax, ay, bx, by in maze.links:
+                    best[:, ay - maze.y0, ax - maze.x0] = np.minimum(best[:, ay - maze.y0, ax - maze.x0], reach[:, by - maze.y0, bx - maze.x0])
+                field = np.where(reach < far, reach, np.where(~maze.free & (best < far), best + 1, -1))
+                field[i, r[i], c[i]] = 0
+                yield pd.DataFrame({"tx": part[:, 0], "ty": part[:, 1], "field": list(field.reshape(n, -1).astype(np.int32))})
+
+    return core.spread(asked, "tx", "ty").mapInPandas(search, "tx long, ty long, field array<int>")
+
+
 def entity_path_distances(df: DataFrame, maze: MazeGrid, entities: Sequence[int] = (1, 2, 3, 4)) -> DataFrame:
     """``Ghost<g>_distance``: path length from each entity to the agent, infinity without a path.
 
-    The log is joined once to a table of distinct cell pairs (bounded by the maze).
+    One join for all entities: a row per agent cell with the distances from every point. The table is bounded
+    by the maze (at most one row of 55 x 61 integers per point), so it is broadcast.
     """
-    cells = {"_tx": half_unit(F.col("Pacman_X")), "_ty": half_unit(F.col("Pacman_Y"))}
-    for g in entities:
-        cells |= {f"_x{g}": half_unit(F.col(f"Ghost{g}_X")), f"_y{g}": half_unit(F.col(f"Ghost{g}_Y"))}
-    snapped = df.withColumns(cells)
-    pairs = snapped.select(
-        F.explode(F.array(*[F.struct(F.col(f"_x{g}").alias("sx"), F.col(f"_y{g}").alias("sy"), F.col("_tx").alias("tx"), F.col("_ty").alias("ty"))
-                            for g in entities])).alias("p")
-    ).select("p.*")
-    table = graph_distances(pairs, maze)
-    for g in entities:
-        side = table.select(F.col("sx").alias(f"_x{g}"), F.col("sy").alias(f"_y{g}"), F.col("tx").alias("_tx"), F.col("ty").alias("_ty"),
-                            F.col("distance").alias(f"Ghost{g}_distance"))
-        snapped = snapped.join(side, [f"_x{g}", f"_y{g}", "_tx", "_ty"], "left").withColumn(
-            f"Ghost{g}_distance", F.coalesce(f"Ghost{g}_distance", F.lit(float("inf")))
+    h, w = maze.free.shape
+    snapped = df.withColumns({"_tx": half_unit(F.col("Pacman_X")), "_ty": half_unit(F.col("Pacman_Y"))})
+    fields = distance_fields(snapped.select(F.col("_tx").alias("tx"), F.col("_ty").alias("ty")), maze)
+    joined = snapped.join(F.broadcast(fields.select(F.col("tx").alias("_tx"), F.col("ty").alias("_ty"), "field")), ["_tx", "_ty"], "left")
+
+    def lookup(g):
+        x, y = f"bigint(rint(Ghost{g}_X * 2)) - ({maze.x0})", f"bigint(rint(Ghost{g}_Y * 2)) - ({maze.y0})"
+        return F.expr(
+            f"""CASE WHEN {x} BETWEEN 0 AND {w - 1} AND {y} BETWEEN 0 AND {h - 1} AND get(field, int(({y}) * {w} + {x})) >= 0
+            THEN get(field, int(({y}) * {w} + {x})) / 2D ELSE double('Infinity') END"""
         )
-    return snapped.drop(*cells)
+
+    return joined.withColumns({f"Ghost{g}_distance": lookup(g) for g in entities}).drop("_tx", "_ty", "field")
