@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pathlore.operators import core
 
 BLOCK_ROWS = 256
-PAIRS_AT_ONCE = 4096
+PAIRS_AT_ONCE = 1024  # keeps the working rows of a chunk in the processor cache
 
 
 # ---- kernels: (A, B) lists of (n, 2) arrays, index arrays ia, ib -> distances ---------------------------
@@ -75,28 +75,44 @@ def dtw(a, b, ia, ib, band: int | None = None, table: bool = False):
         before[0] = 0.0
         result = np.full(p, np.inf)
         rows = [before] if table else None
+        spare, cost, dy, low = np.empty((m + 1, p)), np.empty((m, p)), np.empty((m, p)), np.empty(p)
         for i in range(1, n + 1):
-            now = np.full((m + 1, p), np.inf)
-            ax, ay = xa[:, i - 1, 0], xa[:, i - 1, 1]
+            now = np.empty((m + 1, p)) if table else spare
+            now.fill(np.inf)
             lo, hi = (1, m) if band is None else (max(1, i - band), min(m, i + band))
             if lo <= hi:
-                cost = np.sqrt((ax - bx[lo - 1 : hi]) ** 2 + (ay - by[lo - 1 : hi]) ** 2)
-                reach = np.minimum(before[lo : hi + 1], before[lo - 1 : hi])
-                left = now[lo - 1]
+                c, d, reach = cost[lo - 1 : hi], dy[lo - 1 : hi], now[lo : hi + 1]
+                np.subtract(bx[lo - 1 : hi], xa[:, i - 1, 0], out=c)
+                np.multiply(c, c, out=c)
+                np.subtract(by[lo - 1 : hi], xa[:, i - 1, 1], out=d)
+                np.multiply(d, d, out=d)
+                np.add(c, d, out=c)
+                np.sqrt(c, out=c)
+                np.minimum(before[lo : hi + 1], before[lo - 1 : hi], out=reach)
                 for j in range(lo, hi + 1):
-                    left = cost[j - lo] + np.minimum(reach[j - lo], left)
-                    now[j] = left
+                    np.minimum(now[j], now[j - 1], out=low)
+                    np.add(cost[j - 1], low, out=now[j])
             done = na == i
             if done.any():
                 at = np.nonzero(done)[0]
                 result[at] = now[nb[at], at]
-            before = now
+            before, spare = now, before
             if table:
                 rows.append(now)
         parts.append(np.stack(rows) if table else result)
     return parts if table else np.concatenate(parts or [np.empty(0)])
 
 
+def dtw_bound(a, b, ia, ib):
+    """Never above the warping distance: every alignment pairs the two first and the two last points."""
+    fa, fb = np.array([p[0] for p in a]), np.array([p[0] for p in b])
+    ea, eb = np.array([p[-1] for p in a]), np.array([p[-1] for p in b])
+    la, lb = np.array([len(p) for p in a]), np.array([len(p) for p in b])
+    first = np.sqrt(((fa[ia] - fb[ib]) ** 2).sum(axis=1))
+    last = np.sqrt(((ea[ia] - eb[ib]) ** 2).sum(axis=1))
+    return np.where((la[ia] == 1) & (lb[ib] == 1), first, first + last)
+
+
 def dtw_banded(band: int):
     return lambda a, b, ia, ib: dtw(a, b, ia, ib, band=band)
 
@@ -130,11 +146,13 @@ Kernel = Callable[[list, list, np.ndarray, np.ndarray], np.ndarray]
 
 @dataclass(frozen=True)
 class Measure:
-    """``key``: projection of an item with |key(a) - key(b)| <= distance(a, b), or None when there is none."""
+    """``key``: projection of an item with |key(a) - key(b)| <= distance(a, b), or None when there is none.
+    ``bound``: cheap kernel that is never above the distance; pairs above eps skip the real one."""
 
     kernel: Kernel
     key: Callable[[Column], Column] | None = None
     vector: bool = False
+    bound: Kernel | None = None
 
 
 def _total(axis: str):
@@ -146,7 +164,7 @@ MEASURES: dict[str, Measure] = {
     "euclidean": Measure(euclidean, _total("x")),
     "manhattan": Measure(manhattan, _total("x")),
     # every alignment pairs the two first points
-    "dtw": Measure(dtw, lambda pts: pts[0]["x"]),
+    "dtw": Measure(dtw, lambda pts: pts[0]["x"], bound=dtw_bound),
     "cosine": Measure(cosine, vector=True),
     "negative_euclidean": Measure(negative_euclidean, vector=True),
     "vector_euclidean": Measure(vector_euclidean, lambda v: v[0], vector=True),
@@ -164,7 +182,7 @@ def find_measure(measure: str | Measure | Kernel, band: int | None = None) -> Me
     if band is not None:
         if measure != "dtw":
             raise ValueError("only dtw takes a band")
-        return Measure(dtw_banded(band), MEASURES["dtw"].key)
+        return Measure(dtw_banded(band), MEASURES["dtw"].key, bound=dtw_bound)
     return MEASURES[measure]
 
 
@@ -212,8 +230,9 @@ def _decode(values, vector: bool) -> list:
     return [np.asarray(v, dtype=float).reshape(-1, 2) for v in values]
 
 
-def _pairs_of(pdf: pd.DataFrame, m: Measure):
-    """(ids left, ids right, distances) of one task; each unordered pair once."""
+def _pairs_of(pdf: pd.DataFrame, m: Measure, eps: float | None):
+    """(ids left, ids right, distances) of one task; each unordered pair once, without pairs whose lower bound
+    is already above eps."""
     left, right = pdf[pdf["left"]], pdf[pdf["right"]]
     a, b = _decode(left["v"], m.vector), _decode(right["v"], m.vector)
     il, ir = left["id"].to_numpy(), right["id"].to_numpy()
@@ -222,6 +241,9 @@ def _pairs_of(pdf: pd.DataFrame, m: Measure):
         ia, ib = np.nonzero(il[:, None] < ir[None, :])
     else:
         ia, ib = (g.ravel() for g in np.indices((len(il), len(ir))))
+    if eps is not None and m.bound is not None and len(ia):
+        keep = m.bound(a, b, ia, ib) <= eps
+        ia, ib = ia[keep], ib[keep]
     if not len(ia):
         return il[:0], ir[:0], np.empty(0)
     d = m.kernel(a, b, ia, ib)
@@ -238,7 +260,7 @@ def _run(items, measure, eps, ident, value, block_rows, shape: Callable, schema:
     keys = [*group, "cell", "shift", "lb", "rb"]
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j, d = _pairs_of(pdf, m)
+        i, j, d = _pairs_of(pdf, m, eps)
         lo, hi = np.minimum(i, j), np.maximum(i, j)
         out = shape(lo, hi, d)
         for g in reversed(list(group)):
