@@ -312,14 +312,14 @@ def e4_user(spark, sf):
 
 @query("pattern_analysis_labels")
 def pattern_labels(spark, sf):
-    found = analysis.fit_geometric(detectors_log(spark, sf), "pacman_attack", "dtw", eps=25.0, min_neighbours=2, min_size=3)
+    found = analysis.fit_geometric(detectors_log(spark, sf), "pacman_attack", "dtw", eps=8.0, min_neighbours=2, min_size=3)
     return found.labels
 
 
 @query("pattern_analysis_measures")
 def pattern_measures(spark, sf):
     found = analysis.fit_geometric(
-        detectors_log(spark, sf), "pacman_attack", "dtw", eps=25.0, min_neighbours=2, min_size=3, context=4,
+        detectors_log(spark, sf), "pacman_attack", "dtw", eps=8.0, min_neighbours=2, min_size=3, context=4,
         validate_with=["Aggression1", "Aggression3"],
     )
     return found.measures
