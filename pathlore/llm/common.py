@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,3 +46,10 @@ def scratch(df: DataFrame, *wanted: str) -> dict[str, str]:
         out[name] = free
         taken.add(free.lower())
     return out
+
+
+def byte_texts(batch: pa.Array, rows: int = 256) -> Iterator[bytes]:
+    """The UTF-8 bytes of a batch of texts, as Python objects of a few rows at a time."""
+    raw = batch.cast(pa.binary())
+    for start in range(0, len(raw), rows):
+        yield from raw.slice(start, rows).to_pylist()
