@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pathlore.llm import exact_dedup, mixing, quality, simhash, token_counts
+from pathlore.llm import context_tree, exact_dedup, mixing, quality, secrets, simhash, token_counts
 from pathlore.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +29,17 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(table(spark, sf_dir, "documents"), weights=(3, 1, 2), share=1.5)
 
 
+@query("op1_secrets")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digest(table(spark, sf_dir, "documents"))
+
+
+@query("op2_context_tree")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return context_tree.context_tree_scores(table(spark, sf_dir, "documents"), held_out)
+
+
 @query("op4_quality")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
