@@ -78,9 +78,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", max
         F.col("sha").alias("text_sha256"),
     )
     shared = marked.where("maybe")
-    best = shared.groupBy("sha").agg(
+    best = stored(shared.groupBy("sha").agg(  # stored, so that the join has an exchange of its own on either side and Spark may split a hot digest
         F.min(F.struct(-F.col("size"), F.col("id").isNull(), "id", "row")).alias("best"), F.count(F.lit(1)).alias("group_size")
-    )
+    ))
     settled = shared.join(best, "sha").select(
         F.col("id").alias(id_col), F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"),
         F.col("sha").alias("text_sha256"),
