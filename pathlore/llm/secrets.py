@@ -186,5 +186,9 @@ def secret_digest(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
     """One row per row of ``docs``: id, counts of the strong kinds, hash of the strong spans, all spans."""
     found = find_secrets(docs.select(F.col(id_col), F.col(text)), text, findings="_findings", links="_links")
     base = F.filter("_findings", lambda f: f["base"])
-    counts = [F.size(F.filter(base, lambda f, k=k: f["kind"] == k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+
+    def number_of(kind: str) -> Column:
+        return F.size(F.filter(base, lambda f: f["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [number_of(kind) for kind in ("assign", "access", "hex")]
     return found.select(id_col, *counts, F.sha2(joined_spans(base), 256).alias("base_sha256"), joined_spans(F.col("_findings")).alias("spans"))
