@@ -30,6 +30,19 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(text, SPACES), lambda w: w != "")
 
 
+BROADCAST_ROWS = 250_000  # rows of a few numbers or short strings that may be sent to every executor
+
+
+def bounded(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast if it has at most ``limit`` rows, which the caller has counted; else left to a shuffle join."""
+    return F.broadcast(df) if rows <= limit else df
+
+
+def row_hashes(id_col: str, text: str) -> tuple[Column, Column]:
+    """Two hashes of a row's id and text: a key for rows whose ids may repeat or be NULL."""
+    return tuple(F.xxhash64(F.lit(n), F.col(id_col).isNull(), F.col(id_col), whole_text(text)) for n in (1, 2))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder: read more than once, computed once, safe from lost executors."""
     return cut_lineage(df)

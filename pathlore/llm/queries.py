@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathlore.llm import context_tree, exact_dedup, mixing, quality, secrets, simhash, token_counts
+from pathlore.llm import contamination, context_tree, exact_dedup, licenses, mixing, quality, secrets, simhash, token_counts
 from pathlore.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,29 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context_tree.context_tree_scores(table(spark, sf_dir, "documents"), held_out)
 
 
+@query(
+    "op3_decontamination",
+    r"""
+    WITH i AS (
+      SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM benchmark WHERE text IS NOT NULL
+    ), iw AS (SELECT item_id, words, least(5, len(words)) AS width FROM i WHERE len(words) > 0
+    ), s AS (
+      SELECT DISTINCT item_id, width, unnest([array_to_string(words[k:k + width - 1], ' ') for k in range(1, len(words) - width + 2)]) AS shingle FROM iw
+    ), n AS (SELECT item_id, count(*) AS n FROM s GROUP BY item_id
+    ), d AS (
+      SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS words FROM documents WHERE text IS NOT NULL
+    ), ds AS (
+      SELECT DISTINCT doc_id, width, unnest([array_to_string(words[k:k + width - 1], ' ') for k in range(1, len(words) - width + 2)]) AS shingle
+      FROM d, (SELECT DISTINCT width FROM iw) WHERE len(words) >= width
+    )
+    SELECT doc_id, item_id, any_value(n.n) AS item_shingles, count(*) AS shared, count(*) / any_value(n.n) AS containment
+    FROM ds JOIN s USING (width, shingle) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) / any_value(n.n) >= 0.8
+    """,
+)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.leak_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op4_quality")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
@@ -50,6 +73,37 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def _license_sql() -> str:
+    rows = ", ".join("({}, '{}', '{}')".format(i, name, text.replace("'", "''")) for i, (name, text) in enumerate(licenses.TEMPLATES))
+    return r"""
+    WITH t AS (
+      SELECT template, license, list_filter(regexp_split_to_array(lower(notice), '[^\pL\pN]+'), lambda w: w <> '') AS words FROM (VALUES ROWS) v(template, license, notice)
+    ), ts AS (SELECT DISTINCT template, license, unnest([array_to_string(words[k:k + 4], ' ') for k in range(1, len(words) - 3)]) AS shingle FROM t
+    ), tn AS (SELECT template, count(*) AS n, CAST(pow(2, ceil(log2(count(*)))) AS BIGINT) AS upper FROM ts GROUP BY template
+    ), shape AS (SELECT template, n, greatest(1, upper // 2) AS step, upper + greatest(1, upper // 2) - CASE WHEN upper = 1 THEN 1 ELSE 0 END AS length FROM tn
+    ), d AS (
+      SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\pL\pN]+'), lambda w: w <> '') AS words FROM documents WHERE text IS NOT NULL
+    ), dw AS (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS k FROM d
+    ), ds AS (
+      SELECT doc_id, k - 1 AS place, w || ' ' || lead(w, 1) OVER o || ' ' || lead(w, 2) OVER o || ' ' || lead(w, 3) OVER o || ' ' || lead(w, 4) OVER o AS shingle
+      FROM dw WINDOW o AS (PARTITION BY doc_id ORDER BY k)
+    ), hit AS (
+      SELECT doc_id, place, shingle, template, license, n, step, length FROM ds JOIN ts USING (shingle) JOIN shape USING (template)
+    ), w AS (
+      SELECT *, unnest(range(CAST(greatest(0, ceil((place - (length - 1)) / step)) AS BIGINT), place // step + 1)) * step AS start FROM hit
+    ), c AS (
+      SELECT doc_id, license, template, start, count(DISTINCT shingle) / any_value(n) AS containment, min(place) AS first_word
+      FROM w GROUP BY doc_id, license, template, start HAVING count(DISTINCT shingle) / any_value(n) >= 0.8
+    )
+    SELECT doc_id, license, max(containment) AS containment, min(first_word) AS first_word, count(DISTINCT template) AS templates FROM c GROUP BY doc_id, license
+    """.replace("ROWS", rows)
+
+
+@query("op7_licenses", _license_sql())
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.document_licenses(table(spark, sf_dir, "documents"))
+
+
 @query("op8_token_counts")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.token_counts(table(spark, sf_dir, "documents"), model="piece_bpe_32k.model", limit=4096)
