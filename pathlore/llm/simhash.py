@@ -207,9 +207,10 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wid
     joined = labels.join(distinct, labels["node"] == distinct["fp"]).select("fp", "label", "first")
     groups = joined.groupBy("label").agg(F.min("first").alias("least"))
     moved = joined.join(groups, "label").select(F.col("fp").alias("moved_fp"), "least")
-    home = distinct.join(moved, F.col("fp") == F.col("moved_fp"), "left").select(
+    # Stored, so that the last join has an exchange of its own on either side and Spark may split a hot fingerprint.
+    home = stored(distinct.join(moved, F.col("fp") == F.col("moved_fp"), "left").select(
         F.col("fp").alias("home_fp"), F.when(F.col("moved_fp").isNull(), F.col("first")).otherwise(F.col("least")).alias("component")
-    )
+    ))
     return marked.join(home, F.col("fp") == F.col("home_fp")).drop("home_fp")
 
 
