@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathlore.llm import contamination, context_tree, exact_dedup, licenses, mixing, quality, secrets, simhash, token_counts
+from pathlore.llm import contamination, context_tree, exact_dedup, licenses, line_dedup, mixing, quality, secrets, simhash, token_counts
 from pathlore.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,6 +110,32 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+@query(
+    "op9_line_dedup",
+    r"""
+    WITH RECURSIVE l AS (
+      SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS place FROM documents
+    ), k AS (SELECT doc_id, place, trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM l
+    ), u AS (SELECT line, length(line) AS n, row_number() OVER (ORDER BY line) AS id FROM (SELECT DISTINCT line FROM k WHERE length(line) >= 32)
+    ), c AS (
+      SELECT a.id AS a, b.id AS b, a.line AS x, b.line AS y FROM u a JOIN u b ON b.n = a.n AND left(a.line, a.n // 2) = left(b.line, a.n // 2) AND a.id < b.id
+      UNION SELECT a.id, b.id, a.line, b.line FROM u a JOIN u b ON b.n = a.n AND right(a.line, a.n - a.n // 2) = right(b.line, a.n - a.n // 2) AND a.id < b.id
+      UNION SELECT a.id, b.id, a.line, b.line FROM u a JOIN u b ON b.n = a.n + 1 AND left(a.line, a.n // 2) = left(b.line, a.n // 2)
+      UNION SELECT a.id, b.id, a.line, b.line FROM u a JOIN u b ON b.n = a.n + 1 AND right(a.line, a.n - a.n // 2) = right(b.line, a.n - a.n // 2)
+    ), e AS (SELECT a, b FROM c WHERE levenshtein(x, y) <= 1 UNION SELECT b, a FROM c WHERE levenshtein(x, y) <= 1
+    ), r AS (SELECT DISTINCT a AS id, a AS other FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.other = e.a
+    ), m AS (SELECT id, min(other) AS class FROM r GROUP BY id
+    ), o AS (
+      SELECT doc_id, place, row_number() OVER (PARTITION BY coalesce(m.class, u.id) ORDER BY doc_id, place) AS nth FROM k JOIN u USING (line) LEFT JOIN m ON m.id = u.id
+    ), d AS (SELECT doc_id, count(*) AS n, string_agg(place, ',' ORDER BY place) AS copies FROM o WHERE nth > 1 GROUP BY doc_id)
+    SELECT t.doc_id, CAST(len(string_split(coalesce(text, ''), chr(10))) AS BIGINT) AS n_lines, coalesce(d.n, 0) AS n_copies, coalesce(d.copies, '') AS copies
+    FROM documents t LEFT JOIN d ON d.doc_id = t.doc_id
+    """,
+)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op10_exact_dedup",
     r"""
