@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,6 +49,16 @@ def stored(df: DataFrame) -> DataFrame:
     return cut_lineage(df)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's shared folder; where none is set (one machine, as in tests) a folder of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="pathlore-shared-")
+    return folder.rstrip("/")
+
+
 def scratch(df: DataFrame, *wanted: str) -> dict[str, str]:
     """Column names that do not clash with those of ``df``, so that extra columns of any name can stay."""
     taken = {c.lower() for c in df.columns}
