@@ -2,8 +2,8 @@
 
 Templates are partitioned by their number of shingles (up to 1, 2, 4, 8, ...). Windows of a partition are half as long
 again as its largest template and start every half template, so each occurrence lies inside a window, and a window with
-four fifths of a template has at least a third of its shingles in common with it. With one row a band and ``BANDS``
-bands such a window shares a band with probability over 1 - (2/3)^24 > 0.9999. The j-th MinHash of a set is the least
+four fifths of a template shares over three tenths of all their shingles with it. With one row a band and ``BANDS``
+bands such a window shares a band with probability over 1 - 0.7^32 > 0.9999. The j-th MinHash of a set is the least
 (hash xor seed j): one hash a shingle serves all bands.
 
 A window can only share a band if it holds the very shingle that is the template's minimum there, so places without any
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pathlore.llm.common import whole_text
 from pathlore.llm.contamination import SHARE, SHINGLE, shingle_hashes, shingle_texts
 
-BANDS = 24
+BANDS = 32
 MAX_TEMPLATES = 4096  # templates are sent to all tasks as literals
 
 #: Public license notices, as (license, text).

@@ -79,7 +79,8 @@ def mix_plan(docs: DataFrame, weights: Sequence[float], share: float, id_col: st
     goals = goals.withColumnRenamed("src", "goal_src")
     sized = rows.join(F.broadcast(goals), F.col("src").eqNullSafe(F.col("goal_src"))).drop("goal_src")
     ranges = max(1, n_rows // range_rows)
-    live = sized.where("size > 0 and target > 0").withColumn("cell", F.pmod("deal", F.lit(ranges)))
+    share_of_deals = F.col("deal").cast("double") / F.lit(2.0**64) + 0.5  # rises with the deal, so the order is the same for any number of ranges
+    live = sized.where("size > 0 and target > 0").withColumn("cell", F.least(F.floor(share_of_deals * ranges).cast("long"), F.lit(ranges - 1).cast("long")))
     live = live.withColumn("lane", F.coalesce(F.concat(F.lit("="), "src"), F.lit("-")))
     summed = _running(live, ["lane"], "cell", [F.col("deal"), F.col("id"), F.col("row")], "size", "done")
     copies = summed.select("*", F.explode(F.sequence(F.lit(0), F.lit(ROUNDS - 1))).alias("round"))
