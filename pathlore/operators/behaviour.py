@@ -168,7 +168,7 @@ def _attack_runs(log: OrderedLog, *, keep_open: bool) -> DataFrame:
     held = log.having(log.df.withColumns({"_slot": quadrant_index(), "_step": F.col(log.step)}))
     return core.flag_runs(
         held, F.col("pacman_attack") == 1, keep_open=keep_open,
-        carry=["_slot", "time_elapsed", "lives", "powerPellets"],
+        carry=["_slot", "time_elapsed", "lives"], aggs={"pills_left": F.max_by(F.col("powerPellets"), F.col(log.step))},
     ).withColumn("pill", F.col("start__slot"))
 
 
@@ -176,9 +176,9 @@ def hunt_after_pill(log: OrderedLog, p: HuntAfterPill = HuntAfterPill()) -> Data
     """Approaches within the search window after an attack run wears off.
 
     The search stops at the end of the window, at a death, at the last row, or before a new run. A run
-    that begins with no pill left is not searched.
+    whose last row has no pill left is not searched, even if it began with one.
     """
-    runs = _attack_runs(log, keep_open=False).where("start_powerPellets > 0").select(
+    runs = _attack_runs(log, keep_open=False).where("pills_left > 0").select(
         *log.key, "run", "pill",
         F.col("end_step").alias("start_step"), F.col("end_time_elapsed").alias("start_t"), F.col("end_lives").alias("_lives"),
         (F.col("end_step") + p.search_window).alias("end_step"),
@@ -466,9 +466,17 @@ class Behaviours:
             return d.run(log, self.maze, p)
         return d.run(log, p)
 
+    def _ready(self, chosen: Sequence[str]) -> None:
+        """No detector is left out in silence: choosing one that needs the maze without a maze is an error, and so is choosing none."""
+        if not chosen:
+            raise ValueError("choose at least one behaviour")
+        if self.maze is None and (lacking := [n for n in chosen if DETECTORS[n].needs_maze]):
+            raise ValueError(f"{', '.join(lacking)} needs the maze")
+
     def instances(self, log: OrderedLog, names: str | Sequence[str] = "all") -> DataFrame:
         """One row per detected instance, all chosen detectors together."""
-        chosen = [n for n in pick(names) if self.maze is not None or not DETECTORS[n].needs_maze]
+        chosen = pick(names)
+        self._ready(chosen)
         out = self.detect(log, chosen[0])
         for n in chosen[1:]:
             out = out.unionByName(self.detect(log, n))
@@ -476,7 +484,8 @@ class Behaviours:
 
     def summary(self, log: OrderedLog, names: str | Sequence[str] = "all") -> DataFrame:
         """One row per key: ``<name>_value`` and ``<name>_instances``, 0 where nothing was found."""
-        chosen = [n for n in pick(names) if self.maze is not None or not DETECTORS[n].needs_maze]
+        chosen = pick(names)
+        self._ready(chosen)
         return summarize(self.instances(log, chosen), log, chosen, {n: self.parameters(n) for n in chosen})
 
     def encoding(self, log: OrderedLog, names: str | Sequence[str] = "all") -> DataFrame:

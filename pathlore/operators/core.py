@@ -15,15 +15,15 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
-from math import ceil, log2
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 MAX_ROWS = 1 << 20  # rows of one key that a single window task may sort
 ATTACH_BUCKET = 256  # steps per equi-join bucket of an interval join
 
+REMEMBERED = 1024  # measured peaks kept by a session
+
 _peaks: dict[tuple, int] = {}
 
 
@@ -48,20 +48,6 @@ def block_of(step: Column, size: int) -> Column:
     return F.floor(step / F.lit(size)).cast("long")
 
 
-def numeric_order(df: DataFrame, name: str) -> Column:
-    """A number that sorts like the column (microseconds for timestamps)."""
-    kind = df.schema[name].dataType
-    if isinstance(kind, T.TimestampNTZType):
-        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', `{name}`)").cast("double")
-    if isinstance(kind, T.TimestampType):
-        return F.unix_micros(F.col(name)).cast("double")
-    if isinstance(kind, T.DateType):
-        return F.unix_date(F.col(name)).cast("double")
-    if isinstance(kind, T.NumericType):
-        return F.col(name).cast("double")
-    raise TypeError(f"column {name} of type {kind.simpleString()} cannot be cut into ranges")
-
-
 def peak_rows(df: DataFrame, groups: Sequence[Column]) -> int:
     """Largest number of rows in one group: a map-side combined count, one number to the driver."""
     named = [g.alias(f"_g{i}") for i, g in enumerate(groups)]
@@ -70,39 +56,31 @@ def peak_rows(df: DataFrame, groups: Sequence[Column]) -> int:
 
 
 def _key_peak(df: DataFrame, key: Sequence[str]) -> int:
-    """``peak_rows`` per key, remembered per logical plan; it only steers the strategy, not the result."""
-    ident = (df.sparkSession.sparkContext.applicationId, df.select(*key).semanticHash(), tuple(key))
+    """``peak_rows`` per key, remembered per logical plan, its files and their size; it steers the strategy, not the result."""
+    narrow = df.select(*key)
+    size = str(narrow._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    ident = (df.sparkSession.sparkContext.applicationId, narrow.semanticHash(), tuple(key), size, tuple(sorted(narrow.inputFiles())))
     if ident not in _peaks:
+        if len(_peaks) >= REMEMBERED:
+            _peaks.clear()
         _peaks[ident] = peak_rows(df, [F.col(k) for k in key])
     return _peaks[ident]
 
 
-def order_cells(df: DataFrame, key: Sequence[str], order: Sequence[str], max_rows: int) -> list[Column]:
-    """Columns that cut each key into order-preserving cells of at most ``max_rows`` rows.
+def in_cells(df: DataFrame, key: Sequence[str], order: Sequence[str], max_rows: int, cell: str = "_cell") -> DataFrame:
+    """Rows with ``cell``, a number that rises with (key, order) and splits every key into about ``max_rows`` rows.
 
-    The cell width over the first order column is halved until the measured peak fits. When even single
-    values are too frequent the cells continue with the next order column inside each value.
+    Sampled range cuts compare the values in their own types, so NULL, NaN, infinities, strings and wide integers keep
+    their order; rows that tie in all order columns share a cell. The numbers are stored at once: a cell never changes
+    when a task is repeated, and later stages do not run the source again. At most three rounds refine uneven cuts.
     """
-    cells: list[Column] = []
-    for name in order:
-        value = numeric_order(df, name)
-        peak = peak_rows(df, [F.col(k) for k in key] + cells)
-        if peak <= max_rows:
-            return cells
-        low, high = df.select(F.min(value), F.max(value)).first()
-        span = (high or 0.0) - (low or 0.0)
-        width = span / ceil(peak / max_rows) if span > 0 else 0.0
-        while width > 0:
-            cell = F.floor((value - F.lit(low)) / F.lit(width)).cast("long")
-            peak = peak_rows(df, [F.col(k) for k in key] + cells + [cell])
-            if peak <= max_rows:
-                return cells + [cell]
-            narrower = width / 2 ** max(1, ceil(log2(peak / max_rows)))
-            if span / narrower > 2**52:
-                break
-            width = narrower
-        cells.append(value)
-    return cells
+    parts = max(2, -(-2 * df.count() // max_rows))
+    for last in (False, False, True):
+        cut = cut_lineage(df.repartitionByRange(parts, *key, *order).withColumn(cell, F.spark_partition_id()))
+        if last or peak_rows(cut, [F.col(k) for k in key] + [F.col(cell)]) <= 2 * max_rows:
+            return cut
+        parts *= 2
+    raise AssertionError("unreachable")
 
 
 def order_log(
@@ -117,9 +95,10 @@ def order_log(
     if _key_peak(df, key) <= max_rows:
         w = Window.partitionBy(*key).orderBy(*order)
         return OrderedLog(df.withColumn(step, (F.row_number().over(w) - 1).cast("long")), key, step, None)
-    cells = order_cells(df, key, order, max_rows)
-    counted = running(df, key, order, {step: ("sum", F.lit(1).cast("long"))}, cells)
-    return OrderedLog(counted.withColumn(step, F.col(step) - 1), key, step, max_rows)
+    cut = in_cells(df, key, order, max_rows)
+    counted = running(cut, key, order, {step: ("sum", F.lit(1).cast("long"))}, [F.col("_cell")])
+    stored = cut_lineage(counted.drop("_cell").withColumn(step, F.col(step) - 1))
+    return OrderedLog(stored.select(*[c for c in df.columns if c != step], step), key, step, max_rows)
 
 
 def assume_steps(df: DataFrame, key: Sequence[str], step: str = "step", max_rows: int | None = None) -> OrderedLog:
@@ -373,7 +352,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if folder and sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
     if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local"):
+        if not sc.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="pathlore-checkpoint-"))  # one machine, one process
     return df.checkpoint(eager=True)

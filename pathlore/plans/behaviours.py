@@ -50,6 +50,10 @@ wallpts AS (SELECT DISTINCT 2 * x + i AS x2, 2 * y - j AS y2 FROM walls, (VALUES
 nodes AS (SELECT x2, y2 FROM (SELECT x2, y2 FROM range(-27, 28) AS a(x2), range(-33, 28) AS b(y2)) AS g ANTI JOIN wallpts USING (x2, y2))"""
 
 
+def detectors_with_maze(spark, sf):
+    return bh.Behaviours(maze=MazeGrid.from_walls(maze_walls(spark, sf)))
+
+
 @query("b0a_live_entities", ST + "SELECT game_state_id, " + ", ".join(f"{live_sql(g)} AS live{g}" for g in G4) + " FROM states")
 def b0a(spark, sf):
     return state_log(spark, sf).df.select("game_state_id", *[is_live(g).alias(f"live{g}") for g in G4])
@@ -115,7 +119,7 @@ def _hunt_after_sql(window, threshold, distance):
     return f"""{DD}, {LAGS}, {runs_sql('pacman_attack = 1', 'dd')},
  wo AS (SELECT r.level_id, run, a.slot AS pill, end_step AS w0, b.lives AS l0, b.time_elapsed AS start_t FROM frruns r
   JOIN dd a ON a.level_id = r.level_id AND a.step = start_step JOIN dd b ON b.level_id = r.level_id AND b.step = end_step
-  WHERE NOT is_open AND start_step > 0 AND a.powerPellets > 0),
+  JOIN dd c ON c.level_id = r.level_id AND c.step = last_step WHERE NOT is_open AND start_step > 0 AND c.powerPellets > 0),
  sr AS (SELECT wo.*, step, {score} AS n, lives, tb, pacman_attack, last_row,
   (pacman_attack = 1 OR last_row OR lives < l0 OR step = w0 + {window}) AS stops FROM wo JOIN ap ON ap.level_id = wo.level_id AND step > w0 AND step <= w0 + {window}),
  sx AS (SELECT *, min(CASE WHEN stops THEN step END) OVER (PARTITION BY level_id, run) AS stop FROM sr),
@@ -223,17 +227,29 @@ FLOOD_SQL = f"""tk AS (SELECT *, CAST(round_even(2 * Pacman_X, 0) AS BIGINT) AS
 GRID_SQL = "grid AS (SELECT x2, y2 FROM range(-27, 28) AS a(x2), range(-33, 28) AS b(y2))"
 
 
-@query(
-    "b5_trapped",
-    "WITH RECURSIVE " + STATE_SQL + f", {CAND}, {WALLS_SQL}, {GRID_SQL}, {FLOOD_SQL}" + """,
- hit AS (SELECT DISTINCT id FROM fl JOIN tk ON fl.id = tk.game_state_id WHERE fl.x2 = tk.tx AND fl.y2 = tk.ty AND NOT list_contains(blk, tx * 1000 + ty))
- SELECT tc.game_state_id, tc.candidate AND hit.id IS NULL AS trapped FROM tc LEFT JOIN hit ON hit.id = tc.game_state_id""",
-)
+TRAPPED_SQL = f"""{CAND}, {WALLS_SQL}, {GRID_SQL}, {FLOOD_SQL},
+ hit AS (SELECT DISTINCT id FROM fl JOIN tk ON fl.id = tk.game_state_id WHERE fl.x2 = tk.tx AND fl.y2 = tk.ty AND NOT list_contains(blk, tx * 1000 + ty)),
+ tcap AS (SELECT tc.*, tc.candidate AND hit.id IS NULL AS trapped FROM tc LEFT JOIN hit ON hit.id = tc.game_state_id)"""
+
+
+@query("b5_trapped", "WITH RECURSIVE " + STATE_SQL + f", {TRAPPED_SQL} SELECT game_state_id, trapped FROM tcap")
 def b5_trapped(spark, sf):
     maze = MazeGrid.from_walls(maze_walls(spark, sf))
     return bh.trapped_flag(state_log(spark, sf), maze).df.select("game_state_id", "trapped")
 
 
+@query(
+    "b5_caution1_instances",
+    "WITH RECURSIVE " + STATE_SQL + f""", {TRAPPED_SQL}, {traps_sql('trapped', 'tcap')}, {MERGE_SQL}
+ SELECT m.level_id, greatest(start_step - 4, 0) AS start_step, least(end_step + 4, f) AS end_step, start_t, end_t, value, died FROM merged m
+ JOIN (SELECT level_id, max(step) AS f FROM states GROUP BY 1) USING (level_id)""",
+)
+def b5_caution1(spark, sf):
+    """The whole detector: reachability, instances, merge, context and deaths."""
+    found = detectors_with_maze(spark, sf).detect(detectors_log(spark, sf), "Caution1", context=4)
+    return found.select(*OUT, "died")
+
+
 def _mean_sql(attack, method):
     n = " + ".join(f"CASE WHEN {live_sql(g)} THEN 1 ELSE 0 END" for g in G4)
     s = lambda e: " + ".join(f"CASE WHEN {live_sql(g)} THEN {e.format(g=g)} ELSE 0 END" for g in G4)
@@ -288,7 +304,7 @@ def b8_short(spark, sf):
 
 # ---- encodings ------------------------------------------------------------------------------------------
 
-ALL_BUT_MAZE = ["Aggression1", "Aggression3", "Aggression4", "Aggression6", "Caution2a", "Caution2b", "Caution3"]
+EVERY = ["Aggression1", "Aggression3", "Aggression4", "Aggression6", "Caution1", "Caution2a", "Caution2b", "Caution3"]
 
 
 def _values(per_level, name, value, n="count(*)"):
@@ -307,10 +323,11 @@ _CLOSE_KEPT = _CLOSE_CHAIN[: _CLOSE_CHAIN.index("\n SELECT")] + """,
 _MEANS = {a: _mean_sql(a, "centroid").replace(ST, "").replace("round(", "(").replace(", 6), 0)", "), 0)") for a in (0, 1)}
 SUMMARY_CTES = (
     f"{STATE_SQL}, {DD}, {LAGS}, {_renamed(runs_sql(_NEAR), 'hn')}, {_CAPTURES}, {_AFTER}, "
-    + _renamed(_chase_sql(True, True).replace(f"{DD}, {LAGS}, ", ""), "ch") + f", {_CLOSE}{_CLOSE_KEPT}"
+    + _renamed(_chase_sql(True, True).replace(f"{DD}, {LAGS}, ", ""), "ch") + f", {_CLOSE}{_CLOSE_KEPT}, {TRAPPED_SQL}, {traps_sql('trapped', 'tcap')}, {MERGE_SQL}"
     + f""", vals AS ({_values('SELECT level_id, n_rows FROM hnruns WHERE NOT is_open', 'Aggression1', 'sum(n_rows)')}
  UNION ALL {_values('SELECT level_id FROM cap', 'Aggression3', 'count(*)')} UNION ALL {_values('SELECT * FROM ha', 'Aggression4', 'sum(value)')}
  UNION ALL SELECT level_id, 'Aggression6', avg(v), CAST(sum(n) AS BIGINT) FROM (SELECT level_id, pill, sum(value) AS v, count(*) AS n FROM cc GROUP BY 1, 2) GROUP BY 1
+ UNION ALL {_values('SELECT * FROM merged', 'Caution1', 'count(*)')}
  UNION ALL SELECT level_id, 'Caution2a', value, 0 FROM ({_MEANS[0]}) UNION ALL SELECT level_id, 'Caution2b', value, 0 FROM ({_MEANS[1]})
  UNION ALL {_values('SELECT * FROM ck', 'Caution3', 'count(*)')}),
  keys AS (SELECT DISTINCT level_id FROM states)"""
@@ -330,9 +347,9 @@ def _round_values(df):
     return df.withColumns({c: F.round(c, 6) for c in df.columns if c.endswith("_value")})
 
 
-@query("b10_summary", summary_sql(ALL_BUT_MAZE))
+@query("b10_summary", summary_sql(EVERY))
 def b10(spark, sf):
-    return _round_values(bh.Behaviours().summary(detectors_log(spark, sf)))
+    return _round_values(detectors_with_maze(spark, sf).summary(detectors_log(spark, sf)))
 
 
 @query(
@@ -341,16 +358,18 @@ def b10(spark, sf):
  1.0::DOUBLE AS value, CAST(NULL AS INTEGER) AS pill FROM cap
  UNION ALL SELECT level_id, 'Aggression4', start_step, end_step, value, CAST(pill AS INTEGER) FROM ha
  UNION ALL SELECT level_id, 'Aggression6', start_step, end_step, value, CAST(pill AS INTEGER) FROM cc
- UNION ALL SELECT level_id, 'Aggression1', start_step, end_step, CAST(n_rows AS DOUBLE), NULL FROM hnruns WHERE NOT is_open""",
+ UNION ALL SELECT level_id, 'Aggression1', start_step, end_step, CAST(n_rows AS DOUBLE), NULL FROM hnruns WHERE NOT is_open
+ UNION ALL SELECT level_id, 'Caution1', start_step, end_step, value, NULL FROM merged""",
 )
 def b11(spark, sf):
-    found = bh.Behaviours().instances(detectors_log(spark, sf), "Aggression")
+    names = ["Aggression1", "Aggression3", "Aggression4", "Aggression6", "Caution1"]
+    found = detectors_with_maze(spark, sf).instances(detectors_log(spark, sf), names)
     return found.select("level_id", "name", "start_step", "end_step", "value", "pill")
 
 
-@query("b12_one_category", summary_sql(["Caution2a", "Caution2b", "Caution3"]))
+@query("b12_one_category", summary_sql(["Caution1", "Caution2a", "Caution2b", "Caution3"]))
 def b12(spark, sf):
-    return _round_values(bh.Behaviours().summary(detectors_log(spark, sf), "Caution"))
+    return _round_values(detectors_with_maze(spark, sf).summary(detectors_log(spark, sf), "Caution"))
 
 
 @query("b15_vector_encoding", summary_sql(["Aggression1", "Aggression3", "Aggression4", "Aggression6"], instances=False))
@@ -359,7 +378,7 @@ def b15(spark, sf):
 
 
 def slice_log(spark, sf):
-    """The last 100 rows of every level as a log of its own (key level_id, run; step from 0)."""
+    """The attack runs of every level with six rows of context, as a log of its own (key level_id, run; step from 0)."""
     log = detectors_log(spark, sf)
     cut = sequences.cut(log, "pacman_attack", context=6)
     return OrderedLog(cut.drop("step").withColumnRenamed("run_step", "step"), ("level_id", "run"), "step", log.block)

@@ -47,13 +47,9 @@ def f1_states(spark, sf):
     return st.select("level_id", "game_state_id")
 
 
-@query(
-    "f2_orphans",
-    "SELECT DISTINCT user_id AS level_id FROM events WHERE user_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0)",
-)
+@query("f2_orphans", "SELECT o_orderkey AS level_id FROM orders WHERE o_orderkey NOT IN (SELECT user_id FROM events)")
 def f2(spark, sf):
-    ev = table(spark, sf, "events").select(F.col("user_id").alias("level_id"))
-    return filters.orphans(ev, levels(spark, sf).where("level_id % 3 <> 0"))
+    return filters.orphans(levels(spark, sf).select("level_id"), state_log(spark, sf).df)
 
 
 @query("f3_states_for_levels", "SELECT user_id AS level_id, event_id AS game_state_id FROM events WHERE user_id IN (3, 8, 46, 7)")

@@ -183,12 +183,12 @@ def p12_died(spark, sf):
 @query(
     "p13_user_overall",
     f"""WITH {LEVELS_SQL}, {SURVEY_SQL}, t AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY level_id) AS trial FROM levels WHERE win = 0),
- sc AS (SELECT l_orderkey AS level_id, max(l_quantity) AS score FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY 1),
+ sc AS (SELECT l_orderkey AS level_id, max(l_quantity) AS score FROM lineitem GROUP BY 1),
  j AS (SELECT t.user_id, trial, score FROM t FULL JOIN sc ON sc.level_id = t.level_id), u AS (SELECT user_id, max(trial) AS total_whole_games_played, max(score) AS score FROM j GROUP BY 1),
  s AS (SELECT user_id, max({_SUM(ITEMS[:7])}) AS BIS FROM survey WHERE user_id > 60 GROUP BY 1) SELECT u.user_id, total_whole_games_played, u.score, BIS FROM u JOIN s USING (user_id)""",
 )
 def p13(spark, sf):
-    scores = table(spark, sf, "lineitem").where("l_orderkey % 2 = 0").groupBy(F.col("l_orderkey").alias("level_id")).agg(F.max("l_quantity").alias("score"))
+    scores = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("level_id")).agg(F.max("l_quantity").alias("score"))
     bis = players.scales(survey(spark, sf), {"BIS": ITEMS[:7]}, user="user_id", column="instrument", consent=None, repeated=("none",))
     return players.user_overall(levels(spark, sf).where("win = 0"), scores, bis.groupBy("user_id").agg(F.max("BIS").alias("BIS")))
 
@@ -239,14 +239,14 @@ def p16(spark, sf):
 
 @query(
     "p17_scales_left_join_flow",
-    SV + f", s AS (SELECT user_id, row_id, {_SUM(ITEMS[:7])} AS BIS FROM survey WHERE instrument = '3-MEDIUM' AND user_id > 60), f AS (SELECT user_id, row_id AS flow_row, ({' + '.join(ITEMS)}) / 8 AS FLOW FROM survey WHERE instrument = '1-URGENT')"
+    SV + f", s AS (SELECT user_id, row_id, {_SUM(ITEMS[:7])} AS BIS FROM survey WHERE (instrument IS NULL OR instrument <> '1-URGENT') AND user_id > 60), f AS (SELECT user_id, row_id AS flow_row, ({' + '.join(ITEMS)}) / 8 AS FLOW FROM survey WHERE instrument = '1-URGENT')"
     + " SELECT s.user_id, row_id, BIS, flow_row, FLOW FROM s LEFT JOIN f USING (user_id)",
 )
 def p17(spark, sf):
     rows = survey(spark, sf)
     flow = players.flow_scores(rows, ITEMS, "1-URGENT", "instrument", mean=True).select("user_id", F.col("row_id").alias("flow_row"), "FLOW")
     base = players.scales(
-        rows.where("instrument = '3-MEDIUM'"), {"BIS": ITEMS[:7]}, user="user_id", column="instrument", consent=None, keep=["row_id"]
+        rows, {"BIS": ITEMS[:7]}, user="user_id", column="instrument", consent=None, repeated=("1-URGENT",), keep=["row_id"]
     )
     return base.join(flow, "user_id", "left")
 

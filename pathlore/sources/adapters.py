@@ -64,7 +64,8 @@ def state_log(spark: SparkSession, sf_dir: str, *need: str, max_rows: int | None
         df = core.running_steps(log.having(df), {"score": ("sum", F.floor("value"))})
     if "powerPellets" in need:
         df = core.near(log.having(df), 1, lambda w: {"_pa": F.lag("pacman_attack", 1, 0).over(w)})
-        begun = ((F.col("pacman_attack") == 1) & (F.col("_pa") == 0)).cast("long")
+        # a pill goes where a run begins, and now and then inside one
+        begun = ((F.col("pacman_attack") == 1) & ((F.col("_pa") == 0) | (F.col("k") % 13 == 0))).cast("long")
         df = core.running_steps(log.having(df), {"_runs": ("sum", begun)})
         df = df.withColumn("powerPellets", F.greatest(F.lit(0), 4 - F.col("_runs")).cast("int")).drop("_pa", "_runs")
         df = df.withColumns(
@@ -147,7 +148,7 @@ st0 AS (SELECT user_id AS level_id, user_id, event_id AS game_state_id, ts, even
  FROM ev WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
 st1 AS (SELECT *, CAST(3-(3*step)//n_rows AS INTEGER) AS lives, 244-step AS pellets,
  lag(pacman_attack, 1, 0) OVER (PARTITION BY level_id ORDER BY step) AS prev_attack FROM st0),
-st2 AS (SELECT *, CAST(greatest(0, 4 - sum(CASE WHEN pacman_attack=1 AND prev_attack=0 THEN 1 ELSE 0 END)
+st2 AS (SELECT *, CAST(greatest(0, 4 - sum(CASE WHEN pacman_attack=1 AND (prev_attack=0 OR k%13=0) THEN 1 ELSE 0 END)
  OVER (PARTITION BY level_id ORDER BY step)) AS INTEGER) AS powerPellets FROM st1),
 states AS (SELECT *, {", ".join(f"CAST(powerPellets>={j} AS INTEGER) AS powerpelletstate_{j}" for j in (1,2,3,4))} FROM st2)"""
 

@@ -53,6 +53,9 @@ def test_hunt_after_pill_stops(spark, strategy):
     rows = pill + [{}, approaching(4)]
     assert tuples(bh.hunt_after_pill(make_log(spark, rows), p), "value") == [(1.0,)]
     assert tuples(bh.hunt_after_pill(make_log(spark, rows, powerPellets=0), p), "value") == []
+    # nor where the last pill goes inside the running attack
+    rows = [{}, {"pacman_attack": 1, "powerPellets": 1}] + [{"pacman_attack": 1, "powerPellets": 0}] * 2 + [approaching(d, powerPellets=0) for d in (4.5, 4, 3.5, 3)]
+    assert tuples(bh.hunt_after_pill(make_log(spark, rows), p), "value") == []
 
 
 def test_chase_or_collect(spark, strategy):
@@ -176,3 +179,12 @@ def test_bad_levels_are_set_aside(spark):
     good, bad = bh.split_valid(log.df, ["level_id"])
     assert tuples(good, "level_id") == [(1,)]
     assert tuples(bad, "level_id", "bad_rows") == [(2, 1)]
+
+
+def test_a_detector_without_its_maze_is_an_error(spark):
+    log = make_log(spark, [{}, {}])
+    for names in ("all", "Caution", ["Caution1"], []):
+        with pytest.raises(ValueError):
+            bh.Behaviours().summary(log, names)
+        with pytest.raises(ValueError):
+            bh.Behaviours().instances(log, names)

@@ -1,3 +1,5 @@
+import datetime
+import decimal
 import random
 
 import pytest
@@ -142,3 +144,38 @@ def test_partition_independence(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert results[0] == results[1] == results[2]
+
+
+WIDE = 2**60
+VALUES = {
+    "a long": [WIDE, WIDE + 1, WIDE + 2, WIDE + 3, None, -WIDE, WIDE + 1],
+    "a string": ["b", "a", "é", None, "", "ab", "a"],
+    "a double": [float("inf"), float("-inf"), float("nan"), 0.0, None, 1.5, float("inf")],
+    "a boolean": [True, False, None, True, False, True, True],
+    "a date": [datetime.date(2020, 1, d) for d in (3, 1, 2, 3, 1, 9, 8)],
+    "a decimal(38,2)": [decimal.Decimal(10) ** 30, decimal.Decimal(10) ** 30 + 1, None, decimal.Decimal(0), decimal.Decimal(-1), decimal.Decimal(10) ** 30, decimal.Decimal(5)],
+}
+
+
+@pytest.mark.parametrize("kind", list(VALUES))
+def test_steps_do_not_depend_on_the_row_limit(spark, kind):
+    """Split keys give the steps of whole keys for every type: wide integers, strings, infinities, NaN, NULL."""
+    rows = [(k, v, i) for k in (1, 2) for i, v in enumerate(VALUES[kind] * 3)]
+    df = spark.createDataFrame(rows, f"k int, {kind}, b int")
+    steps = lambda n: sorted((r["k"], r["step"], r["b"]) for r in core.order_log(df, ["k"], ["a", "b"], max_rows=n).df.collect())
+    assert core.order_log(df, ["k"], ["a", "b"], max_rows=4).block == 4
+    assert steps(4) == steps(1 << 20)
+
+
+def test_string_keys_and_null_keys_can_be_split(spark):
+    df = spark.createDataFrame([(k, i % 5, i) for k in ("x", None) for i in range(20)], "k string, a int, b int")
+    got = core.order_log(df, ["k"], ["a", "b"], max_rows=3).df.collect()
+    assert {(r["k"], r["step"]) for r in got} == {(k, s) for k in ("x", None) for s in range(20)}
+
+
+def test_the_strategy_follows_a_path_that_is_written_anew(spark, tmp_path):
+    path = str(tmp_path / "log")
+    spark.range(3).selectExpr("1 AS k", "id AS a").write.parquet(path)
+    assert core.order_log(spark.read.parquet(path), ["k"], ["a"], max_rows=5).block is None
+    spark.range(30).selectExpr("1 AS k", "id AS a").write.mode("overwrite").parquet(path)
+    assert core.order_log(spark.read.parquet(path), ["k"], ["a"], max_rows=5).block == 5
