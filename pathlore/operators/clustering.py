@@ -88,25 +88,30 @@ def kmeans(df: DataFrame, column: str, k: int, seed: int = 0, max_iter: int = 20
 
 
 def assign_nearest(df: DataFrame, column: str, centroids: DataFrame, centre: str = "centre", label: str = "label") -> DataFrame:
-    """Label of the nearest centroid (Euclidean, ties to the smaller label). The centroid set is size-checked
-    and travels as one row."""
+    """Label of the nearest centroid (Euclidean, ties to the smaller label). Centroids travel in blocks of one row,
+    ``MAX_CENTROIDS`` each; a further block replaces the best so far where it is nearer."""
     n = centroids.count()
-    if n > MAX_CENTROIDS:
-        raise ValueError(f"{n} centroids are too many to hold in a task (limit {MAX_CENTROIDS})")
-    packed = centroids.agg(F.collect_list(F.struct(F.col(label).alias("l"), F.col(centre).alias("c"))).alias("_c"))
+    blocks = max(1, -(-n // MAX_CENTROIDS))
+    numbered = centroids.withColumn("_block", F.pmod(F.xxhash64(label), F.lit(blocks)))
 
     def squared(c):
         diff = F.zip_with(F.col(column), c, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y))
         return F.aggregate(diff, F.lit(0.0), lambda acc, d: acc + d)
 
     near = F.array_min(F.transform("_c", lambda s: F.struct(squared(s["c"]).alias("d"), s["l"].alias("l"))))
-    return df.crossJoin(F.broadcast(packed)).withColumn("_n", near).withColumn(label, F.col("_n.l")).drop("_c", "_n")
+    out = df
+    for i in range(blocks):
+        mine = numbered.where(F.col("_block") == i)
+        packed = mine.agg(F.collect_list(F.struct(F.col(label).alias("l"), F.col(centre).alias("c"))).alias("_c"))
+        best = near if i == 0 else F.least("_n", near)  # least skips NULL, so an empty block changes nothing
+        out = out.crossJoin(F.broadcast(packed)).withColumn("_n", best).drop("_c")  # one row
+    return out.withColumn(label, F.col("_n.l")).drop("_n")
 
 
 def reduce_dimensions(df: DataFrame, column: str, n: int = 2, out: str = "reduced"):
     """(frame, fitted PCA or None): centred scores of the first n components; inputs of <= 2 dimensions pass through."""
-    width = df.select(F.size(column)).first()[0]
-    if width <= 2:
+    width = df.agg(F.max(F.size(column))).first()[0]  # NULL for an empty frame
+    if width is None or width <= 2:
         return df.withColumn(out, F.transform(column, lambda x: x.cast("double"))), None
     data = df.withColumn("_v", array_to_vector(F.transform(column, lambda x: x.cast("double"))))
     centre = StandardScaler(withMean=True, withStd=False, inputCol="_v", outputCol="_c").fit(data)

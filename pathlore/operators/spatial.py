@@ -352,12 +352,14 @@ def distance_fields(targets: DataFrame, maze: MazeGrid) -> DataFrame:
 def entity_path_distances(df: DataFrame, maze: MazeGrid, entities: Sequence[int] = (1, 2, 3, 4)) -> DataFrame:
     """``Ghost<g>_distance``: path length from each entity to the agent, infinity without a path.
 
-    One join for all entities: a row per agent cell with the distances from every point. The table is bounded
-    by the maze (at most one row of 55 x 61 integers per point), so it is broadcast.
+    One join for all entities: a row per agent cell with the distances from every point. Agents outside the bounds
+    reach nothing and are not asked for, so the table is bounded by the maze (at most one row of 55 x 61 integers per
+    point) and is broadcast.
     """
     h, w = maze.free.shape
     snapped = df.withColumns({"_tx": half_unit(F.col("Pacman_X")), "_ty": half_unit(F.col("Pacman_Y"))})
-    fields = distance_fields(snapped.select(F.col("_tx").alias("tx"), F.col("_ty").alias("ty")), maze)
+    inside = F.col("_tx").between(maze.x0, maze.x0 + w - 1) & F.col("_ty").between(maze.y0, maze.y0 + h - 1)
+    fields = distance_fields(snapped.where(inside).select(F.col("_tx").alias("tx"), F.col("_ty").alias("ty")), maze)
     joined = snapped.join(F.broadcast(fields.select(F.col("tx").alias("_tx"), F.col("ty").alias("_ty"), "field")), ["_tx", "_ty"], "left")
 
     def lookup(g):

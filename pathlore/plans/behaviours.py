@@ -140,6 +140,16 @@ def b3_wide(spark, sf):
     return bh.hunt_after_pill(detectors_log(spark, sf), p).select(*OUT, "pill", "died")
 
 
+@query(
+    "b15_slot_values",
+    ST + ", " + _hunt_after_sql(30, 3, 15) + """ SELECT level_id, CAST(pill AS INTEGER) AS pill, sum(value) AS value, count(*) AS instances, bool_or(died) AS died FROM ha
+ GROUP BY level_id, pill""",
+)
+def b15_slots(spark, sf):
+    p = bh.HuntAfterPill(search_window=30, value_threshold=3, distance_threshold=15)
+    return bh.slot_values(bh.hunt_after_pill(detectors_log(spark, sf), p), ["level_id"], "Aggression4")
+
+
 _CLOSEST = "(CASE " + " ".join(f"WHEN d{g} = least(d1, d2, d3, d4) THEN q{g}" for g in G4) + " END)"
 
 

@@ -307,3 +307,25 @@ def test_pca_and_kmeans(spark):
     first = {r.label for r in labelled.where("id < 40").collect()}
     second = {r.label for r in labelled.where("id >= 40").collect()}
     assert len(first) == len(second) == 1 and first != second
+
+
+@pytest.mark.parametrize("limit", [3, 10_000])
+def test_centroids_in_blocks_give_the_same_labels(spark, monkeypatch, limit):
+    monkeypatch.setattr(cl, "MAX_CENTROIDS", limit)
+    rng = random.Random(12)
+    centres = [(i, [float(rng.randint(0, 4)), float(rng.randint(0, 4))]) for i in range(11)]
+    points = [(i, [float(rng.randint(0, 4)), float(rng.randint(0, 4))]) for i in range(30)]
+    got = cl.assign_nearest(
+        spark.createDataFrame(points, "id int, v array<double>"), "v", spark.createDataFrame(centres, "label int, centre array<double>")
+    ).collect()
+    far = lambda a, b: sum((x - y) ** 2 for x, y in zip(a, b))
+    assert {r["id"]: r["label"] for r in got} == {i: min((far(v, c), n) for n, c in centres)[1] for i, v in points}
+
+
+def test_agents_outside_the_maze_need_no_field(spark):
+    maze = spatial.MazeGrid.from_walls(spark.createDataFrame([(0, 0)], "x long, y long"))
+    inside = {"Pacman_X": 0.5, "Pacman_Y": 10.5}
+    ghosts = {f"Ghost{g}_{a}": 1.5 if a == "X" else 10.5 for g in (1, 2, 3, 4) for a in "XY"}
+    rows = [{**inside, **ghosts}] + [{"Pacman_X": 1000.0 + i, "Pacman_Y": 0.5, **ghosts} for i in range(5)]
+    got = spatial.entity_path_distances(spark.createDataFrame(rows), maze).collect()
+    assert sorted(r["Ghost1_distance"] for r in got)[:2] == [1.0, float("inf")]
