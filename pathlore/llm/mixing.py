@@ -13,7 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathlore.llm.common import WORD, stored, whole_text
+from pathlore.llm.common import WORD, scratch, stored, whole_text
 
 RANGE_ROWS = 20_000  # rows of one hash range or time range
 ROUNDS = 2  # a document is taken at most this often
@@ -104,9 +104,15 @@ def mix_counts(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: flo
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, id_col: str = "doc_id", source: str = "source", text: str = "text", seed: int = 0, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """The mix itself: the taken copies with all columns of ``docs`` plus mix_round and mix_time, sorted by mix_time."""
-    numbered = docs.withColumn("_mix_key", F.xxhash64(F.lit(seed + 1), F.col(id_col), whole_text(text)))
-    sized, queue = mix_plan(numbered, weights, share, "_mix_key", source, text, seed, range_rows)
-    first = sized.groupBy(F.col("id").alias("_mix_key")).agg(F.min("row").alias("row"))  # rows that repeat id and text are one document here
-    taken = queue.join(first, "row").select("_mix_key", F.col("round").alias("mix_round"), F.col("finish").alias("mix_time"))
-    return numbered.join(taken, "_mix_key").drop("_mix_key").orderBy("mix_time", id_col, "mix_round")
+    """The mix itself: the taken copies with all columns of ``docs`` plus mix_round and mix_time, sorted by mix_time.
+
+    Columns of ``docs`` with those two names are replaced. Rows that repeat id and text are one document here; an empty
+    table gives an empty mix, and documents without words are not taken.
+    """
+    docs = docs.drop("mix_round", "mix_time")
+    key = scratch(docs, "key")["key"]
+    numbered = docs.withColumn(key, F.xxhash64(F.lit(seed + 1), F.col(id_col), whole_text(text)))
+    sized, queue = mix_plan(numbered, weights, share, key, source, text, seed, range_rows)
+    first = sized.groupBy(F.col("id").alias(key)).agg(F.min("row").alias("row"))
+    taken = queue.join(first, "row").select(key, F.col("round").alias("mix_round"), F.col("finish").alias("mix_time"))
+    return numbered.join(taken, key).drop(key).orderBy("mix_time", id_col, "mix_round")
