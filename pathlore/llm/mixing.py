@@ -3,19 +3,20 @@
 Every source sends its documents in a shuffled order (a hash of the id), a second round after the first. A copy gets a
 virtual finish time: the tokens of its source up to its end, divided by the source's target. The copies of all sources
 are sorted by that time in ranges and cut where the budget is used up. Running sums over a hot source are made in two
-steps: totals of hash ranges, and within a range, so no task ever holds a source.
+steps: totals of hash ranges, and within a range. There are about as many ranges as the square root of the rows, so
+neither step ever has more than a few times that many rows in a task.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pathlore.llm.common import WORD, scratch, stored, whole_text
 
-RANGE_ROWS = 20_000  # rows of one hash range or time range
 ROUNDS = 2  # a document is taken at most this often
 
 
@@ -56,7 +57,7 @@ def _running(df: DataFrame, groups: list[str], cell: str, order: list[Column], s
     return joined.withColumn(out, F.col("_within") + F.coalesce("_carry", F.lit(0))).drop("_within", "_carry")
 
 
-def mix_plan(docs: DataFrame, weights: Sequence[float], share: float, id_col: str = "doc_id", source: str = "source", text: str = "text", seed: int = 0, range_rows: int = RANGE_ROWS) -> tuple[DataFrame, DataFrame]:
+def mix_plan(docs: DataFrame, weights: Sequence[float], share: float, id_col: str = "doc_id", source: str = "source", text: str = "text", seed: int = 0, ranges: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(sized rows, taken copies).
 
     Sized rows: row, id, src, size, source_size, target. Taken copies: row, round (0 or 1) and finish, the virtual
@@ -78,7 +79,7 @@ def mix_plan(docs: DataFrame, weights: Sequence[float], share: float, id_col: st
     )
     goals = goals.withColumnRenamed("src", "goal_src")
     sized = rows.join(F.broadcast(goals), F.col("src").eqNullSafe(F.col("goal_src"))).drop("goal_src")
-    ranges = max(1, n_rows // range_rows)
+    ranges = ranges or isqrt(n_rows) + 1
     share_of_deals = F.col("deal").cast("double") / F.lit(2.0**64) + 0.5  # rises with the deal, so the order is the same for any number of ranges
     live = sized.where("size > 0 and target > 0").withColumn("cell", F.least(F.floor(share_of_deals * ranges).cast("long"), F.lit(ranges - 1).cast("long")))
     live = live.withColumn("lane", F.coalesce(F.concat(F.lit("="), "src"), F.lit("-")))
@@ -87,23 +88,23 @@ def mix_plan(docs: DataFrame, weights: Sequence[float], share: float, id_col: st
     timed = copies.withColumn("finish", (F.col("done") + F.col("round") * F.col("source_size")) / F.col("target"))
     budget = sum(targets.values())
     # Sources advance in step, so the cut lies near time 1 and the budget spreads evenly over the times before it.
-    slices = max(1, ROUNDS * n_rows // range_rows)
+    slices = ROUNDS * ranges
     sliced = timed.withColumn("slice", F.floor(F.col("finish") * slices).cast("long"))
     order = [F.col("finish"), F.col("lane"), F.col("deal"), F.col("id"), F.col("row"), F.col("round")]
     queued = _running(sliced, [], "slice", order, "size", "used")
     return sized, queued.where(F.col("used") <= budget).select("row", "round", "finish", "used")
 
 
-def mix_counts(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, id_col: str = "doc_id", source: str = "source", text: str = "text", seed: int = 0, range_rows: int = RANGE_ROWS) -> DataFrame:
+def mix_counts(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, id_col: str = "doc_id", source: str = "source", text: str = "text", seed: int = 0, ranges: int | None = None) -> DataFrame:
     """One row per row of ``docs``: id, size, source_size, target of its source, and taken (words the mix takes of it)."""
-    sized, queue = mix_plan(docs, weights, share, id_col, source, text, seed, range_rows)
+    sized, queue = mix_plan(docs, weights, share, id_col, source, text, seed, ranges)
     times = queue.groupBy("row").agg(F.count(F.lit(1)).alias("times"))
     return sized.join(times, "row", "left").select(
         F.col("id").alias(id_col), "size", "source_size", "target", (F.col("size") * F.coalesce("times", F.lit(0))).cast("long").alias("taken")
     )
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, id_col: str = "doc_id", source: str = "source", text: str = "text", seed: int = 0, range_rows: int = RANGE_ROWS) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, id_col: str = "doc_id", source: str = "source", text: str = "text", seed: int = 0, ranges: int | None = None) -> DataFrame:
     """The mix itself: the taken copies with all columns of ``docs`` plus mix_round and mix_time, sorted by mix_time.
 
     Columns of ``docs`` with those two names are replaced. Rows that repeat id and text are one document here; an empty
@@ -112,7 +113,7 @@ def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.
     docs = docs.drop("mix_round", "mix_time")
     key = scratch(docs, "key")["key"]
     numbered = docs.withColumn(key, F.xxhash64(F.lit(seed + 1), F.col(id_col), whole_text(text)))
-    sized, queue = mix_plan(numbered, weights, share, key, source, text, seed, range_rows)
+    sized, queue = mix_plan(numbered, weights, share, key, source, text, seed, ranges)
     first = sized.groupBy(F.col("id").alias(key)).agg(F.min("row").alias("row"))
     taken = queue.join(first, "row").select(key, F.col("round").alias("mix_round"), F.col("finish").alias("mix_time"))
     return numbered.join(taken, key).drop(key).orderBy("mix_time", id_col, "mix_round")
