@@ -148,7 +148,27 @@ def g10_paths(spark, sf):
     return spatial.shortest_paths(goal_pairs(spark, sf), MazeGrid.from_walls(maze_walls(spark, sf)))
 
 
-@query("r10_entity_path_distances")
+# The same search against the edges, from every agent cell: one length for each point it can be reached from.
+_BACK = """rb(sx, sy, x2, y2, d) USING KEY (sx, sy, x2, y2) AS (SELECT DISTINCT ax, ay, ax, ay, 0::BIGINT FROM seen WHERE ax BETWEEN -27 AND 27 AND ay BETWEEN -33 AND 27
+ UNION SELECT f.sx, f.sy, nb.x2, nb.y2, f.d + 1 FROM rb f JOIN nb ON nb.nx = f.x2 AND nb.ny = f.y2
+ WHERE NOT EXISTS (SELECT 1 FROM recurring.rb r WHERE r.sx = f.sx AND r.sy = f.sy AND r.x2 = nb.x2 AND r.y2 = nb.y2))"""
+
+
+def _point_sql(name):
+    return f"CAST(round_even(2 * {name}_X, 0) AS BIGINT)", f"CAST(round_even(2 * {name}_Y, 0) AS BIGINT)"
+
+
+_SEEN = "seen AS (SELECT game_state_id, {} AS ax, {} AS ay, ".format(*_point_sql("Pacman")) + ", ".join(
+    "{} AS gx{g}, {} AS gy{g}".format(*_point_sql(f"Ghost{g}"), g=g) for g in (1, 2, 3, 4)
+) + " FROM states)"
+
+
+@query(
+    "r10_entity_path_distances",
+    "WITH RECURSIVE " + STATE_SQL + f", {WALLS_SQL}, {_EDGES}, {_SEEN}, {_BACK} SELECT game_state_id, "
+    + ", ".join(f"coalesce(r{g}.d / 2.0::DOUBLE, 'inf'::DOUBLE) AS Ghost{g}_distance" for g in (1, 2, 3, 4)) + " FROM seen "
+    + " ".join(f"LEFT JOIN rb r{g} ON r{g}.sx = ax AND r{g}.sy = ay AND r{g}.x2 = gx{g} AND r{g}.y2 = gy{g}" for g in (1, 2, 3, 4)),
+)
 def r10(spark, sf):
     maze = MazeGrid.from_walls(maze_walls(spark, sf))
     out = spatial.entity_path_distances(state_log(spark, sf).df, maze)
