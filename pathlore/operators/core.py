@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 MAX_ROWS = 1 << 20  # rows of one key that a single window task may sort
 ATTACH_BUCKET = 256  # steps per equi-join bucket of an interval join
 
+SMALL_BYTES = 64 << 20  # estimated size up to which all rows are counted before the rows of each key
 REMEMBERED = 1024  # measured peaks kept by a session
 
 _peaks: dict[tuple, int] = {}
@@ -55,15 +56,19 @@ def peak_rows(df: DataFrame, groups: Sequence[Column]) -> int:
     return row[0] or 0
 
 
-def _key_peak(df: DataFrame, key: Sequence[str]) -> int:
-    """``peak_rows`` per key, remembered per logical plan, its files and their size; it steers the strategy, not the result."""
+def _key_peak(df: DataFrame, key: Sequence[str], max_rows: int) -> int:
+    """``peak_rows`` per key, or the number of all rows where that is small enough already, which needs no shuffle by key.
+
+    Remembered per logical plan, its files and their size; it steers the strategy, not the result.
+    """
     narrow = df.select(*key)
-    size = str(narrow._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    ident = (df.sparkSession.sparkContext.applicationId, narrow.semanticHash(), tuple(key), size, tuple(sorted(narrow.inputFiles())))
+    size = int(str(narrow._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    ident = (df.sparkSession.sparkContext.applicationId, narrow.semanticHash(), tuple(key), max_rows, size, tuple(sorted(narrow.inputFiles())))
     if ident not in _peaks:
         if len(_peaks) >= REMEMBERED:
             _peaks.clear()
-        _peaks[ident] = peak_rows(df, [F.col(k) for k in key])
+        rows = narrow.count() if size <= SMALL_BYTES else None
+        _peaks[ident] = rows if rows is not None and rows <= max_rows else peak_rows(df, [F.col(k) for k in key])
     return _peaks[ident]
 
 
@@ -92,7 +97,7 @@ def order_log(
 ) -> OrderedLog:
     """Attach ``step`` = 0-based position of the row inside its key under the total order ``order``."""
     key, max_rows = tuple(key), max_rows or MAX_ROWS
-    if _key_peak(df, key) <= max_rows:
+    if _key_peak(df, key, max_rows) <= max_rows:
         w = Window.partitionBy(*key).orderBy(*order)
         return OrderedLog(df.withColumn(step, (F.row_number().over(w) - 1).cast("long")), key, step, None)
     cut = in_cells(df, key, order, max_rows)
@@ -104,7 +109,7 @@ def order_log(
 def assume_steps(df: DataFrame, key: Sequence[str], step: str = "step", max_rows: int | None = None) -> OrderedLog:
     """A log whose dense ``step`` was stored by an earlier job."""
     key, max_rows = tuple(key), max_rows or MAX_ROWS
-    return OrderedLog(df, key, step, None if _key_peak(df, key) <= max_rows else max_rows)
+    return OrderedLog(df, key, step, None if _key_peak(df, key, max_rows) <= max_rows else max_rows)
 
 
 _AGG = {"sum": F.sum, "min": F.min, "max": F.max}

@@ -77,12 +77,12 @@ def eaten_pellets(log: OrderedLog, pellets: DataFrame, px: str = "px", py: str =
         for r in pdf.itertuples(index=False):
             if not left.any():
                 break
-            d = np.hypot(points[:, 0] - r.x, points[:, 1] - r.y)
+            d = (points[:, 0] - r.x) ** 2 + (points[:, 1] - r.y) ** 2  # squares of half units are exact, so ties are ties
             if r.step == 0:
                 gone = np.argsort(d, kind="stable")[: max(0, full - int(r.counter))]
             else:
                 nearest = int(np.where(left, d, np.inf).argmin())
-                gone = [nearest] if d[nearest] <= REACH or r.drop else []
+                gone = [nearest] if d[nearest] <= REACH**2 or r.drop else []
             for p in gone:
                 left[p] = False
                 out.append((r.step, int(p), points[p, 0], points[p, 1]))

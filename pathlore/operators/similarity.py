@@ -144,6 +144,9 @@ def vector_euclidean(a, b, ia, ib):
 Kernel = Callable[[list, list, np.ndarray, np.ndarray], np.ndarray]
 
 
+SLACK = 1 + 1e-9  # bounds and cells are this much wider than eps, so rounding loses no pair; the last test is exact
+
+
 @dataclass(frozen=True)
 class Measure:
     """``key``: projection of an item with |key(a) - key(b)| <= distance(a, b), or None when there is none.
@@ -242,7 +245,7 @@ def _pairs_of(pdf: pd.DataFrame, m: Measure, eps: float | None):
     else:
         ia, ib = (g.ravel() for g in np.indices((len(il), len(ir))))
     if eps is not None and m.bound is not None and len(ia):
-        keep = m.bound(a, b, ia, ib) <= eps
+        keep = m.bound(a, b, ia, ib) <= eps * SLACK
         ia, ib = ia[keep], ib[keep]
     if not len(ia):
         return il[:0], ir[:0], np.empty(0)
@@ -253,7 +256,7 @@ def _pairs_of(pdf: pd.DataFrame, m: Measure, eps: float | None):
 def _run(items, measure, eps, ident, value, block_rows, shape: Callable, schema: str, band=None, group=()):
     m = find_measure(measure, band)
     bounded = eps is not None and m.key is not None and eps > 0
-    cell = F.floor(m.key(F.col(value)) / F.lit(float(eps))).cast("long") if bounded else F.lit(0).cast("long")
+    cell = F.floor(m.key(F.col(value)) / F.lit(float(eps) * SLACK)).cast("long") if bounded else F.lit(0).cast("long")
     plain = F.transform(value, lambda x: x.cast("double")) if m.vector else flat(value)
     placed = items.select(*group, F.col(ident).alias("id"), plain.alias("v"), cell.alias("cell"))
     tasks = _tasks(placed, block_rows or BLOCK_ROWS, bounded, group)

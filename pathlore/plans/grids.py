@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from pathlore.functions.expressions import grid_x, grid_y, half_unit, quadrant_index
 from pathlore.operators import spatial
-from pathlore.operators.pellets import eaten_pellets, pellet_availability, remaining_pills
+from pathlore.operators.pellets import POWER_PILLS, eaten_pellets, pellet_availability, remaining_pills
 from pathlore.operators.spatial import MazeGrid
 from pathlore.operators.behaviour import OPPOSITE_CORNER
 from pathlore.plans.behaviours import GRID_SQL, QUAD, WALLS_SQL, maze_walls
@@ -207,18 +207,41 @@ def pellet_grid(spark, sf):
     return tile.groupBy("px", "py").agg((F.sum("event_id") % 5).alias("m")).where("m in (1, 2)").select("px", "py")
 
 
-@query("r8_eaten_pellets")
+# The fold row by row: the pellets left travel as a list; ties go to the pellet first in reading order.
+_FOLD = """dots AS (SELECT CAST(row_number() OVER (ORDER BY py DESC, px) - 1 AS BIGINT) AS p, px, py FROM (
+  SELECT k % 28 - 13.5::DOUBLE AS px, event_id % 31 - 16.5::DOUBLE AS py FROM ev GROUP BY 1, 2 HAVING sum(event_id) % 5 IN (1, 2))),
+ alldots AS (SELECT list({'p': p, 'x': px, 'y': py} ORDER BY p) AS l FROM dots),
+ falls AS (SELECT level_id, step, Pacman_X AS x, Pacman_Y AS y, pellets, coalesce(pellets - lag(pellets) OVER (PARTITION BY level_id ORDER BY step) = -1, false) AS fell FROM states),
+ rc(level_id, step, rest, gone) AS (
+  SELECT level_id, step, list_filter(l, lambda v: NOT list_contains(first, v.p)), list_filter(l, lambda v: list_contains(first, v.p)) FROM (
+   SELECT f.level_id, f.step, l, list_transform(list_sort(list_transform(l, lambda v: {'d': (v.x - f.x) * (v.x - f.x) + (v.y - f.y) * (v.y - f.y), 'p': v.p}))[1:greatest(0, 244 - pellets)], lambda v: v.p) AS first
+   FROM falls f, alldots WHERE f.step = 0)
+  UNION ALL
+  SELECT level_id, step, CASE WHEN eat THEN list_filter(rest, lambda v: v.p <> near.p) ELSE rest END, CASE WHEN eat THEN list_filter(rest, lambda v: v.p = near.p) ELSE [] END FROM (
+   SELECT *, len(rest) > 0 AND (near.d <= 0.25 OR fell) AS eat FROM (
+    SELECT f.level_id, f.step, rest, fell, list_sort(list_transform(rest, lambda v: {'d': (v.x - f.x) * (v.x - f.x) + (v.y - f.y) * (v.y - f.y), 'p': v.p}))[1] AS near
+    FROM rc JOIN falls f ON f.level_id = rc.level_id AND f.step = rc.step + 1)))"""
+
+
+@query(
+    "r8_eaten_pellets",
+    "WITH RECURSIVE " + STATE_SQL + f", {_FOLD} SELECT level_id, step, g.p AS pellet, g.x AS px, g.y AS py FROM (SELECT level_id, step, unnest(gone) AS g FROM rc)",
+)
 def r8(spark, sf):
     return eaten_pellets(state_log(spark, sf), pellet_grid(spark, sf))
 
 
-@query("r8_pellet_availability")
+@query("r8_pellet_availability", "WITH RECURSIVE " + STATE_SQL + f", {_FOLD} SELECT level_id, step, CAST(len(rest) AS BIGINT) AS remaining FROM rc")
 def r8_availability(spark, sf):
     log, dots = state_log(spark, sf), pellet_grid(spark, sf)
     return pellet_availability(log, dots, eaten_pellets(log, dots))
 
 
-@query("r9_remaining_pills")
+@query(
+    "r9_remaining_pills",
+    "WITH RECURSIVE " + STATE_SQL + f", {_FOLD} SELECT level_id, step, "
+    + ", ".join(f"len(list_filter(rest, lambda v: v.x = {x} AND v.y = {y})) > 0 AS pill_{i}" for i, (x, y) in enumerate(POWER_PILLS, 1)) + " FROM rc",
+)
 def r9(spark, sf):
     log, dots = state_log(spark, sf), pellet_grid(spark, sf)
     return remaining_pills(log, dots, eaten_pellets(log, dots))
