@@ -149,28 +149,28 @@ SLACK = 1 + 1e-9  # bounds and cells are this much wider than eps, so rounding l
 
 @dataclass(frozen=True)
 class Measure:
-    """``key``: projection of an item with |key(a) - key(b)| <= distance(a, b), or None when there is none.
+    """``key``: one or two projections of an item with |key(a) - key(b)| <= distance(a, b) each, or None when there is none.
     ``bound``: cheap kernel that is never above the distance; pairs above eps skip the real one."""
 
     kernel: Kernel
-    key: Callable[[Column], Column] | None = None
+    key: Callable[[Column], list[Column]] | None = None
     vector: bool = False
     bound: Kernel | None = None
 
 
-def _total(axis: str):
-    return lambda pts: F.aggregate(pts, F.lit(0.0), lambda acc, p: acc + p[axis])
+def _totals(pts: Column) -> list[Column]:
+    return [F.aggregate(pts, F.lit(0.0), lambda acc, p: acc + p["x"]), F.aggregate(pts, F.lit(0.0), lambda acc, p: acc + p["y"])]
 
 
 MEASURES: dict[str, Measure] = {
     # the summed differences of one axis never exceed the summed point distances
-    "euclidean": Measure(euclidean, _total("x")),
-    "manhattan": Measure(manhattan, _total("x")),
-    # every alignment pairs the two first points
-    "dtw": Measure(dtw, lambda pts: pts[0]["x"], bound=dtw_bound),
+    "euclidean": Measure(euclidean, _totals),
+    "manhattan": Measure(manhattan, _totals),
+    # every alignment pairs the two first points, and the two last ones
+    "dtw": Measure(dtw, lambda pts: [pts[0]["x"], F.element_at(pts, -1)["y"]], bound=dtw_bound),
     "cosine": Measure(cosine, vector=True),
     "negative_euclidean": Measure(negative_euclidean, vector=True),
-    "vector_euclidean": Measure(vector_euclidean, lambda v: v[0], vector=True),
+    "vector_euclidean": Measure(vector_euclidean, lambda v: [v[0], F.coalesce(F.get(v, F.lit(1)), F.lit(0.0))], vector=True),
 }
 
 
@@ -192,34 +192,42 @@ def find_measure(measure: str | Measure | Kernel, band: int | None = None) -> Me
 # ---- blocks of pairs ----------------------------------------------------------------------------------
 
 
+#: A cell meets itself and half of its neighbours, so that two cells meet once.
+SHIFTS = ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))
+
+
 def _tasks(placed: DataFrame, block_rows: int, neighbours: bool, group: Iterable[str] = ()) -> DataFrame:
-    """Copies of the items keyed by task: (group, cell, shift, lb, rb, side).
+    """Copies of the items keyed by task: (group, cell, cell2, shift, lb, rb, side).
 
-    Shift 0 pairs a cell's blocks among themselves, shift 1 with the blocks of the next cell. The number of
-    blocks follows the cell's measured size.
+    Shift 0 pairs a cell's blocks among themselves, the others with the blocks of a neighbour; the key names the left
+    cell. The number of blocks follows the cell's measured size. Which cells have which neighbours is settled between
+    cells, before any item is copied.
     """
     group = list(group)
-    spot = [*group, "cell"]
+    spot = [*group, "cell", "cell2"]
     sizes = placed.groupBy(*spot).agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("long").alias("nb"))
-    # A salted id spreads evenly over the blocks, whatever the ids look like.
-    sized = placed.join(sizes, spot).withColumn("b", F.pmod(F.xxhash64("id", F.lit(7)), F.col("nb")))
-    o = F.col("o")
-    same = sized.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select(
-        *spot, F.lit(0).alias("shift"), F.least("b", o).alias("lb"), F.greatest("b", o).alias("rb"),
-        (F.col("b") <= o).alias("left"), (F.col("b") >= o).alias("right"), "id", "v",
+    roles = [(0, 0, 0, True)] + [(n, dx, dy, left) for n, (dx, dy) in enumerate(SHIFTS) if n for left in (True, False)]
+    role = F.explode(F.array(*[
+        F.struct(F.lit(n).alias("shift"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(left).alias("is_left"))
+        for n, dx, dy, left in (roles if neighbours else roles[:1])
+    ]))
+    sign = F.when(F.col("r.is_left"), F.lit(1)).otherwise(F.lit(-1))
+    wanted = sizes.select(*spot, "nb", role.alias("r")).select(
+        *spot, "nb", "r", (F.col("cell") + sign * F.col("r.dx")).alias("_p"), (F.col("cell2") + sign * F.col("r.dy")).alias("_p2")
     )
-    if not neighbours:
-        return same
-    after = sizes.select(*group, (F.col("cell") - 1).alias("cell"), F.col("nb").alias("other"))
-    before = sizes.select(*group, (F.col("cell") + 1).alias("cell"), F.col("nb").alias("other"))
-    as_left = sized.join(after, spot).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("other") - 1))).select(
-        *spot, F.lit(1).alias("shift"), F.col("b").alias("lb"), o.alias("rb"), F.lit(True).alias("left"), F.lit(False).alias("right"), "id", "v"
-    )
-    as_right = sized.join(before, spot).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("other") - 1))).select(
-        *group, (F.col("cell") - 1).alias("cell"), F.lit(1).alias("shift"), o.alias("lb"), F.col("b").alias("rb"),
-        F.lit(False).alias("left"), F.lit(True).alias("right"), "id", "v",
+    partner = sizes.select(*group, F.col("cell").alias("_p"), F.col("cell2").alias("_p2"), F.col("nb").alias("other"))
+    meetings = wanted.join(partner, [*group, "_p", "_p2"]).drop("_p", "_p2")
+    # A salted id spreads evenly over the blocks, whatever the ids look like.
+    sized = placed.join(meetings, spot).withColumn("b", F.pmod(F.xxhash64("id", F.lit(7)), F.col("nb")))
+    copies = sized.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("other") - 1)))
+    same, left, o = F.col("r.shift") == 0, F.col("r.is_left"), F.col("o")
+    back = F.when(left, F.lit(0)).otherwise(F.lit(1))
+    return copies.select(
+        *group, (F.col("cell") - back * F.col("r.dx")).alias("cell"), (F.col("cell2") - back * F.col("r.dy")).alias("cell2"), F.col("r.shift").alias("shift"),
+        F.when(same, F.least("b", o)).when(left, F.col("b")).otherwise(o).alias("lb"),
+        F.when(same, F.greatest("b", o)).when(left, o).otherwise(F.col("b")).alias("rb"),
+        F.when(same, F.col("b") <= o).otherwise(left).alias("left"), F.when(same, F.col("b") >= o).otherwise(~left).alias("right"), "id", "v",
     )
-    return same.unionByName(as_left).unionByName(as_right)
 
 
 def flat(c: Column | str) -> Column:
@@ -256,11 +264,12 @@ def _pairs_of(pdf: pd.DataFrame, m: Measure, eps: float | None):
 def _run(items, measure, eps, ident, value, block_rows, shape: Callable, schema: str, band=None, group=()):
     m = find_measure(measure, band)
     bounded = eps is not None and m.key is not None and eps > 0
-    cell = F.floor(m.key(F.col(value)) / F.lit(float(eps) * SLACK)).cast("long") if bounded else F.lit(0).cast("long")
+    ways = m.key(F.col(value)) if bounded else []
+    cells = [F.floor(w / F.lit(float(eps) * SLACK)).cast("long") for w in ways] + [F.lit(0).cast("long")] * (2 - len(ways))
     plain = F.transform(value, lambda x: x.cast("double")) if m.vector else flat(value)
-    placed = items.select(*group, F.col(ident).alias("id"), plain.alias("v"), cell.alias("cell"))
+    placed = items.select(*group, F.col(ident).alias("id"), plain.alias("v"), cells[0].alias("cell"), cells[1].alias("cell2"))
     tasks = _tasks(placed, block_rows or BLOCK_ROWS, bounded, group)
-    keys = [*group, "cell", "shift", "lb", "rb"]
+    keys = [*group, "cell", "cell2", "shift", "lb", "rb"]
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j, d = _pairs_of(pdf, m, eps)

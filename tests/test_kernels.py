@@ -5,6 +5,7 @@ import random
 from collections import deque
 
 import numpy as np
+import pandas as pd
 import pytest
 from helpers import make_log, tuples
 from pyspark.sql import functions as F
@@ -329,3 +330,15 @@ def test_agents_outside_the_maze_need_no_field(spark):
     rows = [{**inside, **ghosts}] + [{"Pacman_X": 1000.0 + i, "Pacman_Y": 0.5, **ghosts} for i in range(5)]
     got = spatial.entity_path_distances(spark.createDataFrame(rows), maze).collect()
     assert sorted(r["Ghost1_distance"] for r in got)[:2] == [1.0, float("inf")]
+
+
+@pytest.mark.parametrize("name,eps", [("euclidean", 8.0), ("dtw", 6.0)])
+def test_few_pairs_are_compared_when_items_lie_apart(spark, name, eps):
+    """Cells of both projections keep far items from ever meeting; what is left is every pair within the distance."""
+    rng = random.Random(31)
+    paths = [[(float(rng.randint(0, 60)), float(rng.randint(0, 60)))] * 2 for _ in range(300)]
+    frame = path_frame(spark, paths)
+    compared = sim._run(frame, name, eps, "traj_id", "points", None, lambda i, j, d: pd.DataFrame({"n": [len(i)]}), "n long").groupBy().sum("n").first()[0]
+    assert compared < 300 * 299 / 2 / 8
+    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if sum(math.dist(p, q) for p, q in zip(paths[i], paths[j])) <= eps}
+    assert {(r.i, r.j) for r in sim.pairs_within(frame, name, eps).collect()} == want
