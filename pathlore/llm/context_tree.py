@@ -281,6 +281,16 @@ def log10_of(keys: np.ndarray, p: np.ndarray, low: tuple[np.ndarray, ...]) -> np
     return np.log10(np.where(bit == 1, p, 1 - p)).sum(axis=1)
 
 
+def fold(p: np.ndarray) -> np.ndarray:
+    """The smaller of p and 1 - p, the latter with a minus sign: float32 keeps its digits next to 1 as well as next to 0."""
+    return np.where(p <= 0.5, p, p - 1).astype(np.float32)
+
+
+def unfold(q: np.ndarray) -> np.ndarray:
+    q = q.astype(float)
+    return np.where(q < 0, 1 + q, q)
+
+
 def _only_row(kind: str, shard: int, **arrays: bytes) -> pa.Table:
     return pa.table({"kind": [kind], "shard": pa.array([shard], pa.int32()), **{k: pa.array([v], pa.binary()) for k, v in arrays.items()}})
 
@@ -297,7 +307,7 @@ def shard_model(depth: int):
         if kind == "w":
             return _only_row(kind, shard, keys=squeeze_keys(keys), data=squeeze(counts), sums=np.array([counts.sum(), (counts > 0).sum()], float).tobytes())
         p, sums = weigh(keys, counts, depth)
-        return _only_row(kind, shard, keys=squeeze_keys(keys), data=squeeze(p.astype(np.float32)), sums=np.concatenate([sums["log"], sums["zeros"], sums["ones"]]).tobytes())
+        return _only_row(kind, shard, keys=squeeze_keys(keys), data=squeeze(fold(p)), sums=np.concatenate([sums["log"], sums["zeros"], sums["ones"]]).tobytes())
 
     return model
 
@@ -310,7 +320,7 @@ def answers(low: tuple[np.ndarray, ...]):
         if kind == "w":
             value = unsqueeze(model["data"][0].as_py(), np.int64).astype(float)
         else:
-            value = log10_of(keys, unsqueeze(model["data"][0].as_py(), np.float32).reshape(-1, 8).astype(float), low)
+            value = log10_of(keys, unfold(unsqueeze(model["data"][0].as_py(), np.float32)).reshape(-1, 8), low)
         value = value.astype(np.float32 if kind == "b" else np.float64)
         out = [squeeze(value[np.searchsorted(keys, unsqueeze_keys(k.as_py()))]) for k in lists["keys"]]
         return pa.table({
