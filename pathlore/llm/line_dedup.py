@@ -11,7 +11,8 @@ not paired: everything outside the other segment is equal, so its lines are link
 one place left open, or with one character removed), whose groups are bounded by the alphabet and linked as stars, with
 work in proportion to the lines. Either way gives the same links.
 
-Lines shorter than ``least`` code points say too little to be called copies and always stay.
+Lines shorter than ``least`` code points say too little to be copies within an edit. With ``short`` their exact copies are
+found by hash like those of any line that is not empty; without it they always stay, as the SQL of op9_line_dedup has it.
 """
 
 from __future__ import annotations
@@ -171,19 +172,23 @@ def deletion_links(lines: DataFrame) -> DataFrame:
     return met.where("hub is not null and hub <> id").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
 
 
-def copied_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, least: int = LEAST, hot: int = HOT) -> DataFrame:
+def copied_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, least: int = LEAST, hot: int = HOT, short: bool = False) -> DataFrame:
     """(r1, r2, places): for rows with lines that an earlier line is a copy of, the places of those lines.
 
     Classes of lines are components of the links. Of a class the line of the smallest id (NULL last), row hash and place
     stays. Rows that repeat id and text are one row here. Empty tables give no rows.
     """
-    lines = read_lines(docs, id_col, text).where(F.length("line") >= least)
+    lines = read_lines(docs, id_col, text).where(F.length("line") >= (min(1, least) if short else least))
     size = F.length("line")
+
+    def if_long(keys: list[Column]) -> Column:
+        return F.when(size >= least, F.array(*keys)).otherwise(F.array().cast("array<bigint>"))
+
     seen = stored(lines.select(
         "doc", "r1", "r2", "place", line_id(F.col("line")).alias("id"),
-        F.array(*index_keys(F.col("line"), size, threshold)).alias("keys"), F.array(*probe_keys(F.col("line"), size, threshold)).alias("probes"),
+        if_long(index_keys(F.col("line"), size, threshold)).alias("keys"), if_long(probe_keys(F.col("line"), size, threshold)).alias("probes"),
     ))
-    once = seen.groupBy("id").agg(F.first("keys").alias("keys"), F.first("probes").alias("probes"))
+    once = seen.where(F.size("keys") > 0).groupBy("id").agg(F.first("keys").alias("keys"), F.first("probes").alias("probes"))
     texts = lines.select(line_id(F.col("line")).alias("id"), "line")
     classes = stored(components(line_links(once, texts, threshold, hot)))
     named = seen.select("doc", "r1", "r2", "place", "id").join(classes, F.col("id") == F.col("node"), "left")
@@ -193,23 +198,23 @@ def copied_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", th
     return later.groupBy("at.r1", "at.r2").agg(F.sort_array(F.collect_set("at.place")).alias("places"))
 
 
-def line_report(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, least: int = LEAST, hot: int = HOT) -> DataFrame:
+def line_report(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, least: int = LEAST, hot: int = HOT, short: bool = False) -> DataFrame:
     """One row per row of ``docs``: id, n_lines, n_copies and the places of its copied lines (from 0, joined by commas).
 
     NULL and empty texts are one empty line; lines with nothing or little in them are never copies.
     """
     r1, r2 = row_hashes(id_col, text)
     rows = docs.select(F.col(id_col), r1.alias("r1"), r2.alias("r2"), F.size(F.split(whole_text(text), "\n")).cast("long").alias("n_lines"))
-    found = copied_lines(docs, id_col, text, threshold, least, hot)
+    found = copied_lines(docs, id_col, text, threshold, least, hot, short)
     return rows.join(found, ["r1", "r2"], "left").select(
         id_col, "n_lines", F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_copies"), F.coalesce(F.array_join("places", ","), F.lit("")).alias("copies")
     )
 
 
-def drop_copied_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: str | None = None, threshold: int = THRESHOLD, least: int = LEAST, hot: int = HOT) -> DataFrame:
+def drop_copied_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: str | None = None, threshold: int = THRESHOLD, least: int = LEAST, hot: int = HOT, short: bool = False) -> DataFrame:
     """``docs`` with the copied lines taken out of the texts (and ``length``, if named, set anew); every row stays."""
     names = scratch(docs, "r1", "r2", "places")
-    found = copied_lines(docs, id_col, text, threshold, least, hot).select(
+    found = copied_lines(docs, id_col, text, threshold, least, hot, short).select(
         F.col("r1").alias(names["r1"]), F.col("r2").alias(names["r2"]), F.col("places").alias(names["places"])
     )
     keys = dict(zip((names["r1"], names["r2"]), row_hashes(id_col, text)))

@@ -3,6 +3,7 @@
 import numpy as np
 import pyarrow as pa
 
+import corpus_pipeline
 from pathlore.llm import context_tree
 
 
@@ -20,3 +21,11 @@ def test_an_unseen_byte_after_a_frequent_context_has_a_finite_score():
     got = context_tree.unsqueeze(context_tree.answers(low)(name, lists, model)["data"][0].as_py(), np.float32)
     want = context_tree.log10_of(keys, context_tree.weigh(keys, counts, 4)[0], low)
     assert np.isfinite(got).all() and np.allclose(got, want, rtol=1e-5)
+
+
+def test_exact_copies_of_short_lines_go_in_the_pipeline(spark):
+    long = "a line that is long enough to be compared within one edit"
+    rows = [(1, f"All rights reserved.\n{long}\n\nx", 5), (2, f"first\n All rights reserved.\r\n{long}!\n", 5), (3, "All rights reserved!\n\nx\nx", 5), (4, None, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.drop_copied_lines(spark, docs, "").collect()}
+    assert got == {1: (rows[0][1], 5), 2: ("first\n", 6), 3: ("All rights reserved!\n", 21), 4: (None, 0)}
