@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathlore.llm import contamination, context_tree, exact_dedup, licenses, line_dedup, mixing, quality, secrets, simhash, token_counts
+from pathlore.llm import contamination, context_tree, exact_dedup, licenses, line_dedup, mixing, phrases, quality, secrets, simhash, token_counts
 from pathlore.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +151,34 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op11_phrases",
+    r"""
+    WITH p AS (
+      SELECT coalesce(lang, 'und') AS lang, doc_id, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+      FROM documents
+    ), w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM p
+    ), g AS (
+      SELECT lang, size, unnest([array_to_string(words[k:k + size - 1], ' ') for k in range(1, len(words) - size + 2)]) AS gram
+      FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS size) WHERE len(words) >= size
+    ), t AS (SELECT lang, count(*) AS n FROM g WHERE size = 1 GROUP BY lang
+    ), f AS (SELECT lang, size, gram, count(*) AS a FROM g GROUP BY lang, size, gram HAVING count(*) >= 100
+    ), i AS (
+      SELECT lang, a, unnest(flatten([[array_to_string(string_split(gram, ' ')[k:k + m - 1], ' ') for k in range(1, size - m + 2)] for m in range(2, size)])) AS gram FROM f WHERE size > 2
+    ), c AS (SELECT lang, gram, max(a) AS cover FROM i GROUP BY lang, gram
+    ), k AS (
+      SELECT lang, gram, size, a, unnest(range(1, size)) AS cut FROM f LEFT JOIN c USING (lang, gram) WHERE size > 1 AND (cover IS NULL OR 100 * cover < 100 * a)
+    ), s AS (
+      SELECT k.lang, k.gram, k.a, cut, x.a AS l, y.a AS r, t.n, CAST((1000 * k.a::HUGEINT * t.n) // (x.a::HUGEINT * y.a) AS BIGINT) AS score
+      FROM k JOIN t ON t.lang = k.lang
+      JOIN f x ON x.lang = k.lang AND x.gram = array_to_string(string_split(k.gram, ' ')[1:cut], ' ')
+      JOIN f y ON y.lang = k.lang AND y.gram = array_to_string(string_split(k.gram, ' ')[cut + 1:], ' ')
+    ), b AS (SELECT *, row_number() OVER (PARTITION BY lang, gram ORDER BY score, cut) AS nth FROM s
+    ), o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, gram) AS rank FROM b WHERE nth = 1)
+    SELECT lang, rank, gram AS phrase, a, l, r, n, score FROM o WHERE rank <= 2000
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=100, longest=5, cover=100, top=2000)
