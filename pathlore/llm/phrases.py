@@ -27,7 +27,7 @@ from pathlore.llm.common import stored, whole_text
 
 BREAKS = ".,;:!?\n\x0b\x0c\r"
 GAPS = " \t"
-PACKET_BYTES = 16 << 20  # text counted at once within a task
+PACKET_BYTES = 4 << 20  # text counted at once within a task
 BITS_PER_GRAM = 16
 MAX_BITS = 1 << 29  # 64 MB, the most that is sent to an executor
 BUCKET_BITS = 32768  # bits of one bitmap of Spark's bitmap functions

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pathlore.llm import contamination, context_tree, exact_dedup, licenses, line_dedup, mixing, phrases, quality, secrets, simhash, token_counts
+from pathlore.llm import chats, contamination, context_tree, exact_dedup, licenses, line_dedup, merkle, mixing, phrases, quality, secrets, simhash, token_counts
 from pathlore.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -182,3 +182,15 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"), least=100, longest=5, cover=100, top=2000)
+
+
+@query("op13_merkle")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_report(table(spark, sf_dir, "documents"))
+
+
+@query("op12_chats")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mark = "</s>[INST] ok [/INST]"
+    added = spark.createDataFrame([(-1, 0, "user", mark), (-1, 1, "assistant", mark)], "conv_id long, turn long, role string, text string")
+    return chats.chat_digest(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(added))
