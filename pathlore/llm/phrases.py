@@ -31,6 +31,7 @@ PACKET_BYTES = 4 << 20  # text counted at once within a task
 BITS_PER_GRAM = 16
 MAX_BITS = 1 << 29  # 64 MB, the most that is sent to an executor
 BUCKET_BITS = 32768  # bits of one bitmap of Spark's bitmap functions
+TOTALS_BYTES = 16 << 20
 NO_LANG = "und"
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -118,6 +119,7 @@ def rows_of(words: Words, units: list[np.ndarray], counts: np.ndarray) -> pa.Rec
 
 
 COUNTED = "lang string, gram string, size int, n long"
+PAIR_SHIFT = np.uint64(24)  # pairs are counted by 40 bits of their hash: pairs that share them count together, so none is lost
 
 
 def _word_counts(limit: int) -> Callable:
@@ -134,12 +136,12 @@ def _pair_counts(limit: int, frequent) -> Callable:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text in packets(batches, limit):
             words = Words(lang, text)
-            known = is_set(frequent.value, words.hashes())[words.unit]
+            known = is_set(frequent.value, words.hashes() >> np.uint64(1))[words.unit]
             at = np.flatnonzero(words.joined & known[:-1] & known[1:])
             if len(at):
-                size = len(words.units)
-                pair, keys = numbered(words.unit[at] * size + words.unit[at + 1])
-                yield rows_of(words, [keys // size, keys % size], np.bincount(pair, minlength=len(keys)))
+                hashes = words.hashes()
+                pair, keys = numbered((pair_hashes(hashes[words.unit[at]], hashes[words.unit[at + 1]]) >> PAIR_SHIFT).astype(np.int64))
+                yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(np.bincount(pair, minlength=len(keys)), pa.int64())], names=["place", "n"])
 
     return count
 
@@ -153,10 +155,10 @@ def _edge_counts(limit: int, frequent, pairs, longest: int) -> Callable:
             if not len(words.unit):
                 continue
             hashes = words.hashes()
-            known = is_set(frequent.value, hashes)[words.unit]
+            known = is_set(frequent.value, hashes >> np.uint64(1))[words.unit]
             linked = words.joined & known[:-1] & known[1:]
             at = np.flatnonzero(linked)
-            linked[at] = is_set(pairs.value, pair_hashes(hashes[words.unit[at]], hashes[words.unit[at + 1]]))
+            linked[at] = is_set(pairs.value, pair_hashes(hashes[words.unit[at]], hashes[words.unit[at + 1]]) >> PAIR_SHIFT)
             reach = np.zeros(len(words.unit), np.int64)  # further words, at most longest - 1
             ahead = np.append(linked, False)
             for step in range(longest - 1):
@@ -177,27 +179,19 @@ def _edge_counts(limit: int, frequent, pairs, longest: int) -> Callable:
     return count
 
 
-def _gram_bits(bits: int) -> Callable:
-    """Place in the bitmap of each frequent word or pair."""
-
-    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs, grams = batch.column(0).to_pylist(), [g.split(" ") for g in batch.column(1).to_pylist()]
-            hashes = word_hashes(langs, [g[0] for g in grams])
-            if grams and len(grams[0]) == 2:
-                hashes = pair_hashes(hashes, word_hashes(langs, [g[1] for g in grams]))
-            yield pa.record_batch([pa.array((hashes % np.uint64(bits)).astype(np.int64))], names=["place"])
-
-    return places
+def _word_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hashes = word_hashes(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+        yield pa.record_batch([pa.array((hashes >> np.uint64(1)).astype(np.int64))], names=["place"])
 
 
-def bitmap(frequent: DataFrame, max_bits: int = MAX_BITS) -> np.ndarray:
-    """Bits of the hashes of (lang, gram), all of one size. Its length follows their number and is bounded by ``max_bits``."""
-    wanted, bits = min(frequent.count() * BITS_PER_GRAM, max_bits), BUCKET_BITS
+def bitmap(places: DataFrame, max_bits: int = MAX_BITS) -> np.ndarray:
+    """Bits at ``place`` (non-negative) modulo their number, which follows the number of rows and is bounded by ``max_bits``."""
+    wanted, bits = min(places.count() * BITS_PER_GRAM, max_bits), BUCKET_BITS
     while bits < wanted:
         bits *= 2
-    places = frequent.select("lang", "gram").mapInArrow(_gram_bits(bits), "place long")
-    parts = places.groupBy(F.expr(f"place div {BUCKET_BITS}").alias("bucket")).agg(F.expr(f"bitmap_construct_agg(place % {BUCKET_BITS})").alias("bits"))
+    at = places.select((F.col("place") % bits).alias("at"))
+    parts = at.groupBy(F.expr(f"at div {BUCKET_BITS}").alias("bucket")).agg(F.expr(f"bitmap_construct_agg(at % {BUCKET_BITS})").alias("bits"))
     out = np.zeros(bits // 8, np.uint8)
     for r in parts.collect():  # at most max_bits / 8 bytes
         out[r["bucket"] * BUCKET_BITS // 8 : (r["bucket"] + 1) * BUCKET_BITS // 8] = np.frombuffer(r["bits"], np.uint8)
@@ -233,9 +227,9 @@ class PhraseGraph:
         kept = stored(both.where((F.col("gram") == "") | (F.col("n") >= least)))
         self.totals = kept.where("gram = ''").select("lang", F.col("n").alias("words_total"))
         self.words = kept.where("gram <> ''").select("lang", "gram", "n")
-        known = sc.broadcast(bitmap(self.words, max_bits))
-        pairs = stored(summed(read.mapInArrow(_pair_counts(packet, known), COUNTED)).where(F.col("n") >= least))
-        linked = sc.broadcast(bitmap(pairs, max_bits))
+        known = sc.broadcast(bitmap(self.words.select("lang", "gram").mapInArrow(_word_places, "place long"), max_bits))
+        pairs = read.mapInArrow(_pair_counts(packet, known), "place long, n long").groupBy("place").agg(F.sum("n").alias("n"))
+        linked = sc.broadcast(bitmap(stored(pairs.where(F.col("n") >= least).select("place")), max_bits))
         self.records = stored(summed(read.mapInArrow(_edge_counts(packet, known, linked, longest), COUNTED)))
 
     def flow(self) -> dict[int, DataFrame]:
@@ -306,6 +300,12 @@ class PhraseGraph:
         return inside.groupBy("lang", "gram").agg(F.max("n").alias("cover"))
 
 
+def small(totals: DataFrame) -> DataFrame:
+    """One row a lang, marked for broadcast if they all fit in ``TOTALS_BYTES``."""
+    held = totals.agg(F.sum(F.octet_length("lang") + 16)).first()[0] or 0
+    return F.broadcast(totals) if held <= TOTALS_BYTES else totals
+
+
 def score(a: Column, n: Column, left: Column, right: Column) -> Column:
     """floor(1000 a n / (left right)), exact: products are decimals of 38 digits."""
     top = (a * 1000).cast("decimal(19,0)") * n.cast("decimal(18,0)")
@@ -326,8 +326,7 @@ def scored(graph: PhraseGraph, cover: int = 100) -> DataFrame:
     known = graph.words.unionByName(counts.select("lang", "gram", "n"))
     for part, name in (("head", "l"), ("tail", "r")):
         cuts = cuts.join(known.select("lang", F.col("gram").alias(part), F.col("n").alias(name)), ["lang", part])
-    totals = graph.totals.withColumnRenamed("words_total", "n")
-    cuts = cuts.join(totals, "lang").withColumn("score", score(F.col("a"), F.col("n"), F.col("l"), F.col("r")))
+    cuts = cuts.join(small(graph.totals.withColumnRenamed("words_total", "n")), "lang").withColumn("score", score(F.col("a"), F.col("n"), F.col("l"), F.col("r")))
     best = cuts.groupBy("lang", "gram").agg(F.min(F.struct("score", "k", "a", "l", "r", "n")).alias("b"))
     return best.select("lang", F.col("gram").alias("phrase"), "b.a", "b.l", "b.r", "b.n", "b.score")
 
