@@ -1,9 +1,9 @@
 """Distances between trajectories: bounded blocks of pairs as Spark tasks, a vectorised kernel inside each.
 
-Items are hashed into blocks of about ``block_rows``; a task holds one pair of blocks, so its size does not
-depend on the data. With ``eps`` the items are first put into cells of a projection that never exceeds the
-distance, so only equal and neighbouring cells meet: an exact join that skips far pairs. A hot cell is only
-split into more blocks. Measures that allow no bound use one cell.
+A task holds one pair of blocks of items, so its size does not depend on the data. Where a result needs every pair, items
+are hashed into blocks. ``pairs_within`` and ``nearest`` lay near items into the same block instead (``blocks``): blocks
+whose boxes lie farther apart than the reach never meet, features and cheap bounds rule out single pairs, and the kernels
+stop early on pairs that are already too far. All of it is exact; measures that allow no bound compare every pair.
 """
 
 from __future__ import annotations
@@ -16,10 +16,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathlore.operators import core
+from pathlore.operators import blocks, core
 
 BLOCK_ROWS = 256
 PAIRS_AT_ONCE = 1024  # keeps the working rows of a chunk in the processor cache
+EARLY_POINTS = 16  # points or rows between two looks at what is already too far
+SLACK = 1 + 1e-9  # bounds are this much wider than eps, so rounding loses no pair; the last test is exact
 
 
 # ---- kernels: (A, B) lists of (n, 2) arrays, index arrays ia, ib -> distances ---------------------------
@@ -33,14 +35,30 @@ def _stack(paths) -> np.ndarray:
 
 
 def _pointwise(local: Callable[[np.ndarray], np.ndarray]):
-    def measure(a, b, ia, ib):
+    """Sum of a local cost over the points. With ``eps`` a pair stops once its sum so far is above: it gives infinity."""
+
+    def measure(a, b, ia, ib, eps: float | None = None):
         sa, sb = _stack(a), _stack(b)
         if sa.shape[1] != sb.shape[1]:
             raise ValueError("point-wise measures need trajectories of equal length; use dtw for others")
-        return np.concatenate(
-            [local(sa[ia[s : s + PAIRS_AT_ONCE]] - sb[ib[s : s + PAIRS_AT_ONCE]]).sum(axis=1) for s in range(0, len(ia), PAIRS_AT_ONCE)]
-            or [np.empty(0)]
-        )
+        n = sa.shape[1]
+        parts = []
+        for s in range(0, len(ia), PAIRS_AT_ONCE):
+            ja, jb = ia[s : s + PAIRS_AT_ONCE], ib[s : s + PAIRS_AT_ONCE]
+            if eps is None or n < 2 * EARLY_POINTS:
+                parts.append(local(sa[ja] - sb[jb]).sum(axis=1))
+                continue
+            total, live = np.zeros(len(ja)), np.arange(len(ja))
+            for at in range(0, n, EARLY_POINTS):
+                total[live] += local(sa[ja[live], at : at + EARLY_POINTS] - sb[jb[live], at : at + EARLY_POINTS]).sum(axis=1)
+                far = total[live] > eps * SLACK
+                if far.any():
+                    total[live[far]] = np.inf
+                    live = live[~far]
+                    if not len(live):
+                        break
+            parts.append(total)
+        return np.concatenate(parts or [np.empty(0)])
 
     return measure
 
@@ -57,11 +75,11 @@ def _padded(paths) -> tuple[np.ndarray, np.ndarray]:
     return out, lengths
 
 
-def dtw(a, b, ia, ib, band: int | None = None, table: bool = False):
+def dtw(a, b, ia, ib, band: int | None = None, eps: float | None = None):
     """Dynamic time warping with Euclidean local cost; the recurrence runs over all pairs of a chunk at once.
 
     ``band``: cells with |i - j| > band are closed; a band too narrow for the lengths gives infinity.
-    ``table``: return the whole cost table of the pairs (for alignment paths).
+    ``eps``: pairs whose cheapest cell of a row is above it are given up with infinity.
     """
     pa, la = _padded(a)
     pb, lb = _padded(b)
@@ -69,15 +87,14 @@ def dtw(a, b, ia, ib, band: int | None = None, table: bool = False):
     for s in range(0, len(ia), PAIRS_AT_ONCE):
         xa, xb = pa[ia[s : s + PAIRS_AT_ONCE]], pb[ib[s : s + PAIRS_AT_ONCE]]
         na, nb = la[ia[s : s + PAIRS_AT_ONCE]], lb[ib[s : s + PAIRS_AT_ONCE]]
-        p, n, m = len(xa), xa.shape[1], xb.shape[1]
+        n, m = xa.shape[1], xb.shape[1]
+        result, live = np.full(len(xa), np.inf), np.arange(len(xa))
         bx, by = np.ascontiguousarray(xb[:, :, 0].T), np.ascontiguousarray(xb[:, :, 1].T)
-        before = np.full((m + 1, p), np.inf)
+        before = np.full((m + 1, len(live)), np.inf)
         before[0] = 0.0
-        result = np.full(p, np.inf)
-        rows = [before] if table else None
-        spare, cost, dy, low = np.empty((m + 1, p)), np.empty((m, p)), np.empty((m, p)), np.empty(p)
+        spare, cost, dy, low = np.empty((m + 1, len(live))), np.empty((m, len(live))), np.empty((m, len(live))), np.empty(len(live))
         for i in range(1, n + 1):
-            now = np.empty((m + 1, p)) if table else spare
+            now = spare
             now.fill(np.inf)
             lo, hi = (1, m) if band is None else (max(1, i - band), min(m, i + band))
             if lo <= hi:
@@ -95,26 +112,63 @@ def dtw(a, b, ia, ib, band: int | None = None, table: bool = False):
             done = na == i
             if done.any():
                 at = np.nonzero(done)[0]
-                result[at] = now[nb[at], at]
+                result[live[at]] = now[nb[at], at]
             before, spare = now, before
-            if table:
-                rows.append(now)
-        parts.append(np.stack(rows) if table else result)
-    return parts if table else np.concatenate(parts or [np.empty(0)])
+            if eps is not None and i % EARLY_POINTS == 0 and i < n:
+                go = np.nonzero((now.min(axis=0) <= eps * SLACK) & (na > i))[0]
+                if not len(go):
+                    break
+                if len(go) < 0.75 * len(live):
+                    live, xa, na, nb = live[go], xa[go], na[go], nb[go]
+                    bx, by, before = np.ascontiguousarray(bx[:, go]), np.ascontiguousarray(by[:, go]), np.ascontiguousarray(before[:, go])
+                    spare, cost, dy, low = np.empty((m + 1, len(go))), np.empty((m, len(go))), np.empty((m, len(go))), np.empty(len(go))
+        parts.append(result)
+    return np.concatenate(parts or [np.empty(0)])
+
+
+def _envelopes(points: np.ndarray, lengths: np.ndarray, width: int, band: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """(lower, upper) corner, for each step of a path of up to ``width`` steps, of the points that may be aligned with it."""
+    steps = np.arange(points.shape[1])
+    there = (steps[None, :] < lengths[:, None])[:, :, None]
+    least, most = np.where(there, points, np.inf), np.where(there, points, -np.inf)
+    if band is None:
+        return least.min(axis=1, keepdims=True), most.max(axis=1, keepdims=True)
+    lower, upper = np.empty((len(points), width, 2)), np.empty((len(points), width, 2))
+    for i in range(width):
+        window = slice(max(0, i - band), max(1, i + band + 1))
+        near = least[:, window], most[:, window]
+        lower[:, i] = near[0].min(axis=1) if near[0].shape[1] else np.inf  # nothing to align with: the distance is infinite
+        upper[:, i] = near[1].max(axis=1) if near[1].shape[1] else -np.inf
+    return lower, upper
+
+
+def dtw_bound(a, b, ia, ib, band: int | None = None):
+    """Never above the warping distance: every alignment pairs the two first and the two last points, and each point of
+    either path with one that lies in the box around all it may be aligned with."""
+    pa, la = _padded(a)
+    pb, lb = _padded(b)
+    fa, fb = pa[:, 0], pb[:, 0]
+    ea, eb = pa[np.arange(len(a)), la - 1], pb[np.arange(len(b)), lb - 1]
+    box_a, box_b = _envelopes(pa, la, pb.shape[1], band), _envelopes(pb, lb, pa.shape[1], band)
 
+    def outside(points, lengths, which, box, other):
+        there = np.arange(points.shape[1])[None, :] < lengths[which][:, None]
+        x = points[which]
+        off = np.maximum(np.maximum(box[0][other] - x, x - box[1][other]), 0.0)
+        return np.where(there, np.sqrt((off * off).sum(axis=2)), 0.0).sum(axis=1)
 
-def dtw_bound(a, b, ia, ib):
-    """Never above the warping distance: every alignment pairs the two first and the two last points."""
-    fa, fb = np.array([p[0] for p in a]), np.array([p[0] for p in b])
-    ea, eb = np.array([p[-1] for p in a]), np.array([p[-1] for p in b])
-    la, lb = np.array([len(p) for p in a]), np.array([len(p) for p in b])
-    first = np.sqrt(((fa[ia] - fb[ib]) ** 2).sum(axis=1))
-    last = np.sqrt(((ea[ia] - eb[ib]) ** 2).sum(axis=1))
-    return np.where((la[ia] == 1) & (lb[ib] == 1), first, first + last)
+    parts = []
+    for s in range(0, len(ia), PAIRS_AT_ONCE):
+        ja, jb = ia[s : s + PAIRS_AT_ONCE], ib[s : s + PAIRS_AT_ONCE]
+        first = np.sqrt(((fa[ja] - fb[jb]) ** 2).sum(axis=1))
+        last = np.sqrt(((ea[ja] - eb[jb]) ** 2).sum(axis=1))
+        ends = np.where((la[ja] == 1) & (lb[jb] == 1), first, first + last)
+        parts.append(np.maximum(ends, np.maximum(outside(pa, la, ja, box_b, jb), outside(pb, lb, jb, box_a, ja))))
+    return np.concatenate(parts or [np.empty(0)])
 
 
 def dtw_banded(band: int):
-    return lambda a, b, ia, ib: dtw(a, b, ia, ib, band=band)
+    return lambda a, b, ia, ib, eps=None: dtw(a, b, ia, ib, band=band, eps=eps)
 
 
 def _vectors(paths) -> np.ndarray:
@@ -144,33 +198,42 @@ def vector_euclidean(a, b, ia, ib):
 Kernel = Callable[[list, list, np.ndarray, np.ndarray], np.ndarray]
 
 
-SLACK = 1 + 1e-9  # bounds and cells are this much wider than eps, so rounding loses no pair; the last test is exact
-
-
 @dataclass(frozen=True)
 class Measure:
-    """``key``: one or two projections of an item with |key(a) - key(b)| <= distance(a, b) each, or None when there is none.
-    ``bound``: cheap kernel that is never above the distance; pairs above eps skip the real one."""
+    """``features``: numbers of each item that differ by no more than the distance. ``metric``: the triangle rule holds, so
+    distances to reference items are features too. ``bound``: cheap kernel that is never above the distance. ``stops``: the
+    kernel takes ``eps`` and may give infinity above it."""
 
     kernel: Kernel
-    key: Callable[[Column], list[Column]] | None = None
+    features: Callable[[list], np.ndarray] | None = None
+    metric: bool = False
     vector: bool = False
     bound: Kernel | None = None
+    stops: bool = False
+
+    @property
+    def prunes(self) -> bool:
+        return self.metric or self.features is not None
+
 
+def _totals(paths) -> np.ndarray:
+    """The summed differences of one axis never exceed the summed point distances."""
+    return np.array([p.sum(axis=0) for p in paths]).reshape(-1, 2)
 
-def _totals(pts: Column) -> list[Column]:
-    return [F.aggregate(pts, F.lit(0.0), lambda acc, p: acc + p["x"]), F.aggregate(pts, F.lit(0.0), lambda acc, p: acc + p["y"])]
+
+def _outline(paths) -> np.ndarray:
+    """First and last point and the bounding box: every alignment pairs the ends, and the extreme point of one path with some
+    point of the other, which is no more extreme than that path's own extreme."""
+    return np.array([np.concatenate([p[0], p[-1], p.min(axis=0), p.max(axis=0)]) for p in paths]).reshape(-1, 8)
 
 
 MEASURES: dict[str, Measure] = {
-    # the summed differences of one axis never exceed the summed point distances
-    "euclidean": Measure(euclidean, _totals),
-    "manhattan": Measure(manhattan, _totals),
-    # every alignment pairs the two first points, and the two last ones
-    "dtw": Measure(dtw, lambda pts: [pts[0]["x"], F.element_at(pts, -1)["y"]], bound=dtw_bound),
+    "euclidean": Measure(euclidean, _totals, metric=True, stops=True),
+    "manhattan": Measure(manhattan, _totals, metric=True, stops=True),
+    "dtw": Measure(dtw, _outline, bound=dtw_bound, stops=True),
     "cosine": Measure(cosine, vector=True),
     "negative_euclidean": Measure(negative_euclidean, vector=True),
-    "vector_euclidean": Measure(vector_euclidean, lambda v: [v[0], F.coalesce(F.get(v, F.lit(1)), F.lit(0.0))], vector=True),
+    "vector_euclidean": Measure(vector_euclidean, metric=True, vector=True),
 }
 
 
@@ -185,48 +248,22 @@ def find_measure(measure: str | Measure | Kernel, band: int | None = None) -> Me
     if band is not None:
         if measure != "dtw":
             raise ValueError("only dtw takes a band")
-        return Measure(dtw_banded(band), MEASURES["dtw"].key, bound=dtw_bound)
+        return Measure(dtw_banded(band), _outline, bound=lambda a, b, ia, ib: dtw_bound(a, b, ia, ib, band), stops=True)
     return MEASURES[measure]
 
 
 # ---- blocks of pairs ----------------------------------------------------------------------------------
 
 
-#: A cell meets itself and half of its neighbours, so that two cells meet once.
-SHIFTS = ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))
-
-
-def _tasks(placed: DataFrame, block_rows: int, neighbours: bool, group: Iterable[str] = ()) -> DataFrame:
-    """Copies of the items keyed by task: (group, cell, cell2, shift, lb, rb, side).
-
-    Shift 0 pairs a cell's blocks among themselves, the others with the blocks of a neighbour; the key names the left
-    cell. The number of blocks follows the cell's measured size. Which cells have which neighbours is settled between
-    cells, before any item is copied.
-    """
+def _tasks(placed: DataFrame, block_rows: int, group: Iterable[str] = ()) -> DataFrame:
+    """Copies of the items keyed by task (group, lb, rb) for every pair of blocks; the blocks follow the group's measured size."""
     group = list(group)
-    spot = [*group, "cell", "cell2"]
-    sizes = placed.groupBy(*spot).agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("long").alias("nb"))
-    roles = [(0, 0, 0, True)] + [(n, dx, dy, left) for n, (dx, dy) in enumerate(SHIFTS) if n for left in (True, False)]
-    role = F.explode(F.array(*[
-        F.struct(F.lit(n).alias("shift"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(left).alias("is_left"))
-        for n, dx, dy, left in (roles if neighbours else roles[:1])
-    ]))
-    sign = F.when(F.col("r.is_left"), F.lit(1)).otherwise(F.lit(-1))
-    wanted = sizes.select(*spot, "nb", role.alias("r")).select(
-        *spot, "nb", "r", (F.col("cell") + sign * F.col("r.dx")).alias("_p"), (F.col("cell2") + sign * F.col("r.dy")).alias("_p2")
-    )
-    partner = sizes.select(*group, F.col("cell").alias("_p"), F.col("cell2").alias("_p2"), F.col("nb").alias("other"))
-    meetings = wanted.join(partner, [*group, "_p", "_p2"]).drop("_p", "_p2")
+    sizes = placed.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("long").alias("nb"))
+    sized = placed.join(sizes, group) if group else placed.crossJoin(F.broadcast(sizes))  # one row
     # A salted id spreads evenly over the blocks, whatever the ids look like.
-    sized = placed.join(meetings, spot).withColumn("b", F.pmod(F.xxhash64("id", F.lit(7)), F.col("nb")))
-    copies = sized.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("other") - 1)))
-    same, left, o = F.col("r.shift") == 0, F.col("r.is_left"), F.col("o")
-    back = F.when(left, F.lit(0)).otherwise(F.lit(1))
+    copies = sized.withColumn("b", F.pmod(F.xxhash64("id", F.lit(7)), F.col("nb"))).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)))
     return copies.select(
-        *group, (F.col("cell") - back * F.col("r.dx")).alias("cell"), (F.col("cell2") - back * F.col("r.dy")).alias("cell2"), F.col("r.shift").alias("shift"),
-        F.when(same, F.least("b", o)).when(left, F.col("b")).otherwise(o).alias("lb"),
-        F.when(same, F.greatest("b", o)).when(left, o).otherwise(F.col("b")).alias("rb"),
-        F.when(same, F.col("b") <= o).otherwise(left).alias("left"), F.when(same, F.col("b") >= o).otherwise(~left).alias("right"), "id", "v",
+        *group, F.least("b", "o").alias("lb"), F.greatest("b", "o").alias("rb"), (F.col("b") <= F.col("o")).alias("left"), (F.col("b") >= F.col("o")).alias("right"), "id", "v"
     )
 
 
@@ -241,58 +278,104 @@ def _decode(values, vector: bool) -> list:
     return [np.asarray(v, dtype=float).reshape(-1, 2) for v in values]
 
 
-def _pairs_of(pdf: pd.DataFrame, m: Measure, eps: float | None):
-    """(ids left, ids right, distances) of one task; each unordered pair once, without pairs whose lower bound
-    is already above eps."""
+def _pairs_of(pdf: pd.DataFrame, m: Measure):
+    """(ids left, ids right, distances) of one task over hashed blocks; each unordered pair once."""
     left, right = pdf[pdf["left"]], pdf[pdf["right"]]
     a, b = _decode(left["v"], m.vector), _decode(right["v"], m.vector)
     il, ir = left["id"].to_numpy(), right["id"].to_numpy()
     first = pdf.iloc[0]
-    if first["shift"] == 0 and first["lb"] == first["rb"]:
+    if first["lb"] == first["rb"]:
         ia, ib = np.nonzero(il[:, None] < ir[None, :])
     else:
         ia, ib = (g.ravel() for g in np.indices((len(il), len(ir))))
-    if eps is not None and m.bound is not None and len(ia):
-        keep = m.bound(a, b, ia, ib) <= eps * SLACK
-        ia, ib = ia[keep], ib[keep]
-    if not len(ia):
-        return il[:0], ir[:0], np.empty(0)
-    d = m.kernel(a, b, ia, ib)
-    return il[ia], ir[ib], d
+    return il[ia], ir[ib], m.kernel(a, b, ia, ib) if len(ia) else np.empty(0)
 
 
-def _run(items, measure, eps, ident, value, block_rows, shape: Callable, schema: str, band=None, group=()):
-    m = find_measure(measure, band)
-    bounded = eps is not None and m.key is not None and eps > 0
-    ways = m.key(F.col(value)) if bounded else []
-    cells = [F.floor(w / F.lit(float(eps) * SLACK)).cast("long") for w in ways] + [F.lit(0).cast("long")] * (2 - len(ways))
+def _plain(items: DataFrame, m: Measure, ident: str, value: str, group: Iterable[str]) -> DataFrame:
     plain = F.transform(value, lambda x: x.cast("double")) if m.vector else flat(value)
-    placed = items.select(*group, F.col(ident).alias("id"), plain.alias("v"), cells[0].alias("cell"), cells[1].alias("cell2"))
-    tasks = _tasks(placed, block_rows or BLOCK_ROWS, bounded, group)
-    keys = [*group, "cell", "cell2", "shift", "lb", "rb"]
+    return items.select(*group, F.col(ident).alias("id"), plain.alias("v"))
+
+
+def _run(items, measure, ident, value, block_rows, shape: Callable, schema: str, band=None, group=()):
+    """Every pair, by hashed blocks; ``shape`` turns the distances of a task into its output."""
+    m = find_measure(measure, band)
+    tasks = _tasks(_plain(items, m, ident, value, group), block_rows or BLOCK_ROWS, group)
+    keys = [*group, "lb", "rb"]
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j, d = _pairs_of(pdf, m, eps)
-        lo, hi = np.minimum(i, j), np.maximum(i, j)
-        out = shape(lo, hi, d)
-        for g in reversed(list(group)):
-            out.insert(0, g, pdf[g].iloc[0])
-        return out
+        i, j, d = _pairs_of(pdf, m)
+        return _named(shape(np.minimum(i, j), np.maximum(i, j), d), pdf, group)
+
+    return core.spread(tasks, *keys).groupBy(*keys).applyInPandas(work, _kinds(items, group) + schema)
+
+
+def _named(out: pd.DataFrame, pdf: pd.DataFrame, group: Iterable[str]) -> pd.DataFrame:
+    for g in reversed(list(group)):
+        out.insert(0, g, pdf[g].iloc[0])
+    return out
 
-    kinds = "".join(f"{g} {items.schema[g].dataType.simpleString()}, " for g in group)
-    return core.spread(tasks, *keys).groupBy(*keys).applyInPandas(work, kinds + schema)
+
+def _kinds(items: DataFrame, group: Iterable[str]) -> str:
+    return "".join(f"{g} {items.schema[g].dataType.simpleString()}, " for g in group)
+
+
+def _near(found: blocks.Blocks, m: Measure, rows: DataFrame, boxes: DataFrame, shape: Callable, schema: str) -> DataFrame:
+    """Pairs within the ``reach`` of either item, by blocks that may hold some; ``rows`` and ``boxes`` bring their reach."""
+    keys = [*found.group, "a", "b"]
+    tasks = found.tasks(found.meetings(boxes, SLACK), rows)
+    group = found.group
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        left, right = pdf[pdf["left"]], pdf[pdf["right"]]
+        a, b = _decode(left["v"], m.vector), _decode(right["v"], m.vector)
+        ra, rb = left["reach"].to_numpy(float), right["reach"].to_numpy(float)
+        first = pdf.iloc[0]
+        pa, pb = np.stack(left["phi"].to_list()), np.stack(right["phi"].to_list())
+        ia, ib = blocks.close_pairs(pa, pb, ra * SLACK, rb * SLACK, first["a"] == first["b"])
+        if m.bound is not None and len(ia):
+            keep = m.bound(a, b, ia, ib) <= np.maximum(ra[ia], rb[ib]) * SLACK
+            ia, ib = ia[keep], ib[keep]
+        most = float(max(ra.max(), rb.max()))
+        d = np.empty(0) if not len(ia) else m.kernel(a, b, ia, ib, eps=most) if m.stops else m.kernel(a, b, ia, ib)
+        i, j = left["id"].to_numpy()[ia], right["id"].to_numpy()[ib]
+        return _named(shape(np.minimum(i, j), np.maximum(i, j), d), pdf, group)
+
+    return core.spread(tasks, *keys).groupBy(*keys).applyInPandas(work, _kinds(rows, group) + schema)
+
+
+def _blocks(items: DataFrame, m: Measure, ident: str, value: str, group: Iterable[str], block_rows: int | None) -> blocks.Blocks:
+    return blocks.Blocks(_plain(items, m, ident, value, group), lambda v: _decode(v, m.vector), m.kernel, m.features, m.metric, list(group), block_rows)
+
+
+def _within(items, measure, eps, ident, value, block_rows, shape, schema, band=None, group=()):
+    m = find_measure(measure, band)
+    if not m.prunes:
+        return _run(items, measure, ident, value, block_rows, shape, schema, band, group)
+    found = _blocks(items, m, ident, value, group, block_rows)
+    rows = found.rows.withColumn("reach", F.lit(float(eps)))
+    return _near(found, m, rows, found.boxes().withColumn("reach", F.lit(float(eps))), shape, schema)
+
+
+def compared_pairs(items: DataFrame, measure="euclidean", eps: float = 0.0, *, ident: str = "traj_id", value: str = "points",
+                   block_rows: int | None = None, band: int | None = None, group: Iterable[str] = ()) -> int:
+    """How many pairs ``pairs_within`` hands to the kernel: a figure for tuning."""
+    counted = _within(items, measure, eps, ident, value, block_rows, lambda i, j, d: pd.DataFrame({"n": [len(i)]}), "n long", band, list(group))
+    return counted.agg(F.sum("n")).first()[0] or 0
 
 
 def pairs_within(items: DataFrame, measure="euclidean", eps: float | None = None, *, ident: str = "traj_id",
                  value: str = "points", block_rows: int | None = None, band: int | None = None,
                  group: Iterable[str] = ()) -> DataFrame:
-    """Edges (i < j, d) with d <= eps; ``eps=None`` gives the whole affinity (every pair, as asked for)."""
+    """Edges (i < j, d) with d <= eps; ``eps=None`` gives the whole affinity (every pair, as asked for). ``eps=0`` finds equal items."""
 
     def shape(i, j, d):
         keep = slice(None) if eps is None else d <= eps
         return pd.DataFrame({"i": i[keep], "j": j[keep], "d": d[keep]})
 
-    return _run(items, measure, eps, ident, value, block_rows, shape, "i long, j long, d double", band, list(group))
+    schema, group = "i long, j long, d double", list(group)
+    if eps is None:
+        return _run(items, measure, ident, value, block_rows, shape, schema, band, group)
+    return _within(items, measure, eps, ident, value, block_rows, shape, schema, band, group)
 
 
 def affinity(items: DataFrame, measure="euclidean", **how) -> DataFrame:
@@ -303,13 +386,36 @@ def affinity(items: DataFrame, measure="euclidean", **how) -> DataFrame:
 
 def nearest(items: DataFrame, k: int, measure="euclidean", *, ident: str = "traj_id", value: str = "points",
             block_rows: int | None = None, band: int | None = None) -> DataFrame:
-    """The k nearest items of each item: (id, rank, other, d), exact. A task sends on at most k per item."""
+    """The k nearest items of each item: (id, rank, other, d), exact, ties to the smaller id.
+
+    An item's k-th distance inside its own block bounds how far its neighbours can be; then it meets only blocks within that
+    reach. A task sends on at most k candidates per item. Where bounds are of no use every pair is compared.
+    """
+    m = find_measure(measure, band)
 
     def shape(i, j, d):
         both = pd.DataFrame({"id": np.r_[i, j], "other": np.r_[j, i], "d": np.r_[d, d]})
         return both.sort_values(["id", "d", "other"]).groupby("id", sort=False).head(k)
 
-    part = _run(items, measure, None, ident, value, block_rows, shape, "id long, other long, d double", band)
+    schema = "id long, other long, d double"
+    if m.prunes:
+        found = _blocks(items, m, ident, value, (), block_rows)
+
+        def seeds(pdf: pd.DataFrame) -> pd.DataFrame:
+            n, items_ = len(pdf), _decode(pdf["v"], m.vector)
+            reach = np.full(n, np.inf)
+            if n > k:
+                ia, ib = np.triu_indices(n, 1)
+                d = np.full((n, n), np.inf)
+                d[ia, ib] = d[ib, ia] = m.kernel(items_, items_, ia, ib)
+                reach = np.partition(d, k - 1, axis=1)[:, k - 1]
+            return pdf.assign(reach=reach)
+
+        kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.rows.schema)
+        rows = core.cut_lineage(core.spread(found.rows, "block").groupBy("block").applyInPandas(seeds, f"{kinds}, reach double"))
+        part = _near(found, m, rows, found.boxes(F.col("reach"), rows), shape, schema)
+    else:
+        part = _run(items, measure, ident, value, block_rows, shape, schema, band)
     w = Window.partitionBy("id").orderBy("d", "other")
     return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -322,7 +428,7 @@ def affinity_totals(items: DataFrame, measure="euclidean", *, ident: str = "traj
         both = pd.DataFrame({"id": np.r_[i, j], "d": np.r_[d, d]})
         return both.groupby("id", as_index=False).agg(n=("d", "size"), total=("d", "sum"), low=("d", "min"), high=("d", "max"))
 
-    part = _run(items, measure, None, ident, value, block_rows, shape, "id long, n long, total double, low double, high double", band)
+    part = _run(items, measure, ident, value, block_rows, shape, "id long, n long, total double, low double, high double", band)
     return part.groupBy("id").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.min("low").alias("low"), F.max("high").alias("high"))
 
 
@@ -348,7 +454,7 @@ def distance_histogram(items: DataFrame, measure="euclidean", bins: int = 200, *
         found, n = np.unique(b, return_counts=True)
         return pd.DataFrame({"bin": found, "n": n})
 
-    part = _run(items, measure, None, ident, value, block_rows, shape, "bin long, n long", band)
+    part = _run(items, measure, ident, value, block_rows, shape, "bin long, n long", band)
     return part.groupBy("bin").agg(F.sum("n").alias("n")).withColumn("lo", F.lit(low) + F.col("bin") * F.lit(width))
 
 
@@ -358,30 +464,58 @@ def sorted_distances(edges: DataFrame) -> DataFrame:
     return ranked.df.drop("_one")
 
 
-def alignment_paths(pairs: DataFrame, a: str = "points_a", b: str = "points_b", keep: Iterable[str] = ("i", "j")) -> DataFrame:
-    """Optimal warping path of each given pair: ``path`` array<struct<i,j>> (0-based), diagonal steps first on ties."""
+def warp_path(a: np.ndarray, b: np.ndarray, band: int | None = None) -> tuple[float, np.ndarray]:
+    """(distance, steps (i, j) from 0) of the cheapest alignment, diagonal steps first on ties, then those along ``a``.
+
+    Costs are kept for three anti-diagonals; of every cell inside the band only the direction it was reached from stays, one
+    byte. A band too narrow for the lengths gives infinity and no steps.
+    """
+    n, m = len(a), len(b)
+    wide = max(n, m) if band is None else band
+    if not n or not m or abs(n - m) > wide:
+        return np.inf, np.empty((0, 2), np.int64)
+    two, one = np.full(n + 1, np.inf), np.full(n + 1, np.inf)  # by i, of the diagonals i + j = k - 2 and k - 1
+    two[0] = 0.0
+    ways: list[tuple[int, np.ndarray]] = []
+    for k in range(2, n + m + 1):
+        low, high = max(1, k - m, -((wide - k) // 2)), min(n, k - 1, (k + wide) // 2)
+        now = np.full(n + 1, np.inf)
+        if low <= high:
+            i = np.arange(low, high + 1)
+            off = a[i - 1] - b[k - i - 1]
+            best, way = two[low - 1 : high].copy(), np.zeros(len(i), np.uint8)
+            for number, other in ((1, one[low - 1 : high]), (2, one[low : high + 1])):
+                less = other < best
+                best[less], way[less] = other[less], number
+            now[low : high + 1] = np.sqrt((off * off).sum(axis=1)) + best
+            ways.append((low, way))
+        else:
+            ways.append((low, np.empty(0, np.uint8)))
+        two, one = one, now
+    steps, i, j = [], n, m
+    while True:
+        steps.append((i - 1, j - 1))
+        if i == 1 and j == 1:
+            break
+        low, way = ways[i + j - 2]
+        move = way[i - low]
+        i, j = i - (move != 2), j - (move != 1)
+    return float(one[n]), np.array(steps[::-1], np.int64)
+
+
+def alignment_paths(pairs: DataFrame, a: str = "points_a", b: str = "points_b", keep: Iterable[str] = ("i", "j"), band: int | None = None) -> DataFrame:
+    """Optimal warping path of each given pair: ``path`` array<struct<i,j>> (0-based) and its cost ``d``.
+
+    One pair is aligned at a time, in memory of a byte for each cell inside the band. A pair that the band does not admit has
+    an empty path and an infinite ``d``.
+    """
     keep = list(keep)
     kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in keep)
 
-    def back(table: np.ndarray, n: int, m: int) -> list:
-        path = [(n, m)]
-        while n > 1 or m > 1:
-            ways = [(table[p, q], (p, q)) for p, q in ((n - 1, m - 1), (n - 1, m), (n, m - 1)) if p > 0 and q > 0]
-            n, m = min(ways, key=lambda w: w[0])[1]
-            path.append((n, m))
-        return [{"i": p - 1, "j": q - 1} for p, q in reversed(path)]
-
     def work(batches):
         for pdf in batches:
-            for s in range(0, len(pdf), 256):
-                part = pdf.iloc[s : s + 256]
-                pa, pb = _decode(part[a], False), _decode(part[b], False)
-                at = np.arange(len(part))
-                cost = dtw(pa, pb, at, at, table=True)[0]
-                yield part[keep].assign(
-                    path=[back(cost[:, :, k], len(pa[k]), len(pb[k])) for k in range(len(part))],
-                    d=[cost[len(pa[k]), len(pb[k]), k] for k in range(len(part))],
-                )
+            found = [warp_path(x, y, band) for x, y in zip(_decode(pdf[a], False), _decode(pdf[b], False))]
+            yield pdf[keep].assign(path=[[{"i": i, "j": j} for i, j in steps.tolist()] for _, steps in found], d=[d for d, _ in found])
 
     return core.spread(pairs.select(*keep, flat(a).alias(a), flat(b).alias(b)), *keep).mapInPandas(work, f"{kinds}, path array<struct<i:bigint,j:bigint>>, d double")
 

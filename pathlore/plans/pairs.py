@@ -44,10 +44,41 @@ def d4(spark, sf):
 def d5(spark, sf):
     p = paths(spark, sf)
     edges = sim.nearest(p, 1, "dtw", band=8).select(F.col("id").alias("i"), F.col("other").alias("j"))
-    aligned = sim.alignment_paths(sim.with_points(edges, p))
+    aligned = sim.alignment_paths(sim.with_points(edges, p), band=8)
     return aligned.select("i", "j", F.round("d", 6).alias("d"), F.size("path").cast("long").alias("n"))
 
 
+_BAND = 8
+
+
+@query(
+    "d5_alignment_steps",
+    f"""WITH RECURSIVE {PATHS_SQL}, tr AS (SELECT traj_id, list({{'x': x, 'y': y}} ORDER BY step) AS p FROM path_steps GROUP BY 1),
+ pr AS (SELECT a.traj_id AS i, b.traj_id AS j, a.p AS a, b.p AS b, len(a.p) AS n, len(b.p) AS m FROM tr a JOIN tr b ON b.traj_id = a.traj_id + 1),
+ dg AS (
+  SELECT i, j, a, b, n, m, 1 AS k, list_transform(range(0, n + 1), lambda x: CASE WHEN x = 0 THEN 0.0::DOUBLE ELSE 'inf'::DOUBLE END) AS two,
+   list_transform(range(0, n + 1), lambda x: 'inf'::DOUBLE) AS one, list_transform(range(0, n + 1), lambda x: 0) AS way FROM pr
+  UNION ALL
+  SELECT i, j, a, b, n, m, k + 1, one, list_transform(range(0, n + 1), lambda x: CASE WHEN x < 1 OR k + 1 - x < 1 OR k + 1 - x > m OR abs(2 * x - k - 1) > {_BAND} THEN 'inf'::DOUBLE
+    ELSE sqrt(pow(a[x].x - b[k + 1 - x].x, 2) + pow(a[x].y - b[k + 1 - x].y, 2)) + least(two[x], one[x], one[x + 1]) END),
+   list_transform(range(0, n + 1), lambda x: CASE WHEN x < 1 THEN 0 WHEN one[x + 1] < least(two[x], one[x]) THEN 2 WHEN one[x] < two[x] THEN 1 ELSE 0 END)
+  FROM dg WHERE k < n + m),
+ bk AS (
+  SELECT i, j, n AS u, m AS v FROM pr
+  UNION ALL
+  SELECT bk.i, bk.j, u - CASE WHEN way[u + 1] = 2 THEN 0 ELSE 1 END, v - CASE WHEN way[u + 1] = 1 THEN 0 ELSE 1 END
+  FROM bk JOIN dg ON dg.i = bk.i AND dg.j = bk.j AND dg.k = u + v WHERE u + v > 2)
+ SELECT i, j, CAST(row_number() OVER (PARTITION BY i, j ORDER BY u + v) - 1 AS BIGINT) AS place, CAST(u - 1 AS BIGINT) AS step_i, CAST(v - 1 AS BIGINT) AS step_j FROM bk""",
+)
+def d5_steps(spark, sf):
+    """Every path aligned with its successor, step by step."""
+    p = paths(spark, sf)
+    ids = p.select(F.col("traj_id").alias("i"))
+    edges = ids.join(p.select(F.col("traj_id").alias("j")), F.col("j") == F.col("i") + 1)
+    aligned = sim.alignment_paths(sim.with_points(edges, p), band=_BAND)
+    return aligned.select("i", "j", F.posexplode("path").alias("place", "s")).select("i", "j", F.col("place").cast("long").alias("place"), F.col("s.i").alias("step_i"), F.col("s.j").alias("step_j"))
+
+
 @query(
     "d6_nearest_trajectories",
     _EU + """, bo AS (SELECT i AS id, j AS other, d FROM pr UNION ALL SELECT j, i, d FROM pr),

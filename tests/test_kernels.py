@@ -1,7 +1,9 @@
 """Operators without oracle SQL against brute force, and numeric kernels."""
 
+import dataclasses
 import math
 import random
+import tracemalloc
 from collections import deque
 
 import numpy as np
@@ -11,7 +13,7 @@ from helpers import make_log, tuples
 from pyspark.sql import functions as F
 
 from pathlore.operators import clustering as cl
-from pathlore.operators import core, motifs, pellets, spatial
+from pathlore.operators import blocks, core, motifs, pellets, spatial
 from pathlore.operators import similarity as sim
 from pathlore.operators.spatial import MazeGrid
 
@@ -334,11 +336,110 @@ def test_agents_outside_the_maze_need_no_field(spark):
 
 @pytest.mark.parametrize("name,eps", [("euclidean", 8.0), ("dtw", 6.0)])
 def test_few_pairs_are_compared_when_items_lie_apart(spark, name, eps):
-    """Cells of both projections keep far items from ever meeting; what is left is every pair within the distance."""
+    """Boxes, features and bounds keep far items from the kernel; what is left is every pair within the distance."""
     rng = random.Random(31)
     paths = [[(float(rng.randint(0, 60)), float(rng.randint(0, 60)))] * 2 for _ in range(300)]
     frame = path_frame(spark, paths)
-    compared = sim._run(frame, name, eps, "traj_id", "points", None, lambda i, j, d: pd.DataFrame({"n": [len(i)]}), "n long").groupBy().sum("n").first()[0]
-    assert compared < 300 * 299 / 2 / 8
+    assert sim.compared_pairs(frame, name, eps) < 300 * 299 / 2 / 20
     want = {(i, j) for i in range(300) for j in range(i + 1, 300) if sum(math.dist(p, q) for p, q in zip(paths[i], paths[j])) <= eps}
     assert {(r.i, r.j) for r in sim.pairs_within(frame, name, eps).collect()} == want
+
+
+def walks(n, seed, length=24):
+    """Walks around some places, as recorded paths are: near in groups, far between them."""
+    rng = np.random.default_rng(seed)
+    homes = rng.uniform(0, 60, (12, 2))
+    return [homes[i % 12] + rng.normal(0, 0.4, (length, 2)).cumsum(axis=0) for i in range(n)]
+
+
+@pytest.mark.parametrize("name,band,eps", [("euclidean", None, 60.0), ("manhattan", None, 75.0), ("dtw", None, 40.0), ("dtw", 3, 45.0)])
+def test_paths_of_several_places_compare_a_tenth_of_their_pairs(spark, name, band, eps):
+    paths = walks(600, 4)
+    frame = path_frame(spark, paths)
+    every = {(r.i, r.j): r.d for r in sim.affinity(frame, name, band=band).where(f"d <= {eps}").collect()}
+    got = {(r.i, r.j): r.d for r in sim.pairs_within(frame, name, eps, band=band, block_rows=32).collect()}
+    assert got.keys() == every.keys() and len(got) > 500
+    assert all(got[p] == pytest.approx(every[p], abs=1e-9) for p in got)
+    assert sim.compared_pairs(frame, name, eps, band=band, block_rows=32) < 600 * 599 / 2 / 10
+
+
+@pytest.mark.parametrize("name", ["euclidean", "dtw"])
+def test_nearest_compares_less_than_the_power_of_one_and_a_half(spark, monkeypatch, name):
+    """The k-th distance inside an item's own block bounds its search; ties and copies included."""
+    done = []
+    for n in (300, 1200):
+        paths = walks(n, 8)
+        paths[5] = paths[6] = paths[7]
+        frame = path_frame(spark, paths)
+        counted = spark.sparkContext.accumulator(0)
+        m = sim.MEASURES[name]
+
+        def kernel(a, b, ia, ib, eps=None, _m=m, _n=counted):
+            _n.add(len(ia))
+            return _m.kernel(a, b, ia, ib, eps=eps)
+
+        near = sim.nearest(frame, 3, dataclasses.replace(m, kernel=kernel, metric=False, features=sim._outline if name == "dtw" else sim._totals), block_rows=16)
+        got = {(r.id, r.rank): r.other for r in near.collect()}
+        done.append(counted.value)
+        d = np.full((n, n), np.inf)
+        at = np.triu_indices(n, 1)
+        d[at] = m.kernel(paths, paths, *at)
+        d = np.minimum(d, d.T)
+        want = {(i, k + 1): int(o) for i in range(n) for k, o in enumerate(np.lexsort((np.arange(n), d[i]))[:3])}
+        assert got == want
+    assert done[1] < done[0] * 4**1.5
+
+
+def test_equal_items_are_found_at_distance_zero(spark):
+    paths = walks(60, 2) + walks(60, 2)[:20]
+    got = {(r.i, r.j) for r in sim.pairs_within(path_frame(spark, paths), "euclidean", 0.0, block_rows=8).collect()}
+    assert got == {(i, i + 60) for i in range(20)}
+
+
+def test_blocks_stay_inside_their_group(spark):
+    paths = walks(80, 3)
+    frame = path_frame(spark, paths).withColumn("g", F.col("traj_id") % 3)
+    got = {(r.g, r.i, r.j) for r in sim.pairs_within(frame, "euclidean", 60.0, group=["g"], block_rows=8).collect()}
+    want = {(i % 3, i, j) for (i, j), d in all_pairs(paths, lambda a, b: float(np.sqrt(((a - b) ** 2).sum(1)).sum())).items() if d <= 60 and i % 3 == j % 3}
+    assert got == want
+
+
+def test_many_boxes_meet_by_buckets(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "FEW_BLOCKS", 2)
+    paths = walks(300, 6)
+    frame = path_frame(spark, paths)
+    got = {(r.i, r.j) for r in sim.pairs_within(frame, "dtw", 20.0, block_rows=4).collect()}
+    assert got == {(r.i, r.j) for r in sim.affinity(frame, "dtw").where("d <= 20").collect()}
+    near = {(r.id, r.rank): r.other for r in sim.nearest(frame, 2, "euclidean", block_rows=4).collect()}
+    whole = {(r.id, r.rank): r.other for r in sim.nearest(frame, 2, lambda a, b, ia, ib: sim.euclidean(a, b, ia, ib)).collect()}
+    assert near == whole
+
+
+def test_bounds_never_exceed_the_warping_distance():
+    paths = random_paths(40, 12, (1, 2, 6, 9, 14))
+    ia, ib = np.triu_indices(40, 1)
+    for band in (None, 0, 2, 5):
+        bound, d = sim.dtw_bound(paths, paths, ia, ib, band), sim.dtw(paths, paths, ia, ib, band)
+        assert (bound <= d * sim.SLACK).all()
+        early = sim.dtw(paths, paths, ia, ib, band, eps=6.0)
+        assert (np.where(d <= 6.0, d, np.inf) == np.where(early <= 6.0, early, np.inf)).all()
+
+
+def test_banded_alignment_in_little_memory():
+    for band in (None, 0, 1, 3, 20):
+        for a in random_paths(5, 21, (7,)):
+            for b in random_paths(3, 22, (4, 7, 9)):
+                d, steps = sim.warp_path(a, b, band)
+                assert d == pytest.approx(dtw_by_hand(a, b, band))
+                if math.isinf(d):
+                    assert not len(steps)
+                    continue
+                assert band is None or all(abs(i - j) <= band for i, j in steps)
+                assert sum(math.dist(a[i], b[j]) for i, j in steps) == pytest.approx(d)
+                assert all((y[0] - x[0], y[1] - x[1]) in ((1, 1), (1, 0), (0, 1)) for x, y in zip(steps, steps[1:]))
+    a, b = random_paths(2, 23, (2000,))
+    tracemalloc.start()
+    d, steps = sim.warp_path(a, b)
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+    assert d == pytest.approx(sim.dtw([a], [b], np.zeros(1, int), np.zeros(1, int))[0])
