@@ -159,6 +159,14 @@ def approach_counts(threshold: float, w, *, from_anywhere: bool) -> Column:
     return total
 
 
+def closest_approach(threshold: float, w) -> Column:
+    """1 where the nearest live entity came nearer than on the previous row, was live there, and is within the threshold."""
+    ds = [F.col(f"_d{g}") for g in ENTITIES]
+    low = F.least(*ds)
+    before = F.coalesce(*[F.when(d == low, F.lag(f"_d{g}").over(w)) for g, d in zip(ENTITIES, ds)])
+    return F.coalesce(((low < before) & (low < threshold) & (before != INF)).cast("int"), F.lit(0))
+
+
 def _with_distances(df: DataFrame) -> DataFrame:
     return df.withColumns({f"_d{g}": live_distance(g) for g in ENTITIES})
 
@@ -224,14 +232,8 @@ def chase_or_collect(log: OrderedLog, p: ChaseOrCollect = ChaseOrCollect()) -> D
     """
     spans = _attack_runs(log, keep_open=True)
 
-    def closest(w):
-        ds = [F.col(f"_d{g}") for g in ENTITIES]
-        low = F.least(*ds)
-        before = F.coalesce(*[F.when(d == low, F.lag(f"_d{g}").over(w)) for g, d in zip(ENTITIES, ds)])
-        return ((low < before) & (low < p.distance_threshold) & (before != INF)).cast("int")
-
     def build(w):
-        n = closest(w) if p.only_closest else approach_counts(p.distance_threshold, w, from_anywhere=False)
+        n = closest_approach(p.distance_threshold, w) if p.only_closest else approach_counts(p.distance_threshold, w, from_anywhere=False)
         return {
             "_n": F.coalesce(n, F.lit(0)),
             "_begins": F.lag("pacman_attack").over(w) == 0,
@@ -473,20 +475,23 @@ class Behaviours:
         if self.maze is None and (lacking := [n for n in chosen if DETECTORS[n].needs_maze]):
             raise ValueError(f"{', '.join(lacking)} needs the maze")
 
-    def instances(self, log: OrderedLog, names: str | Sequence[str] = "all") -> DataFrame:
-        """One row per detected instance, all chosen detectors together."""
+    def _pass(self, log: OrderedLog, names: str | Sequence[str]) -> tuple[list[str], DataFrame, DataFrame]:
+        """(names, instances, keys) of the chosen detectors from one pass over the log."""
+        from pathlore.operators import detector_pass
+
         chosen = pick(names)
         self._ready(chosen)
-        out = self.detect(log, chosen[0])
-        for n in chosen[1:]:
-            out = out.unionByName(self.detect(log, n))
-        return out
+        found, keys = detector_pass.instances(log, {n: self.parameters(n) for n in chosen}, self.maze)
+        return chosen, found, keys
+
+    def instances(self, log: OrderedLog, names: str | Sequence[str] = "all") -> DataFrame:
+        """One row per detected instance, all chosen detectors together."""
+        return self._pass(log, names)[1]
 
     def summary(self, log: OrderedLog, names: str | Sequence[str] = "all") -> DataFrame:
         """One row per key: ``<name>_value`` and ``<name>_instances``, 0 where nothing was found."""
-        chosen = pick(names)
-        self._ready(chosen)
-        return summarize(self.instances(log, chosen), log, chosen, {n: self.parameters(n) for n in chosen})
+        chosen, found, keys = self._pass(log, names)
+        return summarize(found, log, chosen, {n: self.parameters(n) for n in chosen}, keys)
 
     def encoding(self, log: OrderedLog, names: str | Sequence[str] = "all") -> DataFrame:
         """Only the value columns, as one vector per key."""
@@ -494,8 +499,8 @@ class Behaviours:
         return s.select(*log.key, *[c for c in s.columns if c.endswith("_value")])
 
 
-def summarize(instances: DataFrame, log: OrderedLog, names: Sequence[str], params: Mapping[str, object] | None = None) -> DataFrame:
-    """Totals per key in one conditional aggregation, joined to all keys of the log."""
+def summarize(instances: DataFrame, log: OrderedLog, names: Sequence[str], params: Mapping[str, object] | None = None, keys: DataFrame | None = None) -> DataFrame:
+    """Totals per key in one conditional aggregation, joined to all keys of the log (``keys``, where they are known already)."""
     aggs = []
     for n in names:
         mine = F.col("name") == n
@@ -511,7 +516,7 @@ def summarize(instances: DataFrame, log: OrderedLog, names: Sequence[str], param
             value = F.coalesce(F.sum(F.when(mine, F.col("value"))), F.lit(0.0))
         aggs += [value.alias(f"{n}_value"), counted.alias(f"{n}_instances")]
     found = instances.groupBy(*log.key).agg(*aggs)
-    every = log.df.select(*log.key).distinct()
+    every = log.df.select(*log.key).distinct() if keys is None else keys
     return every.join(found, list(log.key), "left").na.fill(0)
 
 
