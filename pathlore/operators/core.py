@@ -72,20 +72,37 @@ def _key_peak(df: DataFrame, key: Sequence[str], max_rows: int) -> int:
     return _peaks[ident]
 
 
-def in_cells(df: DataFrame, key: Sequence[str], order: Sequence[str], max_rows: int, cell: str = "_cell") -> DataFrame:
-    """Rows with ``cell``, a number that rises with (key, order) and splits every key into about ``max_rows`` rows.
+HOT_KEYS = 4096  # up to so many hot keys travel to every task; more are joined by a shuffle
 
-    Sampled range cuts compare the values in their own types, so NULL, NaN, infinities, strings and wide integers keep
-    their order; rows that tie in all order columns share a cell. The numbers are stored at once: a cell never changes
-    when a task is repeated, and later stages do not run the source again. At most three rounds refine uneven cuts.
+
+def split_hot(df: DataFrame, key: Sequence[str], max_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(rows of keys with at most ``max_rows`` rows, rows of the others)."""
+    names = [f"_h{i}" for i in range(len(key))]
+    counted = df.groupBy(*[F.col(k).alias(n) for k, n in zip(key, names)]).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = cut_lineage(counted.where(F.col("_rows") > max_rows).drop("_rows"))  # at most rows / max_rows of them
+    if hot.count() <= HOT_KEYS:
+        hot = F.broadcast(hot)
+    same = null_safe(df, hot, list(zip(key, names)))
+    return df.join(hot, same, "left_anti"), df.join(hot, same, "left_semi")
+
+
+def laid_out(df: DataFrame, key: Sequence[str], order: Sequence[str], max_rows: int, step: str) -> DataFrame:
+    """``df`` with ``step``, by sampled ranges of (key, order) of about half ``max_rows`` rows each; written once.
+
+    The cuts compare the values in their own types, so NULL, NaN, infinities, strings and wide integers keep their order. A
+    row's place in its sorted range is written with it; the rows of earlier ranges of its key come from one small table. Rows
+    that tie in all order columns share a range.
     """
     parts = max(2, -(-2 * df.count() // max_rows))
-    for last in (False, False, True):
-        cut = cut_lineage(df.repartitionByRange(parts, *key, *order).withColumn(cell, F.spark_partition_id()))
-        if last or peak_rows(cut, [F.col(k) for k in key] + [F.col(cell)]) <= 2 * max_rows:
-            return cut
-        parts *= 2
-    raise AssertionError("unreachable")
+    laid = df.repartitionByRange(parts, *key, *order).sortWithinPartitions(*key, *order)
+    laid = cut_lineage(laid.withColumns({"_cell": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    held = laid.groupBy(*key, "_cell").agg(F.count(F.lit(1)).alias("_held"), F.min("_at").alias("_first"))
+    along = Window.partitionBy(*key).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = held.select(
+        *[F.col(k).alias(f"_r{k}") for k in key], F.col("_cell").alias("_rcell"), (F.coalesce(F.sum("_held").over(along), F.lit(0)) - F.col("_first")).alias("_ahead")
+    )
+    joined = laid.join(ahead, null_safe(laid, ahead, [*[(k, f"_r{k}") for k in key], ("_cell", "_rcell")]))
+    return joined.select(*[c for c in df.columns if c != step], (F.col("_at") + F.col("_ahead")).alias(step))
 
 
 def order_log(
@@ -95,15 +112,18 @@ def order_log(
     step: str = "step",
     max_rows: int | None = None,
 ) -> OrderedLog:
-    """Attach ``step`` = 0-based position of the row inside its key under the total order ``order``."""
+    """Attach ``step`` = 0-based position of the row inside its key under the total order ``order``.
+
+    Keys of at most ``max_rows`` rows are numbered by a window, whatever the others hold; only the rows of larger keys are
+    laid out by ranges and written.
+    """
     key, max_rows = tuple(key), max_rows or MAX_ROWS
+    number = (F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1).cast("long")
     if _key_peak(df, key, max_rows) <= max_rows:
-        w = Window.partitionBy(*key).orderBy(*order)
-        return OrderedLog(df.withColumn(step, (F.row_number().over(w) - 1).cast("long")), key, step, None)
-    cut = in_cells(df, key, order, max_rows)
-    counted = running(cut, key, order, {step: ("sum", F.lit(1).cast("long"))}, [F.col("_cell")])
-    stored = cut_lineage(counted.drop("_cell").withColumn(step, F.col(step) - 1))
-    return OrderedLog(stored.select(*[c for c in df.columns if c != step], step), key, step, max_rows)
+        return OrderedLog(df.withColumn(step, number), key, step, None)
+    cold, hot = split_hot(df, key, max_rows)
+    numbered = cold.withColumn(step, number).select(*[c for c in df.columns if c != step], step)
+    return OrderedLog(numbered.unionByName(laid_out(hot, key, order, max_rows, step)), key, step, max_rows)
 
 
 def assume_steps(df: DataFrame, key: Sequence[str], step: str = "step", max_rows: int | None = None) -> OrderedLog:
@@ -162,7 +182,8 @@ def running(
     carry = totals.select(
         *[F.col(g).alias(f"_r{g}") for g in group],
         *[_AGG[k](f"_t_{n}").over(over).alias(f"_k_{n}") for n, (k, _) in aggs.items()],
-    )
+        F.lag(F.lit(True)).over(Window.partitionBy(*key).orderBy(*map(direction, names))).alias("_later"),
+    ).where("_later").drop("_later")  # keys of one cell carry nothing
     joined = local.join(carry, null_safe(local, carry, [(g, f"_r{g}") for g in group]), "left")
     keep = [c for c in df.columns if c not in aggs]
     return joined.select(
@@ -186,7 +207,7 @@ def near(log: OrderedLog, reach: int, build: Callable[[WindowSpec], Mapping[str,
     step = F.col(log.step)
     own = block_of(step, size)
     copies = log.df.withColumn(
-        "_b", F.explode(F.array_distinct(F.array(own, block_of(step - reach, size), block_of(step + reach, size))))
+        "_b", F.explode(F.array_distinct(F.array(own, block_of(F.greatest(step - reach, F.lit(0)), size), block_of(step + reach, size))))
     )
     w = Window.partitionBy(*log.key, "_b").orderBy(log.step)
     return copies.withColumns(dict(build(w))).where(F.col("_b") == own).drop("_b")

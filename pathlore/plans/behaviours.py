@@ -382,9 +382,9 @@ def b12(spark, sf):
     return _round_values(detectors_with_maze(spark, sf).summary(detectors_log(spark, sf), "Caution"))
 
 
-@query("b15_vector_encoding", summary_sql(["Aggression1", "Aggression3", "Aggression4", "Aggression6"], instances=False))
+@query("b15_vector_encoding", summary_sql(EVERY, instances=False))
 def b15(spark, sf):
-    return _round_values(bh.Behaviours().encoding(detectors_log(spark, sf), "Aggression"))
+    return _round_values(detectors_with_maze(spark, sf).encoding(detectors_log(spark, sf)))
 
 
 def slice_log(spark, sf):
@@ -394,22 +394,43 @@ def slice_log(spark, sf):
     return OrderedLog(cut.drop("step").withColumnRenamed("run_step", "step"), ("level_id", "run"), "step", log.block)
 
 
-_SLICE_CAP = f"""{runs_sql('pacman_attack = 1')},
- spans AS (SELECT r.level_id, run, greatest(start_step - 6, 0) AS start_step, least(end_step + 6, b.final_step) AS end_step FROM frruns r
-  JOIN (SELECT level_id, max(step) AS final_step FROM states GROUP BY 1) b USING (level_id) WHERE start_step > 0),
- sl AS (SELECT s.level_id, run, step - start_step AS step, end_step - start_step AS last_step, time_elapsed, pacman_attack, Pacman_X, Pacman_Y,
-  {', '.join(f'Ghost{g}_X, Ghost{g}_Y, ghost{g}_state' for g in G4)} FROM spans s JOIN states t ON t.level_id = s.level_id AND step BETWEEN start_step AND end_step)"""
+# The slices as states of their own: a slice is a level whose number holds level and run.
+SLICE_CTES = SUMMARY_CTES.replace(
+    STATE_SQL,
+    STATE_SQL.replace("\nstates AS", "\nlstates AS") + f""", {runs_sql('pacman_attack = 1', 'lstates', 'sc')},
+ sspans AS (SELECT r.level_id, run, greatest(start_step - 6, 0) AS s0, least(end_step + 6, b.f) AS s1 FROM scruns r
+  JOIN (SELECT level_id, max(step) AS f FROM lstates GROUP BY 1) b USING (level_id) WHERE start_step > 0),
+ states AS (SELECT s.level_id * 1000000 + s.run AS level_id, t.step - s0 AS step, s1 - s0 + 1 AS n_rows, row_number() OVER (ORDER BY s.level_id, s.run, t.step) AS game_state_id,
+  t.* EXCLUDE (level_id, step, n_rows, game_state_id) FROM sspans s JOIN lstates t ON t.level_id = s.level_id AND t.step BETWEEN s0 AND s1)""",
+    1,
+)
+SLICE_KEY = "level_id // 1000000 AS level_id, level_id % 1000000 AS run"
+FIVE = ["Aggression1", "Aggression3", "Aggression4", "Aggression6", "Caution1"]
 
 
 @query(
-    "b13_captures_on_slices",
-    ST + ", " + _SLICE_CAP + " " + " UNION ALL ".join(
-        f"""SELECT level_id, run, greatest(step - 10, 0) AS start_step, least(step + 10, last_step) AS end_step, time_elapsed AS start_t FROM
- (SELECT *, lag(ghost{g}_state) OVER (PARTITION BY level_id, run ORDER BY step) AS ps FROM sl) WHERE ps = 3 AND ghost{g}_state = 4""" for g in G4
-    ),
+    "b13_detectors_on_slices",
+    f"""WITH RECURSIVE {SLICE_CTES}, si AS (
+ SELECT level_id, 'Aggression1' AS name, start_step, end_step, CAST(n_rows AS DOUBLE) AS value, CAST(NULL AS INTEGER) AS pill FROM hnruns WHERE NOT is_open
+ UNION ALL SELECT level_id, 'Aggression3', greatest(step - 10, 0), least(step + 10, n_rows - 1), 1.0::DOUBLE, NULL FROM cap
+ UNION ALL SELECT level_id, 'Aggression4', start_step, end_step, value, CAST(pill AS INTEGER) FROM ha
+ UNION ALL SELECT level_id, 'Aggression6', start_step, end_step, value, CAST(pill AS INTEGER) FROM cc
+ UNION ALL SELECT level_id, 'Caution1', start_step, end_step, value, NULL FROM merged)
+ SELECT {SLICE_KEY}, name, start_step, end_step, value, pill FROM si""",
 )
 def b13(spark, sf):
-    return bh.captures(slice_log(spark, sf)).select("level_id", "run", "start_step", "end_step", "start_t")
+    found = detectors_with_maze(spark, sf).instances(slice_log(spark, sf), FIVE)
+    return found.select("level_id", "run", "name", "start_step", "end_step", "value", "pill")
+
+
+@query(
+    "b13_summary_on_slices",
+    f"WITH RECURSIVE {SLICE_CTES} SELECT {SLICE_KEY.replace('level_id //', 'k.level_id //').replace('level_id %', 'k.level_id %')}, "
+    + ", ".join(f"coalesce(round(max(CASE WHEN name = '{n}' THEN v END), 6), 0) AS {n}_value, coalesce(max(CASE WHEN name = '{n}' THEN n END), 0) AS {n}_instances" for n in EVERY)
+    + " FROM keys k LEFT JOIN vals v ON v.level_id = k.level_id GROUP BY k.level_id",
+)
+def b13_summary(spark, sf):
+    return _round_values(detectors_with_maze(spark, sf).summary(slice_log(spark, sf)))
 
 
 @query("b14_rejected_levels", "SELECT user_id AS level_id, count(*) AS bad_rows FROM events WHERE value > 300 GROUP BY 1")

@@ -10,7 +10,7 @@ from pathlore.operators import behaviour as bh
 from pathlore.operators import clustering as cl
 from pathlore.operators import core, embeddings, masks, validation
 from pathlore.operators import similarity as sim
-from pathlore.plans.behaviours import SUMMARY_CTES, detectors_log, slice_log
+from pathlore.plans.behaviours import FIVE, SLICE_CTES, SLICE_KEY, detectors_log, detectors_with_maze, slice_log
 from pathlore.plans.pairs import _EMB, _EU
 from pathlore.plans.registry import query
 from pathlore.plans.sequences import _FEATS, runs_sql
@@ -145,35 +145,31 @@ def c10(spark, sf):
 # ---- validation ---------------------------------------------------------------------------------------
 
 
-@query(
-    "v1_slice_encodings",
-    ST + f""", {runs_sql('pacman_attack = 1')}, ids AS (SELECT level_id, run, greatest(start_step - 6, 0) AS s0, least(end_step + 6, m) AS s1 FROM frruns
-  JOIN (SELECT level_id, max(step) AS m FROM states GROUP BY 1) USING (level_id) WHERE start_step > 0),
- sl AS (SELECT ids.level_id, run, step, {', '.join(f'ghost{g}_state' for g in (1, 2, 3, 4))} FROM ids JOIN states t ON t.level_id = ids.level_id AND step BETWEEN s0 AND s1),
- hit AS ({' UNION ALL '.join(f"SELECT level_id, run FROM (SELECT *, lag(ghost{g}_state) OVER (PARTITION BY level_id, run ORDER BY step) AS ps FROM sl) WHERE ps = 3 AND ghost{g}_state = 4" for g in (1, 2, 3, 4))}),
- n AS (SELECT level_id, run, count(*) AS v FROM hit GROUP BY 1, 2) SELECT ids.level_id, ids.run, CAST(v AS DOUBLE) AS Aggression3_value FROM ids LEFT JOIN n ON n.level_id = ids.level_id AND n.run = ids.run""",
-)
-def v1(spark, sf):
+_SLICE_VALUES = f"WITH RECURSIVE {SLICE_CTES}, sm AS (SELECT k.level_id, " + ", ".join(
+    f"coalesce(max(CASE WHEN name = '{n}' THEN v END), 0) AS {n}_value" for n in FIVE
+) + " FROM keys k LEFT JOIN vals v ON v.level_id = k.level_id GROUP BY k.level_id)"
+
+
+def _slice_encodings(spark, sf):
+    """The five validating detectors on every slice, aligned with the slices."""
     cut = slice_log(spark, sf)
-    found = bh.captures(cut).groupBy(*cut.key).agg(F.count(F.lit(1)).cast("double").alias("Aggression3_value"))
-    return validation.align_encodings(cut.df, found, list(cut.key))
+    encoded = detectors_with_maze(spark, sf).encoding(cut, FIVE)
+    return validation.align_encodings(cut.df, encoded, list(cut.key))
 
 
-_V2 = ["Aggression1", "Aggression3", "Aggression4", "Aggression6", "Caution3"]
+@query("v1_slice_encodings", _SLICE_VALUES + f" SELECT {SLICE_KEY}, " + ", ".join(f"round({n}_value, 6) AS {n}_value" for n in FIVE) + " FROM sm")
+def v1(spark, sf):
+    return _slice_encodings(spark, sf).select("level_id", "run", *[F.round(f"{n}_value", 6).alias(f"{n}_value") for n in FIVE])
 
 
 @query(
     "v2_validation_labels",
-    f"WITH RECURSIVE {SUMMARY_CTES}, sm AS (SELECT level_id, "
-    + ", ".join(f"coalesce(max(CASE WHEN name = '{n}' THEN v END), 0) AS {n}_value" for n in _V2)
-    + " FROM keys LEFT JOIN vals USING (level_id) GROUP BY level_id) SELECT level_id, "
-    + ", ".join(
-        f"CAST(CASE WHEN sum({n}_value) OVER () <> 0 THEN CASE WHEN {n}_value > 0 THEN {n + '_value' if n == 'Aggression3' else '1'} ELSE -1 END END AS DOUBLE) AS {n}_value" for n in _V2
+    _SLICE_VALUES + f" SELECT {SLICE_KEY}, " + ", ".join(
+        f"CAST(CASE WHEN sum({n}_value) OVER () <> 0 THEN CASE WHEN {n}_value > 0 THEN {n + '_value' if n == 'Aggression3' else '1'} ELSE -1 END END AS DOUBLE) AS {n}_value" for n in FIVE
     ) + " FROM sm",
 )
 def v2(spark, sf):
-    encoded = bh.Behaviours().encoding(detectors_log(spark, sf), _V2)
-    return validation.validation_labels(encoded, [f"{n}_value" for n in _V2])
+    return validation.validation_labels(_slice_encodings(spark, sf), [f"{n}_value" for n in FIVE])
 
 
 _VPAIRS = f"""vp AS (SELECT {_LABEL} AS a, quality, toxic FROM embeddings e JOIN labels l ON l.doc_id = e.vec_id),

@@ -179,3 +179,43 @@ def test_the_strategy_follows_a_path_that_is_written_anew(spark, tmp_path):
     assert core.order_log(spark.read.parquet(path), ["k"], ["a"], max_rows=5).block is None
     spark.range(30).selectExpr("1 AS k", "id AS a").write.mode("overwrite").parquet(path)
     assert core.order_log(spark.read.parquet(path), ["k"], ["a"], max_rows=5).block == 5
+
+
+def test_only_rows_of_hot_keys_are_written_and_once(spark, monkeypatch):
+    """One key with a third of all rows among many: the others stay in plain windows."""
+    rows = [(0, i % 7, i) for i in range(500)] + [(1 + i % 100, i % 3, i) for i in range(1000)] + [(None, 1, i) for i in range(9)]
+    df = spark.createDataFrame(rows, "k long, o long, i long")
+    written = []
+    plain = core.cut_lineage
+
+    def watched(frame):
+        out = plain(frame)
+        written.append((out.count(), len(out.columns)))
+        return out
+
+    monkeypatch.setattr(core, "cut_lineage", watched)
+    log = core.order_log(df, ["k"], ["o", "i"], max_rows=40)
+    assert written == [(1, 1), (500, 5)]  # the list of hot keys, and the rows of the one hot key
+    got = {}
+    for r in log.df.collect():
+        got.setdefault(r.k, []).append((r.step, r.o, r.i))
+    for k, seen in got.items():
+        want = sorted((o, i) for key, o, i in rows if key == k)
+        assert [s[1:] for s in sorted(seen)] == want and sorted(s[0] for s in seen) == list(range(len(want)))
+    total = core.running_steps(log, {"t": ("sum", F.col("i"))})
+    for k, seen in got.items():
+        want, sums = 0, {}
+        for step, _, i in sorted(seen):
+            want += i
+            sums[step] = want
+        assert {r.step: r.t for r in total.where(F.col("k").eqNullSafe(F.lit(k))).collect()} == sums
+
+
+def test_steps_of_a_hot_key_keep_the_order_of_its_types(spark):
+    inf, nan = float("inf"), float("nan")
+    values = [None, -inf, -2.5, 0.0, 1e300, inf, nan]
+    rows = [("hot" if i % 3 else None, values[i % 7], 2**62 + i) for i in range(210)]
+    df = spark.createDataFrame(rows, "k string, v double, n long")
+    blocks = {(r.k, r.n): r.step for r in core.order_log(df, ["k"], ["v", "n"], max_rows=16).df.collect()}
+    plain = {(r.k, r.n): r.step for r in core.order_log(df, ["k"], ["v", "n"]).df.collect()}
+    assert blocks == plain
