@@ -11,8 +11,8 @@ not paired: everything outside the other segment is equal, so its lines are link
 one place left open, or with one character removed), whose groups are bounded by the alphabet and linked as stars, with
 work in proportion to the lines. Either way gives the same links.
 
-Lines shorter than ``least`` code points say too little to be copies within an edit. With ``short`` their exact copies are
-found by hash like those of any line that is not empty; without it they always stay, as the SQL of op9_line_dedup has it.
+Lines shorter than ``least`` code points say too little to be copies within an edit: of them, as of every line that is not
+empty, exact copies are found by hash. ``short=False`` leaves them alone.
 """
 
 from __future__ import annotations
@@ -172,7 +172,7 @@ def deletion_links(lines: DataFrame) -> DataFrame:
     return met.where("hub is not null and hub <> id").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
 
 
-def copied_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, least: int = LEAST, hot: int = HOT, short: bool = False) -> DataFrame:
+def copied_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, least: int = LEAST, hot: int = HOT, short: bool = True) -> DataFrame:
     """(r1, r2, places): for rows with lines that an earlier line is a copy of, the places of those lines.
 
     Classes of lines are components of the links. Of a class the line of the smallest id (NULL last), row hash and place
@@ -198,10 +198,10 @@ def copied_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", th
     return later.groupBy("at.r1", "at.r2").agg(F.sort_array(F.collect_set("at.place")).alias("places"))
 
 
-def line_report(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, least: int = LEAST, hot: int = HOT, short: bool = False) -> DataFrame:
+def line_report(docs: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: int = THRESHOLD, least: int = LEAST, hot: int = HOT, short: bool = True) -> DataFrame:
     """One row per row of ``docs``: id, n_lines, n_copies and the places of its copied lines (from 0, joined by commas).
 
-    NULL and empty texts are one empty line; lines with nothing or little in them are never copies.
+    NULL and empty texts are one empty line; lines with nothing in them are never copies.
     """
     r1, r2 = row_hashes(id_col, text)
     rows = docs.select(F.col(id_col), r1.alias("r1"), r2.alias("r2"), F.size(F.split(whole_text(text), "\n")).cast("long").alias("n_lines"))
@@ -211,7 +211,7 @@ def line_report(docs: DataFrame, id_col: str = "doc_id", text: str = "text", thr
     )
 
 
-def drop_copied_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: str | None = None, threshold: int = THRESHOLD, least: int = LEAST, hot: int = HOT, short: bool = False) -> DataFrame:
+def drop_copied_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: str | None = None, threshold: int = THRESHOLD, least: int = LEAST, hot: int = HOT, short: bool = True) -> DataFrame:
     """``docs`` with the copied lines taken out of the texts (and ``length``, if named, set anew); every row stays."""
     names = scratch(docs, "r1", "r2", "places")
     found = copied_lines(docs, id_col, text, threshold, least, hot, short).select(

@@ -15,7 +15,7 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathlore.llm.common import WORD, scratch, stored, whole_text
+from pathlore.llm.common import WORD, bounded, scratch, stored, whole_text
 
 ROUNDS = 2  # a document is taken at most this often
 
@@ -107,13 +107,18 @@ def mix_counts(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: flo
 def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, id_col: str = "doc_id", source: str = "source", text: str = "text", seed: int = 0, ranges: int | None = None) -> DataFrame:
     """The mix itself: the taken copies with all columns of ``docs`` plus mix_round and mix_time, sorted by mix_time.
 
-    Columns of ``docs`` with those two names are replaced. Rows that repeat id and text are one document here; an empty
-    table gives an empty mix, and documents without words are not taken.
+    Columns of ``docs`` with those two names are replaced. Rows that repeat id and text are dealt each by itself, as in
+    ``mix_counts``; their copies all carry the other columns of one of them. An empty table gives an empty mix, and documents
+    without words are not taken.
     """
     docs = docs.drop("mix_round", "mix_time")
     key = scratch(docs, "key")["key"]
     numbered = docs.withColumn(key, F.xxhash64(F.lit(seed + 1), F.col(id_col), whole_text(text)))
     sized, queue = mix_plan(numbered, weights, share, key, source, text, seed, ranges)
-    first = sized.groupBy(F.col("id").alias(key)).agg(F.min("row").alias("row"))
-    taken = queue.join(first, "row").select(key, F.col("round").alias("mix_round"), F.col("finish").alias("mix_time"))
+    taken = queue.join(sized.select("row", F.col("id").alias(key)), "row").select(key, F.col("round").alias("mix_round"), F.col("finish").alias("mix_time"))
+    repeats = stored(sized.groupBy(F.col("id").alias(key)).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(key))
+    n_repeats = repeats.count()
+    if n_repeats:  # one row of each repeated document, whatever the number of its rows
+        again = bounded(repeats, n_repeats)
+        numbered = numbered.join(again, key, "left_anti").unionByName(numbered.join(again, key, "left_semi").dropDuplicates([key]))
     return numbered.join(taken, key).drop(key).orderBy("mix_time", id_col, "mix_round")

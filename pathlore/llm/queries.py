@@ -116,12 +116,13 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH RECURSIVE l AS (
       SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS place FROM documents
     ), k AS (SELECT doc_id, place, trim(raw, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM l
-    ), u AS (SELECT line, length(line) AS n, row_number() OVER (ORDER BY line) AS id FROM (SELECT DISTINCT line FROM k WHERE length(line) >= 32)
+    ), u AS (SELECT line, length(line) AS n, row_number() OVER (ORDER BY line) AS id FROM (SELECT DISTINCT line FROM k WHERE line <> '')
+    ), v AS (SELECT * FROM u WHERE n >= 32
     ), c AS (
-      SELECT a.id AS a, b.id AS b, a.line AS x, b.line AS y FROM u a JOIN u b ON b.n = a.n AND left(a.line, a.n // 2) = left(b.line, a.n // 2) AND a.id < b.id
-      UNION SELECT a.id, b.id, a.line, b.line FROM u a JOIN u b ON b.n = a.n AND right(a.line, a.n - a.n // 2) = right(b.line, a.n - a.n // 2) AND a.id < b.id
-      UNION SELECT a.id, b.id, a.line, b.line FROM u a JOIN u b ON b.n = a.n + 1 AND left(a.line, a.n // 2) = left(b.line, a.n // 2)
-      UNION SELECT a.id, b.id, a.line, b.line FROM u a JOIN u b ON b.n = a.n + 1 AND right(a.line, a.n - a.n // 2) = right(b.line, a.n - a.n // 2)
+      SELECT a.id AS a, b.id AS b, a.line AS x, b.line AS y FROM v a JOIN v b ON b.n = a.n AND left(a.line, a.n // 2) = left(b.line, a.n // 2) AND a.id < b.id
+      UNION SELECT a.id, b.id, a.line, b.line FROM v a JOIN v b ON b.n = a.n AND right(a.line, a.n - a.n // 2) = right(b.line, a.n - a.n // 2) AND a.id < b.id
+      UNION SELECT a.id, b.id, a.line, b.line FROM v a JOIN v b ON b.n = a.n + 1 AND left(a.line, a.n // 2) = left(b.line, a.n // 2)
+      UNION SELECT a.id, b.id, a.line, b.line FROM v a JOIN v b ON b.n = a.n + 1 AND right(a.line, a.n - a.n // 2) = right(b.line, a.n - a.n // 2)
     ), e AS (SELECT a, b FROM c WHERE levenshtein(x, y) <= 1 UNION SELECT b, a FROM c WHERE levenshtein(x, y) <= 1
     ), r AS (SELECT DISTINCT a AS id, a AS other FROM e UNION SELECT r.id, e.b FROM r JOIN e ON r.other = e.a
     ), m AS (SELECT id, min(other) AS class FROM r GROUP BY id

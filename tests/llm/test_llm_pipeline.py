@@ -5,7 +5,8 @@ from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
-from test_llm_small import brute_fingerprint, brute_leaks, distance, least_reachable, prose
+from test_llm_small import brute_leaks, distance, least_reachable, prose
+from test_near_copies import brute_shingles, brute_similarity
 
 import corpus_pipeline
 from pathlore.llm import mixing
@@ -72,8 +73,9 @@ def test_lines_against_brute_force(stages):
     before, after = stages["line_dedup"]
     rows = [(r["doc_id"], r["text"]) for r in before.dropDuplicates(["doc_id", "text"]).collect()]
     flat = sorted((d is None, d or 0, p, x.strip(" \t\x0b\x0c\r")) for d, t in rows for p, x in enumerate((t or "").split("\n")))
-    flat = [x for x in flat if len(x[3]) >= 32]
-    near = lambda i, j: abs(len(flat[i][3]) - len(flat[j][3])) <= 1 and distance(flat[i][3], flat[j][3]) <= 1
+    flat = [x for x in flat if x[3]]
+    long = lambda i: len(flat[i][3]) >= 32
+    near = lambda i, j: flat[i][3] == flat[j][3] or (long(i) and long(j) and abs(len(flat[i][3]) - len(flat[j][3])) <= 1 and distance(flat[i][3], flat[j][3]) <= 1)
     first = least_reachable(list(range(len(flat))), near)
     gone = {x[:3] for i, x in enumerate(flat) if first[i] != i}
     assert gone
@@ -86,8 +88,8 @@ def test_lines_against_brute_force(stages):
 def test_one_of_each_near_group_against_brute_force(stages):
     before, after = stages["simhash_near_dedup"]
     rows = [(r["doc_id"], r["text"]) for r in before.collect()]
-    fps = [brute_fingerprint(t) for _, t in rows]
-    comp = least_reachable([d for d, _ in rows], lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 3)
+    sets = [brute_shingles(t) for _, t in rows]
+    comp = least_reachable([d for d, _ in rows], lambda a, b: brute_similarity(sets[a], sets[b]) >= 0.8)
     assert Counter(r["doc_id"] for r in after.collect()) == Counter(set(comp))
 
 

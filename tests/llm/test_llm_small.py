@@ -303,18 +303,23 @@ def test_mix_is_the_queue_of_brute_force(docs, empty, rows, ranges):
 
 
 def test_mix_rows_match_the_counts(docs):
-    counts = Counter()
-    for r in mixing.mix_counts(docs.where("doc_id <> 44")).collect():
-        if r["size"]:
-            counts[r["doc_id"]] += r["taken"] // r["size"]
-    mixed = mixing.mix(docs.where("doc_id <> 44"))
+    total = sum(r["taken"] for r in mixing.mix_counts(docs).collect())
+    mixed = mixing.mix(docs)
     assert {"mix_round", "mix_time", *docs.columns} == set(mixed.columns)
-    total = sum(r["taken"] for r in mixing.mix_counts(docs.where("doc_id <> 44")).collect())
-    words = sum(len(WORD.findall(r["text"])) for r in mixed.collect())
-    assert abs(words - total) <= 2 * 30_000 and [r["mix_time"] for r in mixed.collect()] == sorted(r["mix_time"] for r in mixed.collect())
+    got = mixed.collect()
+    words = sum(len(WORD.findall(r["text"])) for r in got)  # keys differ from ids, so the order of the documents does
+    assert abs(words - total) <= 2 * 30_000 and [r["mix_time"] for r in got] == sorted(r["mix_time"] for r in got)
+    assert max(Counter(r["doc_id"] for r in got if r["doc_id"] != 44).values()) <= 2
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_a_mix_of_repeated_rows_keeps_its_budget(spark):
+    text = " ".join(["word"] * 10)
+    docs = spark.createDataFrame([(1, text, "a", "x"), (1, text, "a", "y"), (2, text, "a", "z"), (2, text, "a", "z")], "doc_id long, text string, source string, note string")
+    mixed = mixing.mix(docs, weights=(1,), share=0.5).collect()
+    assert sum(len(r["text"].split()) for r in mixed) == 20 == sum(r["taken"] for r in mixing.mix_counts(docs, weights=(1,), share=0.5).collect())
+
+
 # ---- 6 simhash ------------------------------------------------------------------------------------------------------
 
 
@@ -382,15 +387,6 @@ def test_trees_lose_no_link(spark, shard):
     assert least_reachable(list(range(len(fps))), lambda i, j: frozenset((i, j)) in pairs) == want
 
 
-def test_one_row_of_each_group_stays(docs, rows):
-    kept = simhash.drop_near_copies(docs)
-    comp = {(r["doc_id"], r["component_id"]) for r in simhash.simhash_components(docs).collect()}
-    assert kept.columns == docs.columns
-    assert Counter(r["doc_id"] for r in kept.collect()) == Counter({c for _, c in comp})
-    twice = docs.where("doc_id = 44")
-    assert simhash.drop_near_copies(twice).count() == 1 and simhash.drop_near_copies(docs.limit(0)).count() == 0
-
-
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(30)] + [(7, 7), (None, 3)]
     got = dict(components.components(spark.createDataFrame(edges, "a long, b long")).collect())
@@ -507,9 +503,9 @@ def test_copied_lines_are_those_of_brute_force(spark, threshold, hot):
     texts += [(30, None), (31, ""), (None, roots[0]), (32, "\r" + roots[1] + " ")]
     df = spark.createDataFrame(texts, "doc_id long, text string").withColumn("place", F.lit(1)).withColumn("keys", F.lit("clash")).repartition(3)
     flat = [(d is None, d, p, x.strip(" \t\x0b\x0c\r")) for d, t in texts for p, x in enumerate((t or "").split("\n"))]
-    flat = [x for x in flat if len(x[3]) >= 8]
+    flat = [x for x in flat if x[3]]
     flat.sort(key=lambda x: (x[0], x[1] or 0, x[2]))
-    first = least_reachable(list(range(len(flat))), lambda i, j: distance(flat[i][3], flat[j][3]) <= threshold)
+    first = least_reachable(list(range(len(flat))), lambda i, j: distance(flat[i][3], flat[j][3]) <= (threshold if min(len(flat[i][3]), len(flat[j][3])) >= 8 else 0))
     dropped = {}
     for i, (_, d, p, _) in enumerate(flat):
         if first[i] != i:
