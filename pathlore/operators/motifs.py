@@ -24,21 +24,69 @@ def direction_code(c: Column | str) -> Column:
     return F.coalesce(code, F.lit(0))
 
 
-def _scaled_windows(v: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
-    """z-normalised windows (zero rows where constant) and the constant flag."""
+RESET = 256  # rows after which dot products are taken anew
+DIGITS = 6  # decimals in which distances are compared, so that equal distances tie whatever their rounding
+
+
+def _shape(v: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean and deviation of every window, and whether it is constant."""
     w = np.lib.stride_tricks.sliding_window_view(v, m)
-    mean, std = w.mean(axis=1, keepdims=True), w.std(axis=1, keepdims=True)
-    flat = (w.max(axis=1) == w.min(axis=1))
-    return np.where(flat[:, None], 0.0, (w - mean) / np.where(flat[:, None], 1.0, std)), flat
+    return w.mean(axis=1), w.std(axis=1), w.max(axis=1) == w.min(axis=1)
+
+
+class _Best:
+    """Nearest window so far of a stretch of windows: distance, then the smaller start."""
+
+    def __init__(self, n: int):
+        self.d, self.at = np.full(n, np.inf), np.full(n, -1, np.int64)
+
+    def offer(self, where, d, at) -> None:
+        less = (d < self.d[where]) | ((d == self.d[where]) & np.isfinite(d) & (at < self.at[where]))
+        self.d[where], self.at[where] = np.where(less, d, self.d[where]), np.where(less, at, self.at[where])
+
+
+def compare_windows(x: np.ndarray, y: np.ndarray, sx: int, sy: int, m: int, zone: int) -> tuple[_Best, _Best]:
+    """Nearest windows of ``y`` for those of ``x`` and the other way round; sx and sy are the first starts.
+
+    A row of dot products follows from the row before: along a diagonal one product leaves and one enters. Only one row is
+    held, whatever the lengths.
+    """
+    base = x.mean()
+    x, y = x - base, y - base  # smaller products lose less
+    (mx, dx, fx), (my, dy, fy) = _shape(x, m), _shape(y, m)
+    n, k = len(mx), len(my)
+    starts = sy + np.arange(k)
+    first = np.lib.stride_tricks.sliding_window_view(x, m) @ y[:m]
+    dots = np.lib.stride_tricks.sliding_window_view(y, m) @ x[:m]
+    mine, theirs = _Best(n), _Best(k)
+    spread_y = np.where(fy, 1.0, m * dy)
+    for i in range(n):
+        if i % RESET == 0 and i:
+            dots = np.lib.stride_tricks.sliding_window_view(y, m) @ x[i : i + m]  # rounding does not pile up
+        elif i:
+            dots[1:] = dots[:-1] - x[i - 1] * y[: k - 1] + x[i + m - 1] * y[m : m + k - 1]
+            dots[0] = first[i]
+        if fx[i]:
+            d = np.where(fy, 0.0, np.sqrt(m))
+        else:
+            same = (dots - m * mx[i] * my) / (dx[i] * spread_y)
+            d = np.where(fy, np.sqrt(m), np.sqrt(np.maximum(2 * m * (1 - same), 0.0)))
+        d = np.round(d, DIGITS)
+        d[np.abs(starts - (sx + i)) <= zone] = np.inf
+        at = int(d.argmin())
+        mine.offer(slice(i, i + 1), d[at : at + 1], starts[at : at + 1])
+        theirs.offer(slice(None), d, np.full(k, sx + i))
+    return mine, theirs
 
 
 def matrix_profile(log: OrderedLog, column: str, m: int, block: int = 2048) -> DataFrame:
     """Per window start: distance ``d`` to and start ``neighbour`` of the nearest z-normalised window of the
     same key farther than ceil(m / 4) steps away.
 
-    Windows are cut into blocks of consecutive starts (with m - 1 rows of overlap). A task compares two blocks
-    and sends on one candidate per window; the best candidate is a combine-before-shuffle minimum. Two
-    constant windows have distance 0, a constant and a varying one sqrt(m).
+    Windows are cut into blocks of consecutive starts (with m - 1 rows of overlap). A task compares two blocks along their
+    diagonals and sends on one candidate per window; the best candidate is a combine-before-shuffle minimum. Distances
+    count to ``DIGITS`` decimals, and of equal ones the smaller start is the neighbour. Two constant windows have distance 0,
+    a constant and a varying one sqrt(m).
     """
     key, step = list(log.key), F.col(log.step)
     zone = ceil(m / 4)
@@ -47,7 +95,7 @@ def matrix_profile(log: OrderedLog, column: str, m: int, block: int = 2048) -> D
     last_block = core.block_of(F.col("_len") - m, block)
     rows = total.select(
         *key, step.alias("step"), F.col(column).cast("double").alias("v"), last_block.alias("_nb"),
-        F.explode(F.array_distinct(F.array(own, first))).alias("b"),
+        F.explode(F.sequence(first, own)).alias("b"),
     ).where("b <= _nb")
     copies = rows.withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_nb")))).select(
         *key, F.least("b", "o").alias("lb"), F.greatest("b", "o").alias("rb"), "b", "step", "v"
@@ -58,24 +106,15 @@ def matrix_profile(log: OrderedLog, column: str, m: int, block: int = 2048) -> D
 
         def side(b):
             part = pdf[pdf["b"] == b].sort_values("step")
-            if len(part) < m:
-                return None
-            z, flat = _scaled_windows(part["v"].to_numpy(), m)
-            z, flat = z[:block], flat[:block]
-            return part["step"].iloc[0] + np.arange(len(z)), z, flat
-
-        left, right = side(lb), side(rb)
-        if left is None or right is None:
+            return int(part["step"].iloc[0]) if len(part) else 0, part["v"].to_numpy()[: block + m - 1]
+
+        (si, x), (sj, y) = side(lb), side(rb)
+        if len(x) < m or len(y) < m:
             return pd.DataFrame({**{k: [] for k in key}, "start": [], "neighbour": [], "d": []})
-        (si, zi, fi), (sj, zj, fj) = left, right
-        d = np.sqrt(np.maximum(2 * m - 2 * (zi @ zj.T), 0.0))
-        d[fi[:, None] & fj[None, :]] = 0.0
-        d[fi[:, None] ^ fj[None, :]] = np.sqrt(m)
-        d[np.abs(si[:, None] - sj[None, :]) <= zone] = np.inf
-        found = []
-        for starts, others, cost in ((si, sj, d), (sj, si, d.T))[: 1 if lb == rb else 2]:
-            best = cost.argmin(axis=1)
-            found.append(pd.DataFrame({"start": starts, "neighbour": others[best], "d": cost[np.arange(len(starts)), best]}))
+        found = [
+            pd.DataFrame({"start": start + np.arange(len(best.d)), "neighbour": best.at, "d": best.d})
+            for start, best in zip((si, sj), compare_windows(x, y, si, sj, m, zone))
+        ][: 1 if lb == rb else 2]
         out = pd.concat(found)
         out = out[np.isfinite(out["d"])]
         for k in reversed(key):

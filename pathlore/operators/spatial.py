@@ -50,10 +50,8 @@ def path_length(log: OrderedLog, x: str = "x", y: str = "y") -> DataFrame:
 
 
 def mirrored(x: Column | str = "Pacman_X", y: Column | str = "Pacman_Y") -> dict[str, Column]:
-    """Position folded into the upper right quadrant, and the quadrant number (1-4) of the folded position.
-
-    The number is taken after folding, so points on or above both axes give 1.
-    """
+    """Position folded into the upper right quadrant, and the quadrant number (1-4) of the position before it is folded;
+    points on or above both axes give 1."""
     x, y = as_col(x), as_col(y)
     mx = F.when(x < MIRROR_X, 2 * MIRROR_X - x).otherwise(x)
     my = F.when(y < MIRROR_Y, 2 * MIRROR_Y - y).otherwise(y)
@@ -270,30 +268,39 @@ def all_pairs_distances(maze: MazeGrid, spark) -> DataFrame:
 def shortest_paths(pairs: DataFrame, maze: MazeGrid) -> DataFrame:
     """The points of one shortest path per distinct pair: (sx, sy, tx, ty, pos, x2, y2).
 
-    Walks back from the target over neighbours one step nearer to the start (left, right, down, up first).
+    One search per distinct start gives every point its parent, the first neighbour one step nearer to the start (left, right,
+    down, up, then links); the paths to all targets of the start follow the parents.
     """
     asked = pairs.select("sx", "sy", "tx", "ty").distinct()
+    per_start = asked.groupBy("sx", "sy").agg(F.collect_list(F.struct("tx", "ty")).alias("targets"))  # <= points of the maze
+    entered = {}
+    for ax, ay, bx, by in maze.links:
+        entered.setdefault((bx, by), []).append((ax, ay))
 
     def walk(batches):
-        back = {}
-        for ax, ay, bx, by in maze.links:
-            back.setdefault((bx, by), []).append((ax, ay))
         for pdf in batches:
             for at in range(0, len(pdf), _BATCH):
                 part = pdf.iloc[at : at + _BATCH]
                 dist = maze.flood(part[["sx", "sy"]].to_numpy())
                 rows = []
-                for i, (sx, sy, tx, ty) in enumerate(part.itertuples(index=False)):
-                    left = maze.lookup(dist, i, tx, ty)
-                    x, y = tx, ty
-                    while left >= 0:
-                        rows.append((sx, sy, tx, ty, left, x, y))
-                        left -= 1
-                        around = [(x - 1, y), (x + 1, y), (x, y - 1), (x, y + 1), *back.get((x, y), [])]
-                        x, y = next((p for p in around if left >= 0 and maze.lookup(dist, i, *p) == left), (x, y))
+                for i, (sx, sy, targets) in enumerate(part[["sx", "sy", "targets"]].itertuples(index=False)):
+                    parent = {}
+
+                    def before(x, y, d):
+                        if (x, y) not in parent:
+                            around = ((x - 1, y), (x + 1, y), (x, y - 1), (x, y + 1), *entered.get((x, y), ()))
+                            parent[x, y] = next(p for p in around if maze.lookup(dist, i, *p) == d - 1)
+                        return parent[x, y]
+
+                    for t in targets:
+                        x, y = t["tx"], t["ty"]
+                        for d in range(maze.lookup(dist, i, x, y), -1, -1):
+                            rows.append((sx, sy, t["tx"], t["ty"], d, x, y))
+                            if d:
+                                x, y = before(x, y, d)
                 yield pd.DataFrame(rows, columns=["sx", "sy", "tx", "ty", "pos", "x2", "y2"])
 
-    return core.spread(asked, "sx", "sy", "tx", "ty").mapInPandas(walk, "sx long, sy long, tx long, ty long, pos long, x2 long, y2 long")
+    return core.spread(per_start, "sx", "sy").mapInPandas(walk, "sx long, sy long, tx long, ty long, pos long, x2 long, y2 long")
 
 
 def reachability(keys: DataFrame, maze: MazeGrid) -> DataFrame:

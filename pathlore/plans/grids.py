@@ -143,7 +143,22 @@ def g10(spark, sf):
     return spatial.graph_distances(goal_pairs(spark, sf), MazeGrid.from_walls(maze_walls(spark, sf)))
 
 
-@query("g10_shortest_path_points")
+# Back from the target to the first neighbour one step nearer to the start: left, right, down, up, then the link.
+_WALK = """wk(sx, sy, tx, ty, pos, x2, y2) AS (
+ SELECT asked.sx, asked.sy, tx, ty, bf.d, bf.x2, bf.y2 FROM asked JOIN bf ON bf.sx = asked.sx AND bf.sy = asked.sy AND bf.x2 = tx AND bf.y2 = ty
+ UNION ALL
+ SELECT sx, sy, tx, ty, pos - 1, pt.x2, pt.y2 FROM (
+  SELECT w.sx, w.sy, w.tx, w.ty, w.pos, arg_min({'x2': b.x2, 'y2': b.y2}, CASE WHEN b.x2 = w.x2 - 1 AND b.y2 = w.y2 THEN 1 WHEN b.x2 = w.x2 + 1 AND b.y2 = w.y2 THEN 2
+    WHEN b.x2 = w.x2 AND b.y2 = w.y2 - 1 THEN 3 WHEN b.x2 = w.x2 AND b.y2 = w.y2 + 1 THEN 4 ELSE 5 END) AS pt
+  FROM wk w JOIN bf b ON b.sx = w.sx AND b.sy = w.sy AND b.d = w.pos - 1 AND (abs(b.x2 - w.x2) + abs(b.y2 - w.y2) = 1 OR (abs(w.x2) = 27 AND w.y2 = -1 AND b.x2 = -w.x2 AND b.y2 = -1))
+  WHERE w.pos > 0 GROUP BY w.sx, w.sy, w.tx, w.ty, w.pos, w.x2, w.y2))"""
+
+
+@query(
+    "g10_shortest_path_points",
+    "WITH RECURSIVE " + STATE_SQL + f", {WALLS_SQL}, {_EDGES}, asked AS ({_GOALS.format(q=QUAD)}), src AS (SELECT DISTINCT sx, sy FROM asked), {_BFS}, {_WALK}"
+    + " SELECT CAST(sx AS BIGINT) AS sx, CAST(sy AS BIGINT) AS sy, CAST(tx AS BIGINT) AS tx, CAST(ty AS BIGINT) AS ty, CAST(pos AS BIGINT) AS pos, CAST(x2 AS BIGINT) AS x2, CAST(y2 AS BIGINT) AS y2 FROM wk",
+)
 def g10_paths(spark, sf):
     return spatial.shortest_paths(goal_pairs(spark, sf), MazeGrid.from_walls(maze_walls(spark, sf)))
 

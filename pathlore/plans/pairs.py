@@ -163,18 +163,18 @@ _PROFILE = ST + """, w AS (SELECT level_id, step AS start, list(k::DOUBLE) OVER
  zz AS (SELECT level_id, start, sd = 0 AS flat, list_transform(v, lambda e: CASE WHEN sd = 0 THEN 0 ELSE (e - mu) / sd END) AS u FROM z),
  pd AS (SELECT a.level_id, a.start, b.start AS neighbour, CASE WHEN a.flat AND b.flat THEN 0 WHEN a.flat OR b.flat THEN sqrt(8)
   ELSE sqrt(greatest(16 - 2 * list_dot_product(a.u, b.u), 0)) END AS d FROM zz a JOIN zz b ON a.level_id = b.level_id AND abs(a.start - b.start) > 2),
- mp AS (SELECT level_id, start, min(d) AS d FROM pd GROUP BY 1, 2)"""
+ mp AS (SELECT level_id, start, arg_min(neighbour, (round(d, 6), neighbour)) AS neighbour, min(round(d, 6)) AS d FROM pd GROUP BY 1, 2)"""
 
 
-@query("t2_matrix_profile", _PROFILE + " SELECT level_id, start, round(d, 6) AS d FROM mp")
+@query("t2_matrix_profile", _PROFILE + " SELECT level_id, start, neighbour, d FROM mp")
 def t2(spark, sf):
-    return _rounded(motifs.matrix_profile(state_log(spark, sf), "k", 8), "d").drop("neighbour")
+    return _rounded(motifs.matrix_profile(state_log(spark, sf), "k", 8), "d")
 
 
 @query(
     "t3_motif_distances",
-    _PROFILE + """ SELECT level_id, CAST(rank AS INTEGER) AS rank, round(d, 5) AS d FROM (SELECT level_id, d, row_number() OVER (PARTITION BY level_id ORDER BY d) AS rank FROM mp) WHERE rank <= 2""",
+    _PROFILE + """ SELECT level_id, start, neighbour, CAST(rank AS INTEGER) AS rank, d FROM (SELECT *, row_number() OVER (PARTITION BY level_id ORDER BY d, start) AS rank FROM mp) WHERE rank <= 2""",
 )
 def t3(spark, sf):
     pair = motifs.motif_pair(motifs.matrix_profile(state_log(spark, sf), "k", 8), ["level_id"])
-    return pair.select("level_id", "rank", F.round("d", 5).alias("d"))
+    return _rounded(pair.select("level_id", "start", "neighbour", "rank", "d"), "d")

@@ -443,3 +443,52 @@ def test_banded_alignment_in_little_memory():
     assert tracemalloc.get_traced_memory()[1] < 100 << 20
     tracemalloc.stop()
     assert d == pytest.approx(sim.dtw([a], [b], np.zeros(1, int), np.zeros(1, int))[0])
+
+
+@pytest.mark.parametrize("m,block", [(4, 8), (9, 7), (16, 64), (300, 400)])
+def test_profile_along_diagonals_is_that_of_all_windows(spark, monkeypatch, m, block):
+    """Neighbour included, ties to the smaller start; constant stretches and repeats make many."""
+    monkeypatch.setattr(motifs, "RESET", 5)
+    rng = np.random.default_rng(m)
+    n = 90 if m < 100 else 900
+    v = rng.integers(0, 3, n).astype(float)
+    v[10 : 10 + m + 3] = 1.0
+    v[-m - 4 :] = v[:m + 4]
+    df = spark.createDataFrame([(0, i, float(x)) for i, x in enumerate(v)], "k long, i long, v double")
+    got = {r.start: (r.neighbour, r.d) for r in motifs.matrix_profile(core.order_log(df, ["k"], ["i"]), "v", m, block=block).collect()}
+    w = np.lib.stride_tricks.sliding_window_view(v, m)
+    flat = w.max(axis=1) == w.min(axis=1)
+    z = np.where(flat[:, None], 0.0, (w - w.mean(axis=1, keepdims=True)) / np.where(flat, 1.0, w.std(axis=1))[:, None])
+    for i in range(len(w)):
+        best = min(
+            (round(0.0 if flat[i] and flat[j] else math.sqrt(m) if flat[i] or flat[j] else float(np.sqrt(((z[i] - z[j]) ** 2).sum())), 6), j)
+            for j in range(len(w)) if abs(i - j) > math.ceil(m / 4)
+        )
+        assert got[i][1] == pytest.approx(best[0], abs=2e-6)
+        assert got[i][0] == best[1]
+
+
+def test_one_search_a_start_gives_the_paths_to_all_its_targets(spark, monkeypatch):
+    rng = random.Random(14)
+    maze = MazeGrid.from_walls(spark.createDataFrame([(rng.randint(-14, 13), rng.randint(-16, 14)) for _ in range(150)], "x long, y long"))
+    starts = [(2 * rng.randint(-12, 12), 2 * rng.randint(-15, 12)) for _ in range(4)]
+    pairs = [(*s, rng.randint(-27, 27), rng.randint(-33, 27)) for s in starts for _ in range(30)]
+    frame = spark.createDataFrame(pairs, "sx long, sy long, tx long, ty long")
+    floods = spark.sparkContext.accumulator(0)
+
+    class Counting(type(maze)):
+        def flood(self, found, blocked=None):
+            floods.add(len(found))
+            return super().flood(found, blocked)
+
+    counting = Counting(**{f.name: getattr(maze, f.name) for f in dataclasses.fields(maze)})
+    rows = spatial.shortest_paths(frame, counting).collect()
+    assert floods.value == len(set(starts))
+    lengths = {(r.sx, r.sy, r.tx, r.ty): r.distance for r in spatial.graph_distances(frame, maze).collect()}
+    paths = {}
+    for r in rows:
+        paths.setdefault((r.sx, r.sy, r.tx, r.ty), {})[r.pos] = (r.x2, r.y2)
+    assert {p for p, d in lengths.items() if d < math.inf} == set(paths)
+    for (sx, sy, tx, ty), points in paths.items():
+        assert len(points) == 2 * lengths[sx, sy, tx, ty] + 1 and points[0] == (sx, sy) and points[len(points) - 1] == (tx, ty)
+        assert all(abs(points[i][0] - points[i + 1][0]) + abs(points[i][1] - points[i + 1][1]) in (1, 54) for i in range(len(points) - 1))
