@@ -300,13 +300,29 @@ def _run(items, measure, ident, value, block_rows, shape: Callable, schema: str,
     """Every pair, by hashed blocks; ``shape`` turns the distances of a task into its output."""
     m = find_measure(measure, band)
     tasks = _tasks(_plain(items, m, ident, value, group), block_rows or BLOCK_ROWS, group)
+    return _compared(tasks, m, shape, _kinds(items, group) + schema, group)
+
+
+def _compared(tasks: DataFrame, m: Measure, shape: Callable, schema: str, group: Iterable[str] = ()) -> DataFrame:
     keys = [*group, "lb", "rb"]
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j, d = _pairs_of(pdf, m)
         return _named(shape(np.minimum(i, j), np.maximum(i, j), d), pdf, group)
 
-    return core.spread(tasks, *keys).groupBy(*keys).applyInPandas(work, _kinds(items, group) + schema)
+    return core.spread(tasks, *keys).groupBy(*keys).applyInPandas(work, schema)
+
+
+def _cross_tasks(left: DataFrame, right: DataFrame, block_rows: int) -> DataFrame:
+    """Copies of the items keyed by task (lb, rb) for every pair of a left and a right block; right blocks count down from -1."""
+    sides = []
+    sizes = [max(1, -(-side.count() // block_rows)) for side in (left, right)]
+    for side, own, others, is_left in ((left, sizes[0], sizes[1], True), (right, sizes[1], sizes[0], False)):
+        mine = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(own))
+        copies = side.withColumn("b", mine).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))))
+        lb, rb = ("b", "o") if is_left else ("o", "b")
+        sides.append(copies.select(F.col(lb).alias("lb"), (-1 - F.col(rb)).alias("rb"), F.lit(is_left).alias("left"), F.lit(not is_left).alias("right"), "id", "v"))
+    return sides[0].unionByName(sides[1])
 
 
 def _named(out: pd.DataFrame, pdf: pd.DataFrame, group: Iterable[str]) -> pd.DataFrame:
@@ -384,6 +400,30 @@ def affinity(items: DataFrame, measure="euclidean", **how) -> DataFrame:
     return pairs_within(items, measure, None, **how)
 
 
+def item_hashes(items: DataFrame, ident: str = "traj_id", value: str = "points") -> DataFrame:
+    """(id, h1, h2): 128 bits of every item's values, by which a stored affinity knows whether it still holds."""
+    return items.select(F.col(ident).alias("id"), F.xxhash64(F.lit(1), value).alias("h1"), F.xxhash64(F.lit(2), value).alias("h2"))
+
+
+def extend_affinity(items: DataFrame, edges: DataFrame, known: DataFrame, measure="euclidean", *, ident: str = "traj_id",
+                    value: str = "points", block_rows: int | None = None, band: int | None = None) -> DataFrame:
+    """The affinity of ``items`` from ``edges`` (i, j, d) computed for ``known`` (id, h1, h2): only pairs with a new or
+    changed item are compared; edges of items that are gone or have changed are left out."""
+    m = find_measure(measure, band)
+    same = core.cut_lineage(item_hashes(items, ident, value).join(known, ["id", "h1", "h2"], "left_semi").select("id"))
+    plain = _plain(items, m, ident, value, ())
+    fresh, rest = core.cut_lineage(plain.join(same, "id", "left_anti")), plain.join(same, "id", "left_semi")
+
+    def shape(i, j, d):
+        return pd.DataFrame({"i": i, "j": j, "d": d})
+
+    size, schema = block_rows or BLOCK_ROWS, "i long, j long, d double"
+    among = _compared(_tasks(fresh, size), m, shape, schema)
+    between = _compared(_cross_tasks(fresh, rest, size), m, shape, schema)
+    still = edges.join(same.withColumnRenamed("id", "i"), "i", "left_semi").join(same.withColumnRenamed("id", "j"), "j", "left_semi")
+    return still.select("i", "j", "d").unionByName(among).unionByName(between)
+
+
 def nearest(items: DataFrame, k: int, measure="euclidean", *, ident: str = "traj_id", value: str = "points",
             block_rows: int | None = None, band: int | None = None) -> DataFrame:
     """The k nearest items of each item: (id, rank, other, d), exact, ties to the smaller id.

@@ -492,3 +492,28 @@ def test_one_search_a_start_gives_the_paths_to_all_its_targets(spark, monkeypatc
     for (sx, sy, tx, ty), points in paths.items():
         assert len(points) == 2 * lengths[sx, sy, tx, ty] + 1 and points[0] == (sx, sy) and points[len(points) - 1] == (tx, ty)
         assert all(abs(points[i][0] - points[i + 1][0]) + abs(points[i][1] - points[i + 1][1]) in (1, 54) for i in range(len(points) - 1))
+
+
+def test_a_stored_affinity_grows_by_its_new_items_only(spark, tmp_path):
+    from pathlore.sources import files
+
+    paths = walks(70, 15)
+    compared = spark.sparkContext.accumulator(0)
+
+    def kernel(a, b, ia, ib):
+        compared.add(len(ia))
+        return sim.euclidean(a, b, ia, ib)
+
+    def update(old, new, rows):
+        before = compared.value
+        frame = path_frame(spark, rows)
+        got = {(r.i, r.j): r.d for r in files.update_affinity(spark, f"{tmp_path}/{old}", f"{tmp_path}/{new}", frame, kernel, block_rows=16).collect()}
+        want = all_pairs(rows, lambda a, b: float(np.sqrt(((a - b) ** 2).sum(1)).sum()))
+        assert got.keys() == want.keys() and all(got[p] == pytest.approx(want[p]) for p in want)
+        return compared.value - before
+
+    assert update("none", "a", paths[:60]) == 60 * 59 // 2
+    assert update("a", "b", paths) == 10 * 60 + 10 * 9 // 2
+    changed = [p + 1 if i == 5 else p for i, p in enumerate(paths)][:65]
+    assert update("b", "c", changed) == 64
+    assert update("c", "d", changed) == 0
