@@ -16,7 +16,7 @@ import tempfile
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 MAX_ROWS = 1 << 20  # rows of one key that a single window task may sort
@@ -371,16 +371,22 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(wanted, *keys)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors of the session share: the one it names, or on one machine one of its own."""
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if sc.getCheckpointDir() is None:
+        if not folder:
+            if not sc.master.startswith("local["):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="pathlore-checkpoint-")  # one machine, one process
+        sc.setCheckpointDir(folder)
+    return (folder or sc.getCheckpointDir()).rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the session names; iterative operators call it between rounds."""
-    sc = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if folder and sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(folder)
-    if sc.getCheckpointDir() is None:
-        if not sc.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="pathlore-checkpoint-"))  # one machine, one process
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

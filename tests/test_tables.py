@@ -184,3 +184,21 @@ def test_selection_guards(spark):
         filters.states_for_levels(df, [])
     with pytest.raises(ValueError):
         filters.select_features(df, "nothing")
+
+
+def test_padded_arrays_have_one_length(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, []), (3, [5.0])], "k int, v array<double>")
+    got = {r.k: r.v for r in slicing.pad_arrays(df, "v", -1.0).collect()}
+    assert got == {1: [1.0, 2.0], 2: [-1.0, -1.0], 3: [5.0, -1.0]}
+    assert slicing.pad_arrays(df.limit(0), "v").count() == 0
+
+
+def test_embedded_sequences_cluster_by_their_shape(spark):
+    from pathlore.operators import analysis
+
+    rows = [(i, [float(i % 3 == 0) * 50 + i * 0.01, 1.0, float(i % 3 == 0) * -40]) for i in range(30)]
+    df = spark.createDataFrame(rows, "id long, flat array<double>")
+    got = {r.id: r.label for r in analysis.embedding_labels(df, 2).collect()}
+    assert got == {i: int(i % 3 == 0) for i in range(30)}  # the larger cluster is 0
+    own = analysis.embedding_labels(df, 2, encoder=lambda values: [[v[0], v[2]] for v in values])
+    assert {r.id: r.label for r in own.collect()} == got
