@@ -185,7 +185,39 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"), least=100, longest=5, cover=100, top=2000)
 
 
-@query("op13_merkle")
+_FIELD = "coalesce(strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR), '-')"
+
+
+def _climb_sql(path: str, nodes: str, key: str) -> str:
+    """Paths (id, key, level, i, n, cur, sibs) up a binary tree: the other node of each run, and what the nodes give."""
+    return f"""
+      SELECT p.id, p.{key}, p.level + 1, p.i // 2, (p.n + 1) // 2, sha256(CASE WHEN s.h IS NULL THEN p.cur WHEN p.i % 2 = 0 THEN p.cur || s.h ELSE s.h || p.cur END), p.sibs || coalesce(s.h, '')
+      FROM {path} p LEFT JOIN {nodes} s ON s.{key} = p.{key} AND s.level = p.level AND s.i = CASE WHEN p.i % 2 = 0 THEN p.i + 1 ELSE p.i - 1 END WHERE p.n > 1"""
+
+
+_MERKLE = f"""
+    WITH RECURSIVE c AS (
+      SELECT *, coalesce('=' || lang, '') AS g, coalesce(xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: CAST(ord(ch) AS BIGINT)),
+        lambda a, b: list_reduce([xor(a, b)] || range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 7 = 0, false) AS hit FROM documents
+    ), l AS (
+      SELECT doc_id, g, sha256({' || '.join(_FIELD.format(f) for f in ('doc_id', 'source', 'lang', 'n_chars', 'text'))}) AS leaf,
+        sha256({' || '.join(_FIELD.format(f) for f in ('doc_id', 'source', 'lang', 'CASE WHEN hit THEN n_chars + 1 ELSE n_chars END', 'text'))}) AS other FROM c
+    ), r AS (SELECT *, row_number() OVER () AS id, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM l
+    ), nd(g, level, i, n, h) AS (
+      SELECT g, 0, i, n, leaf FROM r
+      UNION ALL SELECT g, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM nd WHERE n > 1 GROUP BY g, level, i // 2, n
+    ), sb AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n, 0 AS one FROM nd WHERE n = 1
+    ), td(one, level, i, n, h) AS (
+      SELECT one, 0, i, n, subroot FROM sb
+      UNION ALL SELECT one, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM td WHERE n > 1 GROUP BY one, level, i // 2, n
+    ), up(id, g, level, i, n, cur, sibs) AS (SELECT id, g, 0, i, n, other, '' FROM r UNION ALL {_climb_sql('up', 'nd', 'g')}
+    ), tp(id, one, level, i, n, cur, sibs) AS (SELECT up.id, one, 0, sb.i, sb.n, up.cur, up.sibs FROM up JOIN sb USING (g) WHERE up.n = 1 UNION ALL {_climb_sql('tp', 'td', 'one')})
+    SELECT doc_id, leaf, subroot, td.h AS root, sha256(sibs) AS proof_sha256, cur AS folded_root, cur = td.h AS verified
+    FROM r JOIN sb USING (g) JOIN tp ON tp.id = r.id AND tp.n = 1 JOIN td ON td.n = 1
+    """
+
+
+@query("op13_merkle", _MERKLE)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.tamper_report(table(spark, sf_dir, "documents"))
 
