@@ -45,6 +45,11 @@ def farthest_first(n: int, wanted: int, distances: Callable[[int], np.ndarray])
     return chosen
 
 
+def sample_of(items: DataFrame) -> list:
+    """Plain values of the ``SAMPLE`` items of least hash."""
+    return [r["v"] for r in items.select("id", "v").orderBy(F.xxhash64("id", F.lit(11)), "id").limit(SAMPLE).collect()]
+
+
 def pivot_features(sample: list, kernel, own: Features | None, metric: bool) -> Features:
     """The feature function of a measure: its own features, then the distances to reference items if it is a metric."""
     pivots = []
@@ -85,7 +90,7 @@ class Blocks:
     def __init__(self, items: DataFrame, decode: Callable[[Sequence], list], kernel, own: Features | None, metric: bool, group: Sequence[str] = (), rows: int | None = None):
         self.group = list(group)
         # Two actions on the items: a bounded sample, and the stored table, whose count then costs no work.
-        sample = decode([r["v"] for r in items.select("v").orderBy(F.xxhash64("id", F.lit(11)), "id").limit(SAMPLE).collect()])
+        sample = decode(sample_of(items))
         features = pivot_features(sample, kernel, own, metric)
         known = features(sample)
         self.width = known.shape[1]

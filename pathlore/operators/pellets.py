@@ -12,13 +12,16 @@ from pathlore.operators.core import OrderedLog
 
 REACH = 0.5  # a pellet this near is eaten
 FULL_COUNT = 244  # counter before the first pellet
+MAX_POINTS = 4096  # points that go to the driver and whose distances are all taken
 # The power pill points.
 POWER_PILLS = ((12.5, -9.5), (-12.5, -9.5), (-12.5, 10.5), (12.5, 10.5))
 
 
 def _dimension(pellets: DataFrame, x: str, y: str) -> np.ndarray:
-    """Pellet points of the maze (bounded by its grid) in reading order: top row first, left to right."""
-    rows = [(r[0], r[1]) for r in pellets.select(F.col(x).cast("double"), F.col(y).cast("double")).distinct().collect()]
+    """Pellet points of the maze in reading order: top row first, left to right. More than ``MAX_POINTS`` are no maze's."""
+    rows = [(r[0], r[1]) for r in pellets.select(F.col(x).cast("double"), F.col(y).cast("double")).distinct().limit(MAX_POINTS + 1).collect()]
+    if len(rows) > MAX_POINTS:
+        raise ValueError(f"more than {MAX_POINTS} pellet points; the maze has 55 x 61 at most")
     return np.array(sorted(rows, key=lambda p: (-p[1], p[0])), dtype=float).reshape(-1, 2)
 
 

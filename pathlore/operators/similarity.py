@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pathlore.operators import blocks, core
 
 BLOCK_ROWS = 256
+FEW_ITEMS = 4096  # up to so many items all blocks meet: laying them out would cost more than it saves. Steers the work, not the result
 PAIRS_AT_ONCE = 1024  # keeps the working rows of a chunk in the processor cache
 EARLY_POINTS = 16  # points or rows between two looks at what is already too far
 SLACK = 1 + 1e-9  # bounds are this much wider than eps, so rounding loses no pair; the last test is exact
@@ -335,6 +336,19 @@ def _kinds(items: DataFrame, group: Iterable[str]) -> str:
     return "".join(f"{g} {items.schema[g].dataType.simpleString()}, " for g in group)
 
 
+def _reached(m: Measure, left: pd.DataFrame, right: pd.DataFrame, phi_a: np.ndarray, phi_b: np.ndarray, same: bool):
+    """(ids, ids, distances) of the pairs within the ``reach`` of either item that neither features nor bound rule out."""
+    a, b = _decode(left["v"], m.vector), _decode(right["v"], m.vector)
+    ra, rb = left["reach"].to_numpy(float), right["reach"].to_numpy(float)
+    ia, ib = blocks.close_pairs(phi_a, phi_b, ra * SLACK, rb * SLACK, same)
+    if m.bound is not None and len(ia):
+        keep = m.bound(a, b, ia, ib) <= np.maximum(ra[ia], rb[ib]) * SLACK
+        ia, ib = ia[keep], ib[keep]
+    most = float(max(ra.max(), rb.max()))
+    d = np.empty(0) if not len(ia) else m.kernel(a, b, ia, ib, eps=most) if m.stops else m.kernel(a, b, ia, ib)
+    return left["id"].to_numpy()[ia], right["id"].to_numpy()[ib], d
+
+
 def _near(found: blocks.Blocks, m: Measure, rows: DataFrame, boxes: DataFrame, shape: Callable, schema: str) -> DataFrame:
     """Pairs within the ``reach`` of either item, by blocks that may hold some; ``rows`` and ``boxes`` bring their reach."""
     keys = [*found.group, "a", "b"]
@@ -343,22 +357,28 @@ def _near(found: blocks.Blocks, m: Measure, rows: DataFrame, boxes: DataFrame, s
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
         left, right = pdf[pdf["left"]], pdf[pdf["right"]]
-        a, b = _decode(left["v"], m.vector), _decode(right["v"], m.vector)
-        ra, rb = left["reach"].to_numpy(float), right["reach"].to_numpy(float)
-        first = pdf.iloc[0]
-        pa, pb = np.stack(left["phi"].to_list()), np.stack(right["phi"].to_list())
-        ia, ib = blocks.close_pairs(pa, pb, ra * SLACK, rb * SLACK, first["a"] == first["b"])
-        if m.bound is not None and len(ia):
-            keep = m.bound(a, b, ia, ib) <= np.maximum(ra[ia], rb[ib]) * SLACK
-            ia, ib = ia[keep], ib[keep]
-        most = float(max(ra.max(), rb.max()))
-        d = np.empty(0) if not len(ia) else m.kernel(a, b, ia, ib, eps=most) if m.stops else m.kernel(a, b, ia, ib)
-        i, j = left["id"].to_numpy()[ia], right["id"].to_numpy()[ib]
+        phi_a, phi_b = np.stack(left["phi"].to_list()), np.stack(right["phi"].to_list())
+        i, j, d = _reached(m, left, right, phi_a, phi_b, pdf["a"].iloc[0] == pdf["b"].iloc[0])
         return _named(shape(np.minimum(i, j), np.maximum(i, j), d), pdf, group)
 
     return core.spread(tasks, *keys).groupBy(*keys).applyInPandas(work, _kinds(rows, group) + schema)
 
 
+def _few_near(plain: DataFrame, m: Measure, eps: float, shape: Callable, schema: str, group: list[str]) -> DataFrame:
+    """The same for few items: hashed blocks all meet, features are taken inside the task."""
+    features = blocks.pivot_features(_decode(blocks.sample_of(plain), m.vector), m.kernel, m.features, m.metric)
+    keys = [*group, "lb", "rb"]
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(reach=eps)
+        left, right = pdf[pdf["left"]], pdf[pdf["right"]]
+        phi_a, phi_b = features(_decode(left["v"], m.vector)), features(_decode(right["v"], m.vector))
+        i, j, d = _reached(m, left, right, phi_a, phi_b, pdf["lb"].iloc[0] == pdf["rb"].iloc[0])
+        return _named(shape(np.minimum(i, j), np.maximum(i, j), d), pdf, group)
+
+    return core.spread(_tasks(plain, BLOCK_ROWS, group), *keys).groupBy(*keys).applyInPandas(work, _kinds(plain, group) + schema)
+
+
 def _blocks(items: DataFrame, m: Measure, ident: str, value: str, group: Iterable[str], block_rows: int | None) -> blocks.Blocks:
     return blocks.Blocks(_plain(items, m, ident, value, group), lambda v: _decode(v, m.vector), m.kernel, m.features, m.metric, list(group), block_rows)
 
@@ -367,6 +387,9 @@ def _within(items, measure, eps, ident, value, block_rows, shape, schema, band=N
     m = find_measure(measure, band)
     if not m.prunes:
         return _run(items, measure, ident, value, block_rows, shape, schema, band, group)
+    plain = _plain(items, m, ident, value, group)
+    if block_rows is None and plain.count() <= FEW_ITEMS:
+        return _few_near(plain, m, float(eps), shape, schema, list(group))
     found = _blocks(items, m, ident, value, group, block_rows)
     rows = found.rows.withColumn("reach", F.lit(float(eps)))
     return _near(found, m, rows, found.boxes().withColumn("reach", F.lit(float(eps))), shape, schema)
@@ -438,7 +461,7 @@ def nearest(items: DataFrame, k: int, measure="euclidean", *, ident: str = "traj
         return both.sort_values(["id", "d", "other"]).groupby("id", sort=False).head(k)
 
     schema = "id long, other long, d double"
-    if m.prunes:
+    if m.prunes and (block_rows is not None or items.count() > FEW_ITEMS):
         found = _blocks(items, m, ident, value, (), block_rows)
 
         def seeds(pdf: pd.DataFrame) -> pd.DataFrame:

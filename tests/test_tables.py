@@ -202,3 +202,13 @@ def test_embedded_sequences_cluster_by_their_shape(spark):
     assert got == {i: int(i % 3 == 0) for i in range(30)}  # the larger cluster is 0
     own = analysis.embedding_labels(df, 2, encoder=lambda values: [[v[0], v[2]] for v in values])
     assert {r.id: r.label for r in own.collect()} == got
+
+
+def test_a_table_that_is_no_maze_is_refused(spark):
+    from helpers import make_log
+
+    from pathlore.operators.pellets import MAX_POINTS, eaten_pellets
+
+    points = spark.range(MAX_POINTS + 1).select(F.col("id").cast("double").alias("px"), F.lit(0.5).alias("py"))
+    with pytest.raises(ValueError):
+        eaten_pellets(make_log(spark, [{}]), points)
