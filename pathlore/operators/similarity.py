@@ -21,6 +21,7 @@ from pathlore.operators import blocks, core
 BLOCK_ROWS = 256
 FEW_ITEMS = 4096  # up to so many items all blocks meet: laying them out would cost more than it saves. Steers the work, not the result
 PAIRS_AT_ONCE = 1024  # keeps the working rows of a chunk in the processor cache
+WORTH = 0.1  # share of the first pairs of a task that a bound must rule out to be taken for the others
 EARLY_POINTS = 16  # points or rows between two looks at what is already too far
 SLACK = 1 + 1e-9  # bounds are this much wider than eps, so rounding loses no pair; the last test is exact
 
@@ -49,16 +50,18 @@ def _pointwise(local: Callable[[np.ndarray], np.ndarray]):
             if eps is None or n < 2 * EARLY_POINTS:
                 parts.append(local(sa[ja] - sb[jb]).sum(axis=1))
                 continue
-            total, live = np.zeros(len(ja)), np.arange(len(ja))
+            total, live, stopped = np.zeros(len(ja)), np.arange(len(ja)), 0
             for at in range(0, n, EARLY_POINTS):
                 total[live] += local(sa[ja[live], at : at + EARLY_POINTS] - sb[jb[live], at : at + EARLY_POINTS]).sum(axis=1)
                 far = total[live] > eps * SLACK
-                if far.any():
+                if at + EARLY_POINTS < n and far.any():
                     total[live[far]] = np.inf
-                    live = live[~far]
+                    live, stopped = live[~far], stopped + int(far.sum())
                     if not len(live):
                         break
             parts.append(total)
+            if stopped < WORTH * len(ja):
+                eps = None  # these pairs lie too close together for looking to pay
         return np.concatenate(parts or [np.empty(0)])
 
     return measure
@@ -342,7 +345,12 @@ def _reached(m: Measure, left: pd.DataFrame, right: pd.DataFrame, phi_a: np.ndar
     ra, rb = left["reach"].to_numpy(float), right["reach"].to_numpy(float)
     ia, ib = blocks.close_pairs(phi_a, phi_b, ra * SLACK, rb * SLACK, same)
     if m.bound is not None and len(ia):
-        keep = m.bound(a, b, ia, ib) <= np.maximum(ra[ia], rb[ib]) * SLACK
+        keep = np.ones(len(ia), bool)
+        for at in range(0, len(ia), 8 * PAIRS_AT_ONCE):
+            part = slice(at, at + 8 * PAIRS_AT_ONCE)
+            keep[part] = m.bound(a, b, ia[part], ib[part]) <= np.maximum(ra[ia[part]], rb[ib[part]]) * SLACK
+            if keep[part].mean() > 1 - WORTH:
+                break  # it rules out too little here
         ia, ib = ia[keep], ib[keep]
     most = float(max(ra.max(), rb.max()))
     d = np.empty(0) if not len(ia) else m.kernel(a, b, ia, ib, eps=most) if m.stops else m.kernel(a, b, ia, ib)
@@ -366,7 +374,8 @@ def _near(found: blocks.Blocks, m: Measure, rows: DataFrame, boxes: DataFrame, s
 
 def _few_near(plain: DataFrame, m: Measure, eps: float, shape: Callable, schema: str, group: list[str]) -> DataFrame:
     """The same for few items: hashed blocks all meet, features are taken inside the task."""
-    features = blocks.pivot_features(_decode(blocks.sample_of(plain), m.vector), m.kernel, m.features, m.metric)
+    sample = _decode([r["v"] for r in plain.select("v").limit(4 * blocks.PIVOTS).collect()], m.vector)
+    features = blocks.pivot_features(sample, m.kernel, m.features, m.metric)
     keys = [*group, "lb", "rb"]
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
