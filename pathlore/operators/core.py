@@ -101,6 +101,9 @@ def laid_out(df: DataFrame, key: Sequence[str], order: Sequence[str], max_rows:
     ahead = held.select(
         *[F.col(k).alias(f"_r{k}") for k in key], F.col("_cell").alias("_rcell"), (F.coalesce(F.sum("_held").over(along), F.lit(0)) - F.col("_first")).alias("_ahead")
     )
+    ahead = cut_lineage(ahead)  # a row a range, one more for each key that begins inside one
+    if ahead.count() <= HOT_KEYS:
+        ahead = F.broadcast(ahead)
     joined = laid.join(ahead, null_safe(laid, ahead, [*[(k, f"_r{k}") for k in key], ("_cell", "_rcell")]))
     return joined.select(*[c for c in df.columns if c != step], (F.col("_at") + F.col("_ahead")).alias(step))
 
