@@ -10,11 +10,12 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathlore.operators import core
+from pathlore.operators import core, wide_pca
 from pathlore.operators.normalize import EPS
 
 NOISE = -1
 MAX_CENTROIDS = 10_000  # centroids a task may hold
+WIDE = 1024  # numbers in a vector up to which a covariance matrix is formed (8 MB)
 
 
 def min_label_components(nodes: DataFrame, edges: DataFrame, ident: str = "id", a: str = "i", b: str = "j") -> DataFrame:
@@ -108,11 +109,18 @@ def assign_nearest(df: DataFrame, column: str, centroids: DataFrame, centre: str
     return out.withColumn(label, F.col("_n.l")).drop("_n")
 
 
-def reduce_dimensions(df: DataFrame, column: str, n: int = 2, out: str = "reduced"):
-    """(frame, fitted PCA or None): centred scores of the first n components; inputs of <= 2 dimensions pass through."""
+def reduce_dimensions(df: DataFrame, column: str, n: int = 2, out: str = "reduced", wide: int = WIDE):
+    """(frame, fitted PCA or None): centred scores of the first n components; inputs of <= 2 dimensions pass through.
+
+    Vectors of more than ``wide`` numbers are reduced in passes over the rows (``wide_pca``), others by their covariance.
+    """
     width = df.agg(F.max(F.size(column))).first()[0]  # NULL for an empty frame
     if width is None or width <= 2:
         return df.withColumn(out, F.transform(column, lambda x: x.cast("double"))), None
+    if width > wide:
+        data = core.cut_lineage(df.withColumn("_v", F.transform(column, lambda x: x.cast("double"))))  # read by every pass
+        found = wide_pca.fit(data, "_v", width, n)
+        return wide_pca.transform(data, "_v", found, out).drop("_v"), found
     data = df.withColumn("_v", array_to_vector(F.transform(column, lambda x: x.cast("double"))))
     centre = StandardScaler(withMean=True, withStd=False, inputCol="_v", outputCol="_c").fit(data)
     centred = centre.transform(data)

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pathlore.operators import blocks, core
 
 BLOCK_ROWS = 256
+FINE_BITS = 40  # trailing bits of a distance that a fine cell of the histogram leaves open: 4,096 cells for each power of two
 FEW_ITEMS = 4096  # up to so many items all blocks meet: laying them out would cost more than it saves. Steers the work, not the result
 PAIRS_AT_ONCE = 1024  # keeps the working rows of a chunk in the processor cache
 WORTH = 0.1  # share of the first pairs of a task that a bound must rule out to be taken for the others
@@ -513,21 +514,36 @@ def mean_distances(items: DataFrame, measure="euclidean", **how) -> DataFrame:
 
 def distance_histogram(items: DataFrame, measure="euclidean", bins: int = 200, *, ident: str = "traj_id",
                        value: str = "points", block_rows: int | None = None, band: int | None = None) -> DataFrame:
-    """Equal-width histogram of all pair distances (bin, lo, n); the last bin is closed. Two passes: range, counts."""
-    low, high = affinity_totals(items, measure, ident=ident, value=value, block_rows=block_rows, band=band).agg(
-        F.min("low"), F.max("high")
-    ).first()
+    """Equal-width histogram of all pair distances (bin, lo, n); the last bin is closed. Every pair is compared once.
+
+    Tasks store their distances in fine cells (equal leading bits, so a cell is an interval) with count, least and greatest.
+    The bins follow from the range of all: a cell inside one bin adds its count, and only the values of the cells across
+    an edge, less than one an edge, are looked at. Infinite distances (outside a band) are in no bin; no pairs, no rows.
+    """
+
+    def shape(i, j, d):
+        d = np.sort(d[np.isfinite(d)])
+        cell = d.view(np.int64) >> FINE_BITS
+        first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]][: len(d)])
+        last = np.r_[first[1:], len(d)][: len(first)] - 1
+        parts = np.split(d, first[1:]) if len(d) else []
+        return pd.DataFrame({"cell": cell[first], "n": last - first + 1, "low": d[first], "high": d[last], "d": pd.Series(parts, dtype=object)})
+
+    fine = core.cut_lineage(_run(items, measure, ident, value, block_rows, shape, "cell long, n long, low double, high double, d array<double>", band))
+    cells = core.cut_lineage(fine.groupBy("cell").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")))
+    low, high = cells.agg(F.min("low"), F.max("high")).first()
     if low is None:
         low = high = 0.0
     width = (high - low) / bins or 1.0
 
-    def shape(i, j, d):
-        b = np.minimum(np.floor((d - low) / width), bins - 1).astype("int64")
-        found, n = np.unique(b, return_counts=True)
-        return pd.DataFrame({"bin": found, "n": n})
+    def bin_of(d):
+        return F.least(F.floor((F.col(d) - F.lit(low)) / F.lit(width)), F.lit(bins - 1).cast("long"))
 
-    part = _run(items, measure, ident, value, block_rows, shape, "bin long, n long", band)
-    return part.groupBy("bin").agg(F.sum("n").alias("n")).withColumn("lo", F.lit(low) + F.col("bin") * F.lit(width))
+    placed = cells.select("cell", "n", bin_of("low").alias("bin"), bin_of("high").alias("to"))
+    across = F.broadcast(placed.where("bin <> to").select("cell"))  # fewer than ``bins`` cells
+    looked = fine.join(across, "cell").select(F.explode("d").alias("d")).select(bin_of("d").alias("bin"), F.lit(1).cast("long").alias("n"))
+    whole = placed.where("bin = to").select("bin", "n")
+    return whole.unionByName(looked).groupBy("bin").agg(F.sum("n").alias("n")).withColumn("lo", F.lit(low) + F.col("bin") * F.lit(width))
 
 
 def sorted_distances(edges: DataFrame) -> DataFrame:

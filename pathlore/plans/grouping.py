@@ -73,6 +73,41 @@ def c3(spark, sf):
     return out.select("vec_id", F.col("reduced")[0].alias("p1"), F.col("reduced")[1].alias("p2"))
 
 
+_WIDE = 40  # classes of a word's first and last character
+
+
+def _power_steps(n: int) -> str:
+    """``n`` rounds of power iteration on the centred counts, starting with equal weights."""
+    out = "v0 AS (SELECT k, 1.0::DOUBLE AS v FROM mean)"
+    for i in range(n):
+        out += f""", s{i} AS MATERIALIZED (SELECT doc_id, sum(x * v) - (SELECT sum(m * v) FROM mean JOIN v{i} USING (k)) AS s FROM c JOIN v{i} USING (k) GROUP BY 1),
+ t{i} AS MATERIALIZED (SELECT doc_id, coalesce(s, -(SELECT sum(m * v) FROM mean JOIN v{i} USING (k))) AS s FROM documents LEFT JOIN s{i} USING (doc_id)),
+ u{i} AS MATERIALIZED (SELECT k, g - m * (SELECT sum(s) FROM t{i}) AS v FROM (SELECT k, sum(x * s) AS g FROM c JOIN t{i} USING (doc_id) GROUP BY 1) JOIN mean USING (k)),
+ v{i + 1} AS MATERIALIZED (SELECT k, v / (SELECT sqrt(sum(v * v)) FROM u{i}) AS v FROM u{i})"""
+    return out
+
+
+@query(
+    "c3_wide_pca",
+    f"""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS word FROM documents),
+ c AS MATERIALIZED (SELECT doc_id, (ascii(left(word, 1)) % {_WIDE}) * {_WIDE} + ascii(right(word, 1)) % {_WIDE} AS k, count(*)::DOUBLE AS x FROM w GROUP BY ALL),
+ mean AS MATERIALIZED (SELECT k, sum(x) / (SELECT count(*) FROM documents) AS m FROM c GROUP BY 1), {_power_steps(40)},
+ f AS (SELECT sign(arg_max(v, abs(v))) AS f FROM v40), o AS (SELECT sum(m * v) AS o FROM mean JOIN v40 USING (k))
+ SELECT doc_id, round(f * (coalesce(p, 0) - o), 2) + 0.0::DOUBLE AS p1 FROM documents LEFT JOIN (SELECT doc_id, sum(x * v) AS p FROM c JOIN v40 USING (k) GROUP BY 1) USING (doc_id), f, o""",
+)
+def c3_wide(spark, sf):
+    """First component of 1,600 counts a document: its words by first and last character."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    words = docs.select("doc_id", F.explode(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("w"))
+    kind = F.pmod(F.ascii("w"), F.lit(_WIDE)) * _WIDE + F.pmod(F.ascii(F.substring("w", -1, 1)), F.lit(_WIDE))
+    counts = words.groupBy("doc_id", kind.alias("k")).count()
+    packed = counts.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("k", F.col("count").cast("double").alias("x")))).alias("m"))  # at most 1,600 entries
+    every = F.sequence(F.lit(0), F.lit(_WIDE * _WIDE - 1))
+    flat = docs.select("doc_id").join(packed, "doc_id", "left").select("doc_id", F.transform(every, lambda k: F.coalesce(F.element_at("m", k), F.lit(0.0))).alias("flat"))
+    found = embeddings.embed(flat, "flat", n=1)
+    return found.select("doc_id", (F.round(F.col("embedding")[0], 2) + F.lit(0.0)).alias("p1"))
+
+
 @query(
     "c4_standardize_encodings",
     "SELECT l_orderkey, l_linenumber, " + ", ".join(

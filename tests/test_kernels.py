@@ -1,6 +1,7 @@
 """Operators without oracle SQL against brute force, and numeric kernels."""
 
 import dataclasses
+import itertools
 import math
 import random
 import tracemalloc
@@ -13,7 +14,7 @@ from helpers import make_log, tuples
 from pyspark.sql import functions as F
 
 from pathlore.operators import clustering as cl
-from pathlore.operators import blocks, core, motifs, pellets, spatial
+from pathlore.operators import blocks, core, motifs, pellets, spatial, wide_pca
 from pathlore.operators import similarity as sim
 from pathlore.operators.spatial import MazeGrid
 
@@ -517,3 +518,62 @@ def test_a_stored_affinity_grows_by_its_new_items_only(spark, tmp_path):
     changed = [p + 1 if i == 5 else p for i, p in enumerate(paths)][:65]
     assert update("b", "c", changed) == 64
     assert update("c", "d", changed) == 0
+
+
+def test_wide_components_are_those_of_the_covariance(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = rng.normal(size=(60, 5)) * [9, 5, 3, 2, 1] @ rng.normal(size=(5, 90)) + rng.normal(size=(60, 90)) * 0.1 + 7
+    frame = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(rows)] + [(60, None)], "id long, v array<double>").repartition(5)
+    monkeypatch.setattr(wide_pca, "PART", 64)
+    out, model = cl.reduce_dimensions(frame, "v", 3, wide=50)
+    got = {r.id: r.reduced for r in out.collect()}
+    assert got.pop(60) is None and set(out.columns) == {"id", "v", "reduced"}
+    centred = rows - rows.mean(axis=0)
+    _, s, axes = np.linalg.svd(centred, full_matrices=False)
+    want = centred @ axes[:3].T
+    for c in range(3):
+        mine = np.array([got[i][c] for i in range(60)])
+        assert min(abs(mine - want[:, c]).max(), abs(mine + want[:, c]).max()) < 1e-6
+    assert np.allclose(model.explainedVariance, (s**2 / (s**2).sum())[:3])
+    assert model.passes <= 20
+
+
+def test_wide_components_beyond_the_rank_and_close_variances(spark):
+    rng = np.random.default_rng(5)
+    few = rng.normal(size=(4, 40))
+    frame = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(few)], "id long, v array<double>")
+    model = wide_pca.fit(frame, "v", 40, 6)
+    assert np.allclose(model.pc.T @ model.pc, np.eye(6), atol=1e-9)
+    assert np.isclose(model.explainedVariance[:3].sum(), 1) and np.allclose(model.explainedVariance[3:], 0, atol=1e-12)
+    same = spark.createDataFrame([(0, [2.0] * 40), (1, [2.0] * 40)], "id long, v array<double>")
+    assert not wide_pca.fit(same, "v", 40, 2).explainedVariance.any()
+    flat = rng.normal(size=(300, 40))  # variances of random directions lie close together
+    frame = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(flat)], "id long, v array<double>")
+    model = wide_pca.fit(frame, "v", 40, 2, extra=2)
+    values, axes = np.linalg.eigh(np.cov(flat.T))
+    assert np.allclose(abs(model.pc.T @ axes[:, ::-1][:, :2]), np.eye(2), atol=1e-6)
+
+
+def test_histogram_compares_a_pair_once_and_settles_the_edges(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    items = [(i, [float(x) for x in rng.integers(0, 6, 2)]) for i in range(60)]  # many equal distances, some on edges
+    frame = spark.createDataFrame(items, "traj_id long, points array<double>")
+    d = np.array([np.hypot(a[0] - b[0], a[1] - b[1]) for (i, a), (j, b) in itertools.combinations(items, 2)])
+    seen = spark.sparkContext.accumulator(0)
+
+    def kernel(a, b, ia, ib):
+        seen.add(len(ia))
+        x, y = np.stack(a), np.stack(b)
+        return np.sqrt(((x[ia] - y[ib]) ** 2).sum(axis=1))
+
+    measure = sim.Measure(kernel, vector=True)
+    for bits in (40, 52, 62):  # coarse cells leave more to be looked at
+        monkeypatch.setattr(sim, "FINE_BITS", bits)
+        got = {r.bin: r.n for r in sim.distance_histogram(frame, measure, 7, block_rows=16).collect()}
+        width = (d.max() - d.min()) / 7
+        want = np.unique(np.minimum(np.floor((d - d.min()) / width), 6), return_counts=True)
+        assert got == dict(zip(want[0].astype(int).tolist(), want[1].tolist()))
+    assert seen.value == 3 * len(d)
+    assert sim.distance_histogram(frame.limit(1), measure, 7).count() == 0
+    banded = sim.distance_histogram(spark.createDataFrame([(0, [(0.0, 0.0)]), (1, [(1.0, 0.0)]), (2, [(0.0, 0.0)] * 9)], "traj_id long, points array<struct<x:double,y:double>>"), "dtw", 4, band=2)
+    assert [(r.bin, r.n) for r in banded.collect()] == [(0, 1)]
