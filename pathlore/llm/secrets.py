@@ -4,7 +4,8 @@ Strong findings (assigned secrets, access keys, long hex strings) stand by thems
 random-looking strings, short assigned values, hosts and addresses) say nothing alone: they are reported only where
 complementary parts of one credential stand together. Parts are intervals of the text; an interval join by a sweep over
 their starts pairs identifiers with secrets, and then endpoints with secrets that are reported, inside one scope (a block
-of lines without a blank line) and within ``REACH`` code points. A document is one row, so the join needs no shuffle.
+of lines without a blank line); a ``reach`` in code points can bound it further. A document is one row, so the join needs no
+shuffle.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from pyspark.sql import functions as F
 
 from pathlore.llm.common import byte_texts, scratch, whole_text
 
-REACH = 200
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
 IDENTIFIERS, SECRETS = {"access", "identifier"}, {"assign", "hex", "secret"}
 BASE = {"assign", "access", "hex"}
@@ -36,6 +36,7 @@ RANDOM = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_
 ENDPOINT = re.compile(
     r"https?://[^\s\"'<>]{4,}|(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w.]*\w)(?::\d{1,5})?"
     r"|(?:host|endpoint|server)" + _VALUE + r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?::\d{1,5})?", _FLAGS)
+URL_VALUE = re.compile(r"(?<=[/=:@])[A-Za-z0-9+_-]{20,}(?![A-Za-z0-9+_-])")  # a path segment or parameter of an endpoint
 
 # One pass over the bytes that decides for nearly every text that a slow pattern cannot match.
 _RUN = bytes(49 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
@@ -63,33 +64,43 @@ def base_parts(text: str) -> list[Part]:
     return out + [Part(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
-def weak_parts(text: str, strong: list[Part]) -> list[Part]:
-    """Candidates that do not touch a strong finding, nor an earlier candidate of another role."""
-    taken = sorted((p.start, p.end) for p in strong)
+def free_of(parts: list[Part]):
+    """Whether an interval touches none of the parts."""
+    taken = sorted((p.start, p.end) for p in parts)
     starts = [a for a, _ in taken]
-    reach_end: list[int] = []
+    highest: list[int] = []
     for _, b in taken:
-        reach_end.append(max(b, reach_end[-1]) if reach_end else b)
+        highest.append(max(b, highest[-1]) if highest else b)
 
     def free(a: int, b: int) -> bool:
         i = bisect_left(starts, b)
-        return i == 0 or reach_end[i - 1] <= a
+        return i == 0 or highest[i - 1] <= a
+
+    return free
 
-    found = [Part(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text)]
-    found += [Part(m.start(), m.end(), "identifier") for m in IDENTIFIER.finditer(text)]
+
+def weak_parts(text: str, strong: list[Part]) -> list[Part]:
+    """Candidates that do not touch a strong finding. Names and secrets do not overlap each other (the earlier one stays);
+    both may stand inside an endpoint, where a secret is a short assigned value or a random segment or parameter."""
+    clear = free_of(strong)
+    hosts = [Part(m.start(), m.end(), "endpoint") for m in ENDPOINT.finditer(text) if clear(*m.span())]
+    outside = free_of(hosts)
+    found = [Part(m.start(), m.end(), "identifier") for m in IDENTIFIER.finditer(text)]
     found += [Part(m.start(), m.end(), "secret") for m in ASSIGN.finditer(text) if 4 <= len(m[2]) < LEAST["assign"]]
-    found += [Part(m.start(), m.end(), "secret") for m in RANDOM.finditer(text) if looks_random(m[0])]
+    found += [Part(m.start(), m.end(), "secret") for m in RANDOM.finditer(text) if looks_random(m[0]) and outside(*m.span())]
+    for p in hosts:
+        found += [Part(m.start(), m.end(), "secret") for m in URL_VALUE.finditer(text, p.start, p.end) if looks_random(m[0])]
     out: list[Part] = []
     last = -1
     for p in sorted(found, key=lambda p: (p.start, -p.end)):
-        if p.start >= last and free(p.start, p.end):
+        if p.start >= last and clear(p.start, p.end):
             out.append(p)
             last = p.end
-    return out
+    return hosts + out
 
 
-def interval_join(left: list[Part], right: list[Part], scope_of, reach: int) -> Iterator[tuple[Part, Part]]:
-    """For every left part its nearest right part on either side, within the scope and the reach.
+def interval_join(left: list[Part], right: list[Part], scope_of, reach: int | None) -> Iterator[tuple[Part, Part]]:
+    """For every left part its nearest right part on either side, within the scope (and the reach, if there is one).
 
     Sorted starts and binary search: enough to know which parts have a partner, without making all pairs of a scope.
     """
@@ -103,11 +114,11 @@ def interval_join(left: list[Part], right: list[Part], scope_of, reach: int) ->
         j = bisect_left(end_at, p.end + 1) - 1
         before = ends[j] if j >= 0 else None
         for q in (before, after):
-            if q is not None and q != p and max(p.start, q.start) - min(p.end, q.end) <= reach and scope_of(p.start) == scope_of(q.start):
+            if q is not None and q != p and (reach is None or max(p.start, q.start) - min(p.end, q.end) <= reach) and scope_of(p.start) == scope_of(q.start):
                 yield p, q
 
 
-def linked_parts(text: str, strong: list[Part], reach: int = REACH) -> tuple[list[Part], list[tuple[Part, Part]]]:
+def linked_parts(text: str, strong: list[Part], reach: int | None = None) -> tuple[list[Part], list[tuple[Part, Part]]]:
     """(weak candidates to report, the links that support them)."""
     weak = weak_parts(text, strong)
     if not weak:
@@ -137,7 +148,7 @@ def may_match(raw: bytes) -> bool:
     )
 
 
-def scan(raw: bytes, reach: int = REACH) -> dict:
+def scan(raw: bytes, reach: int | None = None) -> dict:
     if not may_match(raw):
         return {"findings": [], "links": []}
     text = raw.decode("utf-8", "replace")
@@ -158,7 +169,7 @@ _ARROW = pa.struct([
 ])
 
 
-def secrets_in(text: Column, reach: int = REACH) -> Column:
+def secrets_in(text: Column, reach: int | None = None) -> Column:
     @F.arrow_udf(f"struct<findings:array<{_SPAN}>,links:array<{_LINK}>>")
     def scanned(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
@@ -167,7 +178,7 @@ def secrets_in(text: Column, reach: int = REACH) -> Column:
     return scanned(whole_text(text))
 
 
-def find_secrets(docs: DataFrame, text: str = "text", reach: int = REACH, findings: str = "findings", links: str = "links") -> DataFrame:
+def find_secrets(docs: DataFrame, text: str = "text", reach: int | None = None, findings: str = "findings", links: str = "links") -> DataFrame:
     """``docs`` with the findings of each text (kind, start, end in code points, base) and the links of weak ones.
 
     NULL and empty texts have none. Every row is scanned by itself, repeated rows too; other columns pass through.

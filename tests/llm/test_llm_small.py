@@ -86,12 +86,26 @@ def test_weak_candidates_need_a_complement_in_their_scope():
     assert kinds(f"just {BLOB} here") == []
     assert kinds(f"user: bob {BLOB}") == ["identifier", "secret"]
     assert kinds(f"user: bob\n\n{BLOB}") == []  # a blank line ends the scope
-    assert kinds(f"user: bob {far} {BLOB}") == []  # out of reach
+    assert kinds(f"user: bob {far} {BLOB}") == ["identifier", "secret"]  # the scope alone bounds the join
+    assert secrets.scan(f"user: bob {far} {BLOB}".encode(), reach=200)["findings"] == []
+    assert kinds(f"https://host.example/{BLOB}/x and user: bob") == ["endpoint", "secret", "identifier"]  # a secret inside an endpoint
+    assert kinds(f"https://host.example/{BLOB}/x alone") == []
+    assert kinds("https://host.example/?login=bobby&token=abc123") == ["endpoint", "identifier", "secret"]
+    assert kinds("https://host.example/?token=abc123 login=bobby") == ["endpoint", "secret", "identifier"]
     assert kinds("token=abcdefgh at http://host.example/x") == ["assign", "endpoint"]
     assert kinds(f"é {KEY} 10.0.0.1 password=abc123") == ["access", "endpoint", "secret"]
     assert kinds(f"{KEY} 10.0.0.1") == ["access"]  # an address beside a name is no credential
 
 
+def test_secrets_at_the_end_of_a_very_long_text():
+    filler = "é word " * 60_000 + "\n\n"
+    text = filler + f"login: bobby {filler[:200]} {BLOB}\n\n" + filler + f"token=abcdefgh {KEY}"
+    first = text.index("login")
+    assert spans(text)[:2] == [("identifier", first, first + 12), ("secret", text.index(BLOB), text.index(BLOB) + len(BLOB))]
+    assert [k for k, *_ in spans(text)] == ["identifier", "secret", "assign", "access"]
+    assert [s for s in spans(text) if s[0] in secrets.BASE] == base_spans(text)
+
+
 def test_interval_join_finds_a_partner_where_brute_force_does():
     rng = random.Random(3)
     for _ in range(200):
