@@ -27,6 +27,8 @@ THRESHOLD = 1
 LEAST = 32
 HOT = 48  # lines of a bucket that are still paired
 BLOCK = 16  # characters that the automaton compares at once while nothing differs
+CHUNK = 1024  # characters of which it looks at blocks only if they differ
+PIECE = 16  # least characters of a piece that deletion keys leave open
 
 
 def segment(length: Column, number: int, parts: int) -> tuple[Column, Column]:
@@ -65,7 +67,8 @@ def within_edits(x: Column, y: Column, threshold: int) -> Column:
 
     Bit d + threshold of word e is set at place t of ``y`` if its first t characters match the first t + d characters of
     ``x`` with e edits at most. While word 0 lives on the main diagonal and whole blocks are equal, nothing changes; when
-    only the last word lives, blocks of each diagonal are compared; else the characters of the block step by step.
+    only the last word lives, blocks of each diagonal are compared; else the characters of the block step by step. Chunks of
+    many blocks go the same way first, and hold their part of both texts, so that long texts are not searched from their start.
     """
     k, width = threshold, 2 * threshold + 1
     full = (1 << width) - 1
@@ -77,38 +80,53 @@ def within_edits(x: Column, y: Column, threshold: int) -> Column:
     settled = [F.lit(sum(1 << (d + k) for d in range(-e, e + 1))) for e in range(k + 1)]
     begin = state(*[F.lit(sum(1 << (d + k) for d in range(0, e + 1))) for e in range(k + 1)])
 
-    def agree(start: Column, part: Column) -> Column:
-        """Diagonals on which ``x`` goes on with ``part`` at place ``start`` (from 1)."""
+    def agree(text: Column, start: Column, part: Column) -> Column:
+        """Diagonals on which ``text`` (``x`` from k characters before) goes on with ``part`` at place ``start`` (from 1)."""
         bits = F.lit(0)
         for d in range(-k, k + 1):
-            same = (start + d >= 1) & (F.substring(x, F.greatest(start + d, F.lit(1)), F.length(part)) == part)
+            same = F.substring(text, start + (d + k), F.length(part)) == part
             bits = bits + F.when(same, F.lit(1 << (d + k))).otherwise(F.lit(0))
         return bits
 
-    def step(s: Column, t: Column) -> Column:
-        eq = agree(t, F.substring(y, t, F.lit(1)))
-        words = [s["r0"].bitwiseAND(eq)]
-        for e in range(1, k + 1):
-            less = s[f"r{e - 1}"]
-            words.append(
-                s[f"r{e}"].bitwiseAND(eq).bitwiseOR(less).bitwiseOR(F.shiftright(less, 1)).bitwiseOR(F.shiftleft(words[e - 1], 1).bitwiseAND(F.lit(full)))
-            )
-        return state(*words)
-
-    def block(s: Column, b: Column) -> Column:
-        start = b * BLOCK + 1
-        part = F.substring(y, start, F.lit(BLOCK))
-        clean = (s["r0"] != 0) & (F.substring(x, start, F.length(part)) == part) & (F.length(part) >= k)
+    def some_end(s: Column, text: Column, start: Column, part: Column, otherwise: Column) -> Column:
+        """The state after ``part``: known at once where nothing differs, or where no edit is left."""
+        clean = (s["r0"] != 0) & (F.substring(text, start + k, F.length(part)) == part) & (F.length(part) >= k)
         last_only = F.lit(True)
         for e in range(k):
             last_only = last_only & (s[f"r{e}"] == 0)
-        alone = state(*[F.lit(0)] * k, s[f"r{k}"].bitwiseAND(agree(start, part)))
-        walked = F.aggregate(F.sequence(start, start + F.length(part) - 1), s, step)
-        return F.when(clean, state(*settled)).when(last_only, alone).otherwise(walked)
+        alone = state(*[F.lit(0)] * k, s[f"r{k}"].bitwiseAND(agree(text, start, part)))
+        return F.when(clean, state(*settled)).when(last_only, alone).otherwise(otherwise)
+
+    def chunk(s: Column, c: Column) -> Column:
+        text, whole = c["x"], c["y"]
+
+        def step(s: Column, t: Column) -> Column:
+            eq = agree(text, t, F.substring(whole, t, F.lit(1)))
+            words = [s["r0"].bitwiseAND(eq)]
+            for e in range(1, k + 1):
+                less = s[f"r{e - 1}"]
+                words.append(
+                    s[f"r{e}"].bitwiseAND(eq).bitwiseOR(less).bitwiseOR(F.shiftright(less, 1)).bitwiseOR(F.shiftleft(words[e - 1], 1).bitwiseAND(F.lit(full)))
+                )
+            return state(*words)
+
+        def block(s: Column, b: Column) -> Column:
+            start = b * BLOCK + 1
+            part = F.substring(whole, start, F.lit(BLOCK))
+            return some_end(s, text, start, part, F.aggregate(F.sequence(start, start + F.length(part) - 1), s, step))
+
+        inside = F.aggregate(F.sequence(F.lit(0), F.floor((F.length(whole) - 1) / BLOCK).cast("int")), s, block)
+        return some_end(s, text, F.lit(1), whole, inside)
+
+    def window(c: Column) -> Column:
+        """A chunk of ``y`` with the part of ``x`` beside it; before the first character of ``x`` stand NUL characters."""
+        before = F.when(c == 0, F.concat(F.lit("\0" * k), F.substring(x, F.lit(1), F.lit(CHUNK + k)))).otherwise(
+            F.substring(x, c * CHUNK + (1 - k), F.lit(CHUNK + 2 * k)))
+        return F.struct(before.alias("x"), F.substring(y, c * CHUNK + 1, F.lit(CHUNK)).alias("y"))
 
     lines_up = F.abs(F.length(x) - F.length(y)) <= k
-    blocks = F.when(F.length(y) > 0, F.sequence(F.lit(0), F.floor((F.length(y) - 1) / BLOCK).cast("int"))).otherwise(F.array().cast("array<int>"))
-    end = F.aggregate(blocks, begin, block)[names[-1]]
+    chunks = F.when(F.length(y) > 0, F.sequence(F.lit(0), F.floor((F.length(y) - 1) / CHUNK).cast("int"))).otherwise(F.array().cast("array<int>"))
+    end = F.aggregate(F.transform(chunks, window), begin, chunk)[names[-1]]
     return lines_up & (F.getbit(end, F.greatest(F.lit(0), F.length(x) - F.length(y) + k).cast("int")) == 1)
 
 
@@ -151,20 +169,36 @@ def line_links(lines: DataFrame, texts: DataFrame, threshold: int, hot: int) ->
 def deletion_links(lines: DataFrame) -> DataFrame:
     """(a, b) between lines (id, line, role) one edit apart, as stars.
 
-    Lines of one length that agree but for one place share a key with that place open. A line (role 1) without one of its
-    characters has the key of the shorter line (role 0) that equals the rest.
+    A line is cut into about sqrt(length) pieces, by the shorter length of an edit: lines that agree but for one piece share
+    the key of all that is around it. A line (role 1) looked up as the longer one has a piece of one more character. Only
+    pieces whose surroundings are shared go on: places left open link pieces of one length, and a longer piece without one
+    of its characters has the key of the shorter piece (role 0) that equals the rest. Work per line is length ** 1.5.
     """
-    size = F.length("line")
-    places = F.sequence(F.lit(0), size - 1)
-
-    def around(p: Column) -> tuple[Column, Column]:
-        return F.substring("line", F.lit(1), p), F.substring(F.col("line"), p + 2, size)
-
-    opened = F.transform(places, lambda p: F.struct(F.xxhash64(F.lit("open"), size, p, *around(p)).alias("key"), F.lit(0).alias("kind")))
-    whole = F.array(F.struct(F.xxhash64(F.lit("cut"), F.col("line")).alias("key"), F.lit(1).alias("kind")))
-    removed = F.transform(places, lambda p: F.struct(F.xxhash64(F.lit("cut"), F.concat(*around(p))).alias("key"), F.lit(2).alias("kind")))
-    keys = F.when(F.col("role") == 0, F.concat(opened, whole)).otherwise(removed)
-    rows = lines.repartition("id").select("id", F.explode(keys).alias("k")).select("id", "k.key", "k.kind")
+    longer = F.col("role")
+    size = F.length("line") - longer
+    wide = F.greatest(F.lit(PIECE), F.ceil(F.sqrt(size)).cast("int"))
+    pieces = F.greatest(F.lit(1), F.ceil(size / wide).cast("int"))
+
+    def cut(b: Column) -> Column:
+        start = b * wide
+        long = F.when(b == pieces - 1, size - start).otherwise(wide) + longer
+        around = (F.substring("line", F.lit(1), start), F.substring(F.col("line"), start + long + 1, F.length("line")))
+        return F.struct(F.xxhash64(size, b, *[F.xxhash64(part) for part in around]).alias("around"), F.substring("line", start + 1, long).alias("piece"))
+
+    open_rows = lines.repartition("id").select("id", "role", F.explode(F.transform(F.sequence(F.lit(0), pieces - 1), cut)).alias("c")).select("id", "role", "c.around", "c.piece")
+    shared = open_rows.groupBy("around").agg(F.count(F.lit(1)).alias("n"), F.min("role").alias("least")).where("n > 1 and least = 0").select("around")
+    met_pieces = open_rows.join(shared, "around")
+
+    places = F.sequence(F.lit(0), F.length("piece") - 1)
+
+    def but(p: Column) -> tuple[Column, Column]:
+        return F.substring("piece", F.lit(1), p), F.substring(F.col("piece"), p + 2, F.length("piece"))
+
+    opened = F.transform(places, lambda p: F.struct(F.xxhash64(F.lit("open"), F.col("around"), p, *but(p)).alias("key"), F.lit(0).alias("kind")))
+    whole = F.array(F.struct(F.xxhash64(F.lit("cut"), F.col("around"), F.col("piece")).alias("key"), F.lit(1).alias("kind")))
+    removed = F.transform(places, lambda p: F.struct(F.xxhash64(F.lit("cut"), F.col("around"), F.concat(*but(p))).alias("key"), F.lit(2).alias("kind")))
+    keys = F.when(longer == 0, F.concat(opened, whole)).otherwise(removed)
+    rows = met_pieces.select("id", F.explode(keys).alias("k")).select("id", "k.key", "k.kind")
     hubs = rows.groupBy("key").agg(
         F.min(F.when(F.col("kind") == 0, F.col("id"))).alias("least"), F.min(F.when(F.col("kind") == 1, F.col("id"))).alias("shorter"), F.count(F.lit(1)).alias("n")
     ).where("n > 1")

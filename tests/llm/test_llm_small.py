@@ -535,6 +535,34 @@ def test_copied_lines_are_those_of_brute_force(spark, threshold, hot):
     }
 
 
+@pytest.mark.parametrize("threshold", [1, 2, 3])
+def test_edits_of_texts_of_several_chunks(spark, monkeypatch, threshold):
+    monkeypatch.setattr(line_dedup, "CHUNK", 32)
+    rng = random.Random(12)
+    pairs = []
+    for n in (31, 32, 33, 63, 64, 65, 96, 97, 200):
+        for edits in (0, 1, 1, 2, 2, 3, 4):
+            x = "".join(rng.choice("abé\0") for _ in range(n))
+            pairs.append((x, edited(rng, x, edits)))
+    pairs += [("\0" + x, x) for x, _ in pairs[:5]] + [(x, "\0" + x) for x, _ in pairs[:5]]
+    df = spark.createDataFrame(pairs, "x string, y string")
+    for r in df.select("x", "y", line_dedup.within_edits(F.col("x"), F.col("y"), threshold).alias("near")).collect():
+        assert r["near"] == (distance(r["x"], r["y"]) <= threshold), r
+
+
+def test_variants_of_a_very_long_line(spark):
+    rng = random.Random(13)
+    base = "".join(rng.choice("abcdefg é") for _ in range(20_000)).strip().ljust(20_000, "x")
+    texts = [base]
+    for i in range(60):
+        at = rng.randrange(len(base))
+        texts.append(base[:at] + rng.choice(["", "Z", "Z" + base[at]]) + base[at + 1 :])
+    texts += ["Y" + base, base + "Y", base[1:], base[:-1], "QQ" + base, base[:9000] + "QQ" + base[9002:]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["n_copies"] for r in line_dedup.line_report(df).collect()}
+    assert got == {i: int(0 < i < len(texts) - 2) for i in range(len(texts))}  # the last two are two edits from every other line
+
+
 def test_line_dedup_edge_cases(docs, empty, rows):
     assert line_dedup.line_report(empty).count() == 0
     assert line_dedup.drop_copied_lines(docs, length="n_chars").count() == len(rows)
