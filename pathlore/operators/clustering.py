@@ -118,7 +118,7 @@ def reduce_dimensions(df: DataFrame, column: str, n: int = 2, out: str = "reduce
     if width is None or width <= 2:
         return df.withColumn(out, F.transform(column, lambda x: x.cast("double"))), None
     if width > wide:
-        data = core.cut_lineage(df.withColumn("_v", F.transform(column, lambda x: x.cast("double"))))  # read by every pass
+        data = core.cut_lineage(core.spread(df.withColumn("_v", F.transform(column, lambda x: x.cast("double")))))  # read by every pass, in Python
         found = wide_pca.fit(data, "_v", width, n)
         return wide_pca.transform(data, "_v", found, out).drop("_v"), found
     data = df.withColumn("_v", array_to_vector(F.transform(column, lambda x: x.cast("double"))))

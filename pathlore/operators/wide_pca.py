@@ -94,6 +94,7 @@ def fit(df: DataFrame, column: str, width: int, n: int, *, extra: int = 8, passe
     basis, image = np.empty((width, 0)), np.empty((width, 0))
     context = df.sparkSession.sparkContext
     spread, residual, done = 0.0, np.inf, 0
+    least, stalled = np.inf, 0
     while done < passes:
         sent = context.broadcast((mean, new))
 
@@ -115,6 +116,10 @@ def fit(df: DataFrame, column: str, width: int, n: int, *, extra: int = 8, passe
         if residual <= tolerance * max(values[0], 0.0) or basis.shape[1] == width:
             residual = 0.0
             break
+        least, stalled = (residual, 0) if residual < least / 2 else (least, stalled + 1)
+        if stalled >= 6 and residual <= 1e4 * tolerance * max(values[0], 0.0):  # as exact as the sums are
+            residual = 0.0
+            break
         if basis.shape[1] + size > BASIS * size:
             basis, image = best, applied
         new = _orthonormal(off, basis, 1e-13 * max(values[0], 0.0))[:, : width - basis.shape[1]]

@@ -101,9 +101,15 @@ def c3_wide(spark, sf):
     words = docs.select("doc_id", F.explode(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")).alias("w"))
     kind = F.pmod(F.ascii("w"), F.lit(_WIDE)) * _WIDE + F.pmod(F.ascii(F.substring("w", -1, 1)), F.lit(_WIDE))
     counts = words.groupBy("doc_id", kind.alias("k")).count()
-    packed = counts.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("k", F.col("count").cast("double").alias("x")))).alias("m"))  # at most 1,600 entries
-    every = F.sequence(F.lit(0), F.lit(_WIDE * _WIDE - 1))
-    flat = docs.select("doc_id").join(packed, "doc_id", "left").select("doc_id", F.transform(every, lambda k: F.coalesce(F.element_at("m", k), F.lit(0.0))).alias("flat"))
+    packed = counts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", F.col("count").cast("double").alias("x")))).alias("m"))  # at most 1,600 entries
+    size, none = F.lit(_WIDE * _WIDE), F.lit(0.0)
+
+    def after_zeros(e, i):
+        before = F.when(i == 0, F.lit(-1)).otherwise(F.col("m")[F.greatest(i - 1, F.lit(0))]["k"])
+        return F.concat(F.array_repeat(none, e["k"] - before - 1), F.array(e["x"]))
+
+    dense = F.concat(F.flatten(F.transform("m", after_zeros)), F.array_repeat(none, size - 1 - F.element_at("m", -1)["k"]))
+    flat = docs.select("doc_id").join(packed, "doc_id", "left").select("doc_id", F.coalesce(dense, F.array_repeat(none, size)).alias("flat"))
     found = embeddings.embed(flat, "flat", n=1)
     return found.select("doc_id", (F.round(F.col("embedding")[0], 2) + F.lit(0.0)).alias("p1"))
 
