@@ -5,7 +5,8 @@ import itertools
 import numpy as np
 import pytest
 
-from pathlore.operators import core
+from pathlore.operators import analysis, core
+from pathlore.operators import clustering as cl
 from pathlore.operators import similarity as sim
 from pathlore.plans.storage import WIDEST_GAP
 
@@ -76,3 +77,17 @@ def test_blocks_grow_with_the_items_so_that_fewer_copies_travel(spark):
     ids = spark.range(40_000).selectExpr("id", "array(1.0D) AS v")
     copies = lambda most: sim._tasks(ids, sim.BLOCK_ROWS, (), most).count() / 40_000
     assert copies(0) > 150 and copies(sim.WIDE_ROWS) < 25
+
+
+def test_sparse_links_keep_the_clusters_with_few_links(spark):
+    rng = np.random.default_rng(5)
+    n, least, size = 400, 3, 4
+    at = np.concatenate([rng.integers(0, 8, (250, 2)) / 4, rng.uniform(0, 60, (150, 2))])  # a crowd with many copies, and strays
+    every = np.array([(i, j) for i, j in itertools.combinations(range(n), 2) if np.hypot(*(at[i] - at[j])) <= 3.0])
+    u, v = sim.sparse_links(every[:, 0], every[:, 1], least)
+    assert len(u) <= (least + 1) * n < len(every)
+    frame = spark.createDataFrame([(i, [(float(x), float(y))]) for i, (x, y) in enumerate(at)], "id long, points array<struct<x:double,y:double>>")
+    want = cl.relabel_by_size(cl.density_clusters(frame.select("id"), sim.pairs_within(frame, "dtw", 3.0, ident="id"), least, size))
+    got = analysis.geometric_labels(frame, "dtw", 3.0, least, size)
+    assert sorted(got.collect()) == sorted(want.collect())
+    assert sim.density_links(frame, "dtw", 3.0, least, ident="id", block_rows=64).count() < len(every) / 4
