@@ -1,10 +1,11 @@
-"""Near copies by the Jaccard similarity of word shingles: a prefix-filtered set join that loses no pair.
+"""Near copies by the Jaccard similarity of word shingles: SimHash search, checked, then a set join that loses no pair.
 
-Two documents are copies if their sets of five-word shingles have a similarity of ``4/5`` or more. SimHash cannot find
-such pairs as a whole: at 0.8 about ten of 64 bits differ, and no radius that a tree can search holds nearly all of them.
-Instead all shingles get one total order (those common in a sample last, the others by hash). The first shingle in that
-order that two copies share stands among the first fifth of either set, so a document is listed under that fifth only,
-and pairs that meet there are bounded by size and place before their texts are compared shingle by shingle.
+Two documents are copies if their sets of five-word shingles have a similarity of ``4/5`` or more. Fingerprints of 128
+bits are searched by BK-trees over their pieces (``simhash.wide_pairs``), and what is found is compared shingle by shingle.
+No radius that a tree can search holds all pairs at 0.8, where about 19 of 128 bits differ, so what the fingerprints left
+apart is searched exactly: all shingles get one total order (those common in a sample last, the others by hash). The
+first shingle in that order that two copies share stands among the first fifth of either set, so a document is listed
+under that fifth only, and pairs that meet there are bounded by size and place before their texts are compared.
 
 A list of many copies is not paired: its documents meet the least of them first, and only documents that are still in
 different groups after that meet each other.
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 
 from pathlore.llm.common import bounded, byte_texts, row_hashes, scratch, stored, whole_text
 from pathlore.llm.components import components
+from pathlore.llm.simhash import majority, mixed, wide_pairs
 
 WIDTH = 5
 SAMPLE = 4000  # documents whose shingles are counted to put common ones last
@@ -55,13 +57,19 @@ def least_shared(n: int) -> int:
 
 
 def set_of(text: Column, width: int = WIDTH) -> Column:
-    """64-bit name of the shingle set."""
-    @F.arrow_udf("long")
-    def named(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """(node, low, high): 64-bit name of the shingle set and the halves of its fingerprint of 128 bits."""
+    kind = pa.struct([("node", pa.int64()), ("low", pa.int64()), ("high", pa.int64())])
+
+    def named(raw: bytes) -> dict:
+        hashes = shingle_hashes(raw, width)
+        return {"node": set_hash(hashes), "low": majority(hashes), "high": majority(mixed(hashes))}
+
+    @F.arrow_udf("struct<node:long,low:long,high:long>")
+    def sets(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([set_hash(shingle_hashes(t, width)) for t in byte_texts(batch)], pa.int64())
+            yield pa.array([named(t) for t in byte_texts(batch)], kind)
 
-    return named(whole_text(text))
+    return sets(whole_text(text))
 
 
 def hashes_of(text: Column, width: int = WIDTH) -> Column:
@@ -156,6 +164,12 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int = WIDTH) -> DataFram
     return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
+def still_apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are not in one group of ``label`` (node, label)."""
+    x, y = (label.select(F.col("node").alias(c), F.col("label").alias(f"group_{c}")) for c in "ab")
+    return pairs.join(x, "a", "left").join(y, "b", "left").where("group_a is null or group_b is null or group_a <> group_b").select("a", "b")
+
+
 def copy_links(docs: DataFrame, marked: DataFrame, id_col: str, text: str, width: int = WIDTH) -> DataFrame:
     """(a, b): links of shingle sets whose components are those of all pairs of similarity 4/5 or more."""
     common, rank = common_shingles(docs, text, docs.count(), width)
@@ -172,9 +186,14 @@ def copy_links(docs: DataFrame, marked: DataFrame, id_col: str, text: str, width
         close = stored(enough_shared(pairs, lists))
         return verified(close, texts_of(close, docs, marked, id_col, text), width)
 
+    sets = marked.groupBy("node").agg(F.first("low").alias("low"), F.first("high").alias("high"))
+    found = stored(verify(stored(wide_pairs(sets))))
+    label = components(found)
+
     near_hub = may_be_copies(F.col("n"), F.col("place"), F.col("hub.n"), F.col("hub.place"))
-    asked = stored(live.where(F.col("node") != F.col("hub.node")).where(near_hub).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct())
-    links = stored(verify(asked))
+    asked = live.where(F.col("node") != F.col("hub.node")).where(near_hub).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
+    asked = stored(still_apart(asked, label))
+    links = stored(found.unionByName(verify(asked)))
     label = components(links)
 
     open_keys = live.where("size > 2").select("key", "node", "n", "place").join(label, "node", "left").withColumn("group", F.coalesce("label", "node")).drop("label")
@@ -194,7 +213,7 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wid
     NULL texts and texts without words are copies of each other. Rows that repeat an id count by their own texts.
     """
     r1, r2 = row_hashes(id_col, text)
-    marked = stored(docs.select(F.col(id_col).alias("id"), r1.alias("r1"), r2.alias("r2"), set_of(F.col(text), width).alias("node")))
+    marked = stored(docs.select(F.col(id_col).alias("id"), r1.alias("r1"), r2.alias("r2"), set_of(F.col(text), width).alias("s")).select("id", "r1", "r2", "s.*"))
     label = components(copy_links(docs, marked, id_col, text, width))
     return marked.join(label, "node", "left").select("id", "r1", "r2", F.coalesce("label", "node").alias("copies"))
 

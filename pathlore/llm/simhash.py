@@ -7,6 +7,9 @@ meets only the fingerprints of its shard, and a shard over ``SHARD`` fingerprint
 In a tree children hang on integer Hamming distances to their parent; a search follows only the edges within the radius.
 Trees of many shards are built and searched together as flat arrays. A shard passes on a spanning forest of its links,
 not its pairs, and components of those links give the groups.
+
+Near copies by similarity differ in more bits than that. ``wide_pairs`` finds them by fingerprints of 128 bits: each of
+their four pieces of 32 bits has trees of its own with the same radius, and what they find is held against the whole.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from pathlore.llm.components import components
 
 RADIUS = 3
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))  # (lowest bit, bits); RADIUS + 2 blocks, so two are untouched
+PIECE_BLOCKS = ((0, 7), (7, 7), (14, 6), (20, 6), (26, 6))  # those of a 32-bit piece
+WIDE_RADIUS = 32  # of 128 bits; a Jaccard similarity of 0.8 has about 19, unrelated texts 64
 SHARD = 4096  # fingerprints of one tree
 BATCH = 1 << 16  # rows of shards that are searched together
 VISITS = 1 << 22  # (search, tree node) pairs that one call may hold at worst
@@ -59,13 +64,34 @@ def fingerprint_of(text: Column, width: int = 3, seed: int = 42) -> Column:
     return simhash(whole_text(text))
 
 
-def shard_keys(fp: Column) -> Column:
-    """The keys of a fingerprint: the number of the pair of blocks and their bits."""
+def majority(hashes: np.ndarray) -> int:
+    """Majority of the bits of 64-bit hashes; 0 without any."""
+    if not len(hashes):
+        return 0
+    total = sum(
+        np.unpackbits(hashes[k : k + HASH_CHUNK].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+        for k in range(0, len(hashes), HASH_CHUNK)
+    )
+    return int.from_bytes(np.packbits(2 * total > len(hashes)).tobytes(), "big", signed=True)
+
+
+def mixed(hashes: np.ndarray) -> np.ndarray:
+    """Other 64 bits of each hash (the last steps of MurmurHash3)."""
+    out = hashes.astype(np.uint64)
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        out = (out ^ (out >> np.uint64(33))) * np.uint64(factor)
+    return out ^ (out >> np.uint64(33))
+
+
+def shard_keys(fp: Column, blocks: tuple = BLOCKS) -> Column:
+    """The keys of a fingerprint: the number of the pair of blocks and their bits. Bits above the blocks part the shards."""
     def bits(block):
         return F.shiftrightunsigned(fp, block[0]).bitwiseAND(F.lit((1 << block[1]) - 1))
 
+    top = sum(blocks[-1])
+    head = F.shiftleft(F.shiftrightunsigned(fp, top), 36) if top < 64 else F.lit(0)
     return F.array(*[
-        F.lit(n << 32) + F.shiftleft(bits(a), 16) + bits(b) for n, (a, b) in enumerate(combinations(BLOCKS, 2))
+        head + F.lit(n << 32) + F.shiftleft(bits(a), 16) + bits(b) for n, (a, b) in enumerate(combinations(blocks, 2))
     ])
 
 
@@ -128,11 +154,12 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
         label = new
 
 
-def link_shards(shard: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links within each shard: items of side 0 are the tree, all items of a shard of one side, or side 1, search it."""
+def shard_hits(shard: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Near items (a, b) within each shard, some searches at a time: items of side 0 are the tree, all items of a shard
+    of one side, or side 1, search it."""
     tree = np.flatnonzero(side == 0)
     if not len(tree):
-        return fp[:0], fp[:0]
+        return
     root_shard, root, key, child = grow(shard[tree], fp[tree])
     two_sided = np.unique(shard[side == 1])
     asks = np.flatnonzero((side == 1) | ~np.isin(shard, two_sided))
@@ -140,32 +167,63 @@ def link_shards(shard: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int
     known = (place < len(root_shard)) & (root_shard[np.minimum(place, len(root_shard) - 1)] == shard[asks])
     asks, place = asks[known], place[known]
     work = np.cumsum(np.bincount(np.searchsorted(root_shard, shard[tree]), minlength=len(root_shard))[place])
-    found_a, found_b, at = [], [], 0
+    at = 0
     while at < len(asks):
         end = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + VISITS, side="right")))
         q, node = search(fp[tree], asks[at:end], root[place[at:end]], fp, key, child, radius)
         keep = q != tree[node]
-        found_a.append(q[keep])
-        found_b.append(tree[node[keep]])
+        yield q[keep], tree[node[keep]]
         at = end
-    a, b = (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (np.empty(0, np.int64),) * 2
+
+
+def link_shards(shard: np.ndarray, side: np.ndarray, fp: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links within each shard."""
+    found = list(shard_hits(shard, side, fp, radius))
+    a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 2
     label = forest(a, b, len(fp))
     moved = np.flatnonzero(label != np.arange(len(fp)))
     return fp[moved], fp[label[moved]]
 
 
-def search_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, tile) to links; a shard that goes on in the next batch waits for it."""
-    def links(key, tile, side, fp):
-        changed = (key[1:] != key[:-1]) | (tile[1:] != tile[:-1])
-        shard = np.concatenate(([0], np.cumsum(changed)))
-        a, b = link_shards(shard, side, fp.view(np.uint64))
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+def nearest_forest(a: np.ndarray, b: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
+    """Places of the links (a, b) of a spanning forest of n items with the least distances d."""
+    order = np.argsort(d, kind="stable")
+    a, b = a[order], b[order]
+    label, open_, kept = np.arange(n), np.arange(len(a)), [np.empty(0, np.int64)]
+    while True:
+        open_ = open_[label[a[open_]] != label[b[open_]]]
+        if not len(open_):
+            return order[np.concatenate(kept)]
+        best = np.full(n, len(a))
+        np.minimum.at(best, label[a[open_]], open_)
+        np.minimum.at(best, label[b[open_]], open_)
+        pick = np.unique(best[best < len(a)])
+        kept.append(pick)
+        label = forest(label[a[pick]], label[b[pick]], n)[label]
+
+
+def wide_links(shard: np.ndarray, side: np.ndarray, fp: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) of items whose pieces are near and whose whole fingerprints (low, high) are too: those of a forest."""
+    a, b, d = (np.empty(0, np.int64),) * 3
+    for p, q in shard_hits(shard, side, fp):
+        far = np.bitwise_count(low[p] ^ low[q]).astype(np.int64) + np.bitwise_count(high[p] ^ high[q])
+        near = far <= WIDE_RADIUS
+        a, b, d = np.concatenate((a, p[near])), np.concatenate((b, q[near])), np.concatenate((d, far[near]))
+        keep = nearest_forest(a, b, d, len(fp))
+        a, b, d = a[keep], b[keep], d[keep]
+    return a, b
+
+
+def whole_shards(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[list[np.ndarray]]:
+    """Columns of rows sorted by (key, tile), with a number of the shard first; a shard that goes on in the next batch waits for it."""
+    def numbered(cols):
+        changed = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
+        return [np.concatenate(([0], np.cumsum(changed))), *cols[2:]]
 
     held: list[tuple] = []
     rows = 0
     for batch in batches:
-        held.append(tuple(batch.column(n).to_numpy(zero_copy_only=False) for n in ("key", "tile", "side", "fp")))
+        held.append(tuple(batch.column(n).to_numpy(zero_copy_only=False) for n in ("key", "tile", *names)))
         rows += batch.num_rows
         if rows < BATCH:
             continue
@@ -173,26 +231,60 @@ def search_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         whole = np.flatnonzero((cols[0] != cols[0][-1]) | (cols[1] != cols[1][-1]))
         cut = int(whole[-1]) + 1 if len(whole) else 0
         if cut:
-            yield links(*[c[:cut] for c in cols])
+            yield numbered([c[:cut] for c in cols])
         held = [tuple(c[cut:] for c in cols)]
         rows = len(cols[0]) - cut
     if rows:
-        yield links(*[np.concatenate(x) for x in zip(*held)])
+        yield numbered([np.concatenate(x) for x in zip(*held)])
 
 
-def near_links(fps: DataFrame, fp: str = "fp", shard: int = SHARD) -> DataFrame:
-    """(a, b): links of distinct fingerprints whose components are those of all links within RADIUS."""
-    keyed = fps.select(F.col(fp).alias("fp"), F.explode(shard_keys(F.col(fp))).alias("key"))
+def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+
+
+def search_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for shard, side, fp in whole_shards(batches, ("side", "fp")):
+        yield _pairs(*link_shards(shard, side, fp.view(np.uint64)))
+
+
+def wide_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for shard, side, fp, node, low, high in whole_shards(batches, ("side", "fp", "node", "low", "high")):
+        a, b = wide_links(shard, side, *(c.view(np.uint64) for c in (fp, low, high)))
+        yield _pairs(node[a], node[b])
+
+
+def shards(fps: DataFrame, item: str, shard: int, blocks: tuple = BLOCKS) -> DataFrame:
+    """Rows of ``fps`` once for each tile of their shards, sorted by (key, tile)."""
+    keyed = fps.withColumn("key", F.explode(shard_keys(F.col("fp"), blocks)))
     sizes = keyed.groupBy("key").count().where("count > 1")
     cells = keyed.join(sizes, "key").withColumn("parts", F.ceil(F.col("count") / shard).cast("int"))
-    cells = cells.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
+    cells = cells.withColumn("own", F.pmod(F.xxhash64(item), F.col("parts")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     tiled = cells.withColumn("other", other).select(
         "key", (F.least("own", "other") * F.col("parts") + F.greatest("own", "other")).cast("long").alias("tile"),
-        (F.col("own") > F.col("other")).cast("int").alias("side"), "fp",
+        (F.col("own") > F.col("other")).cast("int").alias("side"), *fps.columns,
     )
     # Side 1 holds the larger block of a tile of two blocks; a block against itself has side 0 only.
-    return tiled.repartition("key", "tile").sortWithinPartitions("key", "tile").mapInArrow(search_partition, "a long, b long")
+    return tiled.repartition("key", "tile").sortWithinPartitions("key", "tile")
+
+
+def near_links(fps: DataFrame, fp: str = "fp", shard: int = SHARD) -> DataFrame:
+    """(a, b): links of distinct fingerprints whose components are those of all links within RADIUS."""
+    return shards(fps.select(F.col(fp).alias("fp")), "fp", shard).mapInArrow(search_partition, "a long, b long")
+
+
+def wide_pairs(fps: DataFrame, shard: int = SHARD) -> DataFrame:
+    """(a, b), distinct, a < b: near nodes of ``fps`` (node, low, high), distinct nodes with fingerprints of 128 bits.
+
+    Within WIDE_RADIUS, and within RADIUS in one piece of 32 bits at least; so every two nodes of 15 or fewer differing
+    bits are linked, by themselves or through others. Nodes of one fingerprint meet the least of them.
+    """
+    first = stored(fps.groupBy("low", "high").agg(F.min("node").alias("node")))
+    equal = fps.join(first.withColumnRenamed("node", "least"), ["low", "high"]).where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    piece = [F.shiftrightunsigned(F.col(c), n).bitwiseAND(F.lit(0xFFFFFFFF)) for c in ("low", "high") for n in (0, 32)]
+    parts = first.select(F.explode(F.array(*[F.lit(t << 32) + p for t, p in enumerate(piece)])).alias("fp"), "node", "low", "high")
+    found = shards(parts, "node", shard, PIECE_BLOCKS).mapInArrow(wide_partition, "a long, b long").unionByName(equal)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = 3, seed: int = 42, extra: list[Column] | None = None) -> DataFrame:

@@ -3,10 +3,11 @@
 import random
 from collections import Counter
 
+import pytest
 from test_llm_small import least_reachable, prose
 
 import corpus_pipeline
-from pathlore.llm import near_copies
+from pathlore.llm import near_copies, simhash
 
 
 def brute_shingles(text):
@@ -65,3 +66,35 @@ def test_two_texts_under_one_id_both_stay(spark):
     rng = random.Random(9)
     docs = spark.createDataFrame([(1, prose(rng, 50)), (1, prose(rng, 50)), (2, prose(rng, 50))], "doc_id long, text string")
     assert corpus_pipeline.drop_near_copies(spark, docs, "").count() == 3
+
+
+def bits_apart(a, b):
+    return sum((x ^ y).bit_count() for x, y in zip(a, b))
+
+
+@pytest.mark.parametrize("shard", [4096, 3])
+def test_fingerprint_search_links_what_is_near(spark, shard):
+    rng = random.Random(11)
+    whole = [(0, 0), ((1 << 64) - 1,) * 2]
+    for _ in range(30):
+        base = [rng.getrandbits(64), rng.getrandbits(64)]
+        for n in (0, 0, 1, 4, 9, 15, 31):
+            flip = rng.sample(range(128), n)
+            whole.append(tuple(base[w] ^ sum(1 << f % 64 for f in flip if f // 64 == w) for w in (0, 1)))
+    rows = [(k, *(x - (1 << 64) if x >> 63 else x for x in w)) for k, w in enumerate(whole)]
+    got = [tuple(r) for r in simhash.wide_pairs(spark.createDataFrame(rows, "node long, low long, high long"), shard).collect()]
+    assert len(set(got)) == len(got) and all(a < b and bits_apart(whole[a], whole[b]) <= simhash.WIDE_RADIUS for a, b in got)
+    linked = least_reachable(list(range(len(rows))), lambda a, b: (min(a, b), max(a, b)) in set(got))
+    assert all(linked[a] == linked[b] for a in range(len(rows)) for b in range(a) if bits_apart(whole[a], whole[b]) <= 15)
+
+
+def test_stage_finds_its_copies_by_fingerprints(spark, monkeypatch):
+    """The exact join behind the search gets only what the fingerprints left apart."""
+    rng, asked = random.Random(12), []
+    bases = [prose(rng, 200) for _ in range(20)]
+    rows = [(2 * k + n, t) for k, b in enumerate(bases) for n, t in enumerate((b, changed(rng, b, 1)))]
+    real = near_copies.verified
+    monkeypatch.setattr(near_copies, "verified", lambda pairs, *a: asked.append(pairs.count()) or real(pairs, *a))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert Counter(r["doc_id"] for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == Counter(range(0, 40, 2))
+    assert asked[0] == 20 and sum(asked[1:]) == 0
