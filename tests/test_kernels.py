@@ -242,6 +242,26 @@ def test_pellets_match_a_whole_scan(spark, strategy, first):
     assert {r.level_id: r["count"] for r in points} == {r.level_id: r.remaining for r in left if r.step == 20}
 
 
+def test_pellets_of_many_short_levels(spark, monkeypatch):
+    """Levels of all lengths, a NULL key among them, are folded together over batches that cut them, not one call a level."""
+    rng = random.Random(3)
+    levels, want = [], set()
+    for level in [None, *range(60)]:
+        rows = [(rng.randint(-12, 12) / 4, rng.randint(-8, 8) / 4, 244 - k // 2) for k in range(rng.choice((1, 2, 5, 40, 90)))]
+        levels += [{"level_id": level, "Pacman_X": a, "Pacman_Y": b, "pellets": c} for a, b, c in rows]
+        want |= {(level, *e) for e in pellets_by_hand(rows, DOTS, 244)}
+    log, dots = make_log(spark, levels), spark.createDataFrame(DOTS, "px double, py double")
+    monkeypatch.setattr(pellets, "CELLS", 100)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        eaten = pellets.eaten_pellets(log, dots)
+        got = [(r.level_id, r.step, r.px, r.py) for r in eaten.collect()]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(want) and set(got) == want
+    assert "InPandas" not in eaten._jdf.queryExecution().toString()
+
+
 def test_remaining_pills(spark):
     dots = spark.createDataFrame([(12.5, 10.5), (11.5, 10.5), (-12.5, 10.5)], "px double, py double")
     log = make_log(spark, [{"Pacman_X": 11.5}, {"Pacman_X": 11.5}, {"Pacman_X": 12.5}, {}])
