@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,8 +46,8 @@ class _Best:
         self.d[where], self.at[where] = np.where(less, d, self.d[where]), np.where(less, at, self.at[where])
 
 
-def compare_windows(x: np.ndarray, y: np.ndarray, sx: int, sy: int, m: int, zone: int) -> tuple[_Best, _Best]:
-    """Nearest windows of ``y`` for those of ``x`` and the other way round; sx and sy are the first starts.
+def compare_windows(x: np.ndarray, y: np.ndarray, sx: int, sy: int, m: int, zone: int, both: bool = True) -> tuple[_Best, _Best]:
+    """Nearest windows of ``y`` for those of ``x`` and, if ``both``, the other way round; sx and sy are the first starts.
 
     A row of dot products follows from the row before: along a diagonal one product leaves and one enters. Only one row is
     held, whatever the lengths.
@@ -74,8 +75,10 @@ def compare_windows(x: np.ndarray, y: np.ndarray, sx: int, sy: int, m: int, zone
         d = np.round(d, DIGITS)
         d[np.abs(starts - (sx + i)) <= zone] = np.inf
         at = int(d.argmin())
-        mine.offer(slice(i, i + 1), d[at : at + 1], starts[at : at + 1])
-        theirs.offer(slice(None), d, np.full(k, sx + i))
+        if np.isfinite(d[at]):  # a row is met once
+            mine.d[i], mine.at[i] = d[at], starts[at]
+        if both:
+            theirs.offer(slice(None), d, np.full(k, sx + i))
     return mine, theirs
 
 
@@ -101,28 +104,32 @@ def matrix_profile(log: OrderedLog, column: str, m: int, block: int = 2048) -> D
         *key, F.least("b", "o").alias("lb"), F.greatest("b", "o").alias("rb"), "b", "step", "v"
     )
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        lb, rb = pdf["lb"].iloc[0], pdf["rb"].iloc[0]
-
-        def side(b):
-            part = pdf[pdf["b"] == b].sort_values("step")
-            return int(part["step"].iloc[0]) if len(part) else 0, part["v"].to_numpy()[: block + m - 1]
-
-        (si, x), (sj, y) = side(lb), side(rb)
-        if len(x) < m or len(y) < m:
-            return pd.DataFrame({**{k: [] for k in key}, "start": [], "neighbour": [], "d": []})
-        found = [
-            pd.DataFrame({"start": start + np.arange(len(best.d)), "neighbour": best.at, "d": best.d})
-            for start, best in zip((si, sj), compare_windows(x, y, si, sj, m, zone))
-        ][: 1 if lb == rb else 2]
-        out = pd.concat(found)
-        out = out[np.isfinite(out["d"])]
-        for k in reversed(key):
-            out.insert(0, k, pdf[k].iloc[0])
-        return out
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, first in core.whole_groups(batches, [*key, "lb", "rb"]):
+            lb, rb, b, at, v = (rows.column(c).to_numpy() for c in ("lb", "rb", "b", "step", "v"))
+            out = []
+            for i, j in zip(first, np.append(first[1:], len(at))):
+                # Sorted by block and step, so the left block is the head of the group and the right one its tail.
+                parts = [slice(i + p, i + q) for p, q in (np.searchsorted(b[i:j], (n, n + 1)) for n in (lb[i], rb[i]))]
+                x, y = (v[p][: block + m - 1] for p in parts)
+                if len(x) < m or len(y) < m:
+                    continue
+                starts = [int(at[p.start]) for p in parts]
+                best = compare_windows(x, y, *starts, m, zone, both=lb[i] != rb[i])
+                out += [(i, s + np.arange(len(f.d)), f.at, f.d) for s, f in list(zip(starts, best))[: 1 if lb[i] == rb[i] else 2]]
+            if not out:
+                continue
+            at, near, d = (np.concatenate([o[n] for o in out]) for n in (1, 2, 3))
+            group = np.repeat([o[0] for o in out], [len(o[3]) for o in out])
+            found = np.isfinite(d)
+            ids = pa.array(group[found])
+            yield pa.RecordBatch.from_arrays(
+                [*[rows.column(k).combine_chunks().take(ids) for k in key], pa.array(at[found]), pa.array(near[found]), pa.array(d[found])], [*key, "start", "neighbour", "d"]
+            )
 
     kinds = ", ".join(f"{k} {log.df.schema[k].dataType.simpleString()}" for k in key)
-    part = core.spread(copies, *key, "lb", "rb").groupBy(*key, "lb", "rb").applyInPandas(compare, f"{kinds}, start long, neighbour long, d double")
+    copies = core.spread(copies, *key, "lb", "rb").sortWithinPartitions(*key, "lb", "rb", "b", "step")
+    part = copies.mapInArrow(compare, f"{kinds}, start long, neighbour long, d double")
     return part.groupBy(*key, "start").agg(F.min(F.struct("d", "neighbour")).alias("b")).select(*key, "start", "b.neighbour", "b.d")
 
 

@@ -201,6 +201,27 @@ def test_entity_distances_join_back_to_every_row(spark, maze):
             assert r[f"Ghost{g}_distance"] == (math.inf if steps is None else steps / 2)
 
 
+def test_matrix_profile_of_many_short_levels(spark):
+    """Levels go to Python in batches, not one call each; batches that cut a level and blocks change nothing."""
+    rng = random.Random(4)
+    series = {level: [rng.randint(0, 5) for _ in range(rng.choice((3, 8, 9, 30, 41)))] for level in range(25)}
+    log = make_log(spark, [{"level_id": k, "Pacman_X": float(v)} for k, vs in series.items() for v in vs])
+    want = {}
+    for level, v in series.items():
+        best, _ = motifs.compare_windows(np.array(v, float), np.array(v, float), 0, 0, 4, 1) if len(v) >= 4 else (motifs._Best(0), None)
+        want |= {(level, i): (n, d) for i, (n, d) in enumerate(zip(best.at, best.d)) if np.isfinite(d)}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for block in (16, 2048):
+            profile = motifs.matrix_profile(log, "Pacman_X", 4, block=block)
+            assert "InPandas" not in profile._jdf.queryExecution().toString()
+            rows = profile.collect()
+            assert {(r.level_id, r.start): (r.neighbour, r.d) for r in rows} == want
+            assert len(rows) == len({(r.level_id, r.start) for r in rows})
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 DOTS = [(x + 0.5, y + 0.5) for x in range(-3, 3) for y in range(-2, 2)]
 
 
