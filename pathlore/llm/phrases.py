@@ -28,6 +28,7 @@ from pathlore.llm.common import stored, whole_text
 BREAKS = ".,;:!?\n\x0b\x0c\r"
 GAPS = " \t"
 PACKET_BYTES = 4 << 20  # text counted at once within a task
+SPELLED = 1 << 16  # counted grams that are spelled out, and sent on, at once
 BITS_PER_GRAM = 16
 MAX_BITS = 1 << 29  # 64 MB, the most that is sent to an executor
 BUCKET_BITS = 32768  # bits of one bitmap of Spark's bitmap functions
@@ -52,6 +53,8 @@ def packets(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[pa.
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, "right")))
             yield lang.slice(start, stop - start), text.slice(start, stop - start)
             start = stop
+        del batch, lang, text  # before the next one is read
+        pa.default_memory_pool().release_unused()
 
 
 class Words:
@@ -64,14 +67,18 @@ class Words:
         data = _LOWER[raw]
         kind = _KIND[data]
         letter = kind == 0
+        ended = np.cumsum(kind == 2, dtype=np.int32) if len(kind) < 1 << 31 else np.cumsum(kind == 2)
+        del kind
         before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
         before[1:], after[:-1] = letter[:-1], letter[1:]
         filled = offsets[1:] > offsets[:-1]
         before[offsets[:-1][filled]] = False
         after[offsets[1:][filled] - 1] = False
         starts, ends = np.flatnonzero(letter & ~before), np.flatnonzero(letter & ~after)
+        del before, after
         row = np.searchsorted(offsets, starts, "right") - 1
-        piece = np.cumsum(kind == 2)[starts] + row
+        piece = ended[starts] + row
+        del ended
         bounds = np.zeros(len(starts) + 1, np.int64)
         np.cumsum(ends - starts + 1, out=bounds[1:])
         whole = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(bounds), pa.py_buffer(data[letter]))
@@ -108,14 +115,16 @@ def is_set(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bitmap[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def rows_of(words: Words, units: list[np.ndarray], counts: np.ndarray) -> pa.RecordBatch:
-    """Counted grams as text; ``units`` has one array of word units for each place of the gram."""
-    spelled = [words.word.take(pa.array(u)) for u in units]
-    gram = spelled[0] if len(spelled) == 1 else pc.binary_join_element_wise(*spelled, pa.scalar(" ", pa.large_string()))
-    return pa.record_batch(
-        [words.lang.take(pa.array(units[0])).cast(pa.string()), gram.cast(pa.string()), pa.array(np.full(len(counts), len(units)), pa.int32()), pa.array(counts, pa.int64())],
-        names=["lang", "gram", "size", "n"],
-    )
+def rows_of(words: Words, units: np.ndarray, place: np.ndarray, size: int, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Counted grams as text, ``SPELLED`` at a time: the words ``units[place]`` to ``units[place + size - 1]``."""
+    for start in range(0, len(counts), SPELLED):
+        at, n = place[start : start + SPELLED], counts[start : start + SPELLED]
+        spelled = [words.word.take(pa.array(units[at + k])) for k in range(size)]
+        gram = spelled[0] if size == 1 else pc.binary_join_element_wise(*spelled, pa.scalar(" ", pa.large_string()))
+        yield pa.record_batch(
+            [words.lang.take(pa.array(units[at])).cast(pa.string()), gram.cast(pa.string()), pa.array(np.full(len(n), size), pa.int32()), pa.array(n, pa.int64())],
+            names=["lang", "gram", "size", "n"],
+        )
 
 
 COUNTED = "lang string, gram string, size int, n long"
@@ -126,8 +135,10 @@ def _word_counts(limit: int) -> Callable:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text in packets(batches, limit):
             words = Words(lang, text)
+            del lang, text  # their batch is not held any longer than it is read
             if len(words.unit):
-                yield rows_of(words, [np.arange(len(words.units))], np.bincount(words.unit, minlength=len(words.units)))
+                every = np.arange(len(words.units))
+                yield from rows_of(words, every, every, 1, np.bincount(words.unit, minlength=len(words.units)))
 
     return count
 
@@ -136,10 +147,11 @@ def _pair_counts(limit: int, frequent) -> Callable:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text in packets(batches, limit):
             words = Words(lang, text)
-            known = is_set(frequent.value, words.hashes() >> np.uint64(1))[words.unit]
+            del lang, text
+            hashes = words.hashes()
+            known = is_set(frequent.value, hashes >> np.uint64(1))[words.unit]
             at = np.flatnonzero(words.joined & known[:-1] & known[1:])
             if len(at):
-                hashes = words.hashes()
                 pair, keys = numbered((pair_hashes(hashes[words.unit[at]], hashes[words.unit[at + 1]]) >> PAIR_SHIFT).astype(np.int64))
                 yield pa.record_batch([pa.array(keys, pa.int64()), pa.array(np.bincount(pair, minlength=len(keys)), pa.int64())], names=["place", "n"])
 
@@ -152,6 +164,7 @@ def _edge_counts(limit: int, frequent, pairs, longest: int) -> Callable:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, text in packets(batches, limit):
             words = Words(lang, text)
+            del lang, text
             if not len(words.unit):
                 continue
             hashes = words.hashes()
@@ -174,7 +187,7 @@ def _edge_counts(limit: int, frequent, pairs, longest: int) -> Callable:
                     gram, seen = numbered(gram * size + words.unit[at + k])
                 place = np.zeros(len(seen), np.int64)
                 place[gram] = at  # any one occurrence of each gram
-                yield rows_of(words, [words.unit[place + k] for k in range(more + 1)], np.bincount(gram, minlength=len(seen)))
+                yield from rows_of(words, words.unit, place, more + 1, np.bincount(gram, minlength=len(seen)))
 
     return count
 

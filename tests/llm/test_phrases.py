@@ -2,9 +2,12 @@
 
 import random
 import re
+import weakref
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +97,33 @@ def test_products_beyond_64_bits(spark):
 
 def test_an_empty_table(spark):
     assert phrases.collocations(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def counting_passes():
+    every = SimpleNamespace(value=np.full(4096, 255, np.uint8))
+    return [phrases._word_counts(1 << 22), phrases._pair_counts(1 << 22, every), phrases._edge_counts(1 << 22, every, every, 5)]
+
+
+def test_counted_grams_are_sent_on_in_bounded_batches():
+    text = " ".join(f"w{i}" for i in range(150_000))
+    batch = pa.record_batch([pa.array(["en"]), pa.array([text])], names=["lang", "text"])
+    words, _, edges = (list(count(iter([batch]))) for count in counting_passes())
+    for out, rows in ((words, 150_000), (edges, 149_999)):  # the last word alone is no edge
+        assert max(b.num_rows for b in out) <= 1 << 16
+        assert sum(b.num_rows for b in out) == sum(sum(b["n"].to_pylist()) for b in out) == rows
+        assert len({g for b in out for g in b["gram"].to_pylist()}) == rows
+
+
+def test_counting_holds_one_batch_of_texts():
+    for count in counting_passes():
+        seen = []
+
+        def batches():
+            for _ in range(3):
+                batch = pa.record_batch([pa.array(["en"] * 2), pa.array(["one two three", "four. five six"])], names=["lang", "text"])
+                seen.append(weakref.ref(batch))
+                yield batch
+                del batch
+                assert seen[-1]() is None
+
+        assert sum(b.num_rows for b in count(batches())) and len(seen) == 3
