@@ -171,7 +171,10 @@ def still_apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def copy_links(docs: DataFrame, marked: DataFrame, id_col: str, text: str, width: int = WIDTH) -> DataFrame:
-    """(a, b): links of shingle sets whose components are those of all pairs of similarity 4/5 or more."""
+    """(a, b): links of shingle sets whose components are those of all pairs of similarity 4/5 or more.
+
+    The components of a step go on as stars, so the next one starts from them and not from all links again.
+    """
     common, rank = common_shingles(docs, text, docs.count(), width)
     listed = docs.select(first_shingles(F.col(text), common, rank, width).alias("s"))
     rows = listed.select(F.col("s.node").alias("node"), F.col("s.n").alias("n"), F.posexplode("s.keys").alias("place", "key"))
@@ -193,8 +196,8 @@ def copy_links(docs: DataFrame, marked: DataFrame, id_col: str, text: str, width
     near_hub = may_be_copies(F.col("n"), F.col("place"), F.col("hub.n"), F.col("hub.place"))
     asked = live.where(F.col("node") != F.col("hub.node")).where(near_hub).select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct()
     asked = stored(still_apart(asked, label))
-    links = stored(found.unionByName(verify(asked)))
-    label = components(links)
+    stars = stored(label.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(verify(asked)))
+    label = components(stars)
 
     open_keys = live.where("size > 2").select("key", "node", "n", "place").join(label, "node", "left").withColumn("group", F.coalesce("label", "node")).drop("label")
     apart = open_keys.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low <> high").select("key")
@@ -204,7 +207,7 @@ def copy_links(docs: DataFrame, marked: DataFrame, id_col: str, text: str, width
     met = left.join(right, "key").where("node_a < node_b and group_a <> group_b")
     met = met.where(may_be_copies(F.col("n_a"), F.col("place_a"), F.col("n_b"), F.col("place_b")))
     rest = met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct().join(asked, ["a", "b"], "left_anti")
-    return links.unionByName(verify(rest))
+    return label.select(F.col("node").alias("a"), F.col("label").alias("b")).unionByName(verify(rest))
 
 
 def copy_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
