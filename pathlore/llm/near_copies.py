@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pathlore.llm.common import bounded, byte_texts, row_hashes, scratch, stored, whole_text
+from pathlore.llm.common import bounded, byte_texts, row_hashes, scratch, small_batches, stored, whole_text
 from pathlore.llm.components import components
 from pathlore.llm.simhash import majority, mixed, wide_pairs
 
@@ -215,6 +215,7 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wid
 
     NULL texts and texts without words are copies of each other. Rows that repeat an id count by their own texts.
     """
+    small_batches(docs.sparkSession)
     r1, r2 = row_hashes(id_col, text)
     marked = stored(docs.select(F.col(id_col).alias("id"), r1.alias("r1"), r2.alias("r2"), set_of(F.col(text), width).alias("s")).select("id", "r1", "r2", "s.*"))
     label = components(copy_links(docs, marked, id_col, text, width))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pathlore.llm.common import byte_texts, scratch, whole_text
+from pathlore.llm.common import byte_texts, scratch, small_batches, whole_text
 
 SAMPLE = 20_000  # labelled rows that a model is fitted on, at most
 TREES, DEPTH, BINS, RATE, SMOOTH, LEAST = 80, 4, 64, 0.15, 1.0, 8
@@ -148,6 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     The hash bound is taken from the labels before any text is read, so only the sampled texts are measured. A document
     with several labels counts once with each; NULL labels and labels without a document are left out.
     """
+    small_batches(docs.sparkSession)
     usable = labels.where(F.col(label).isNotNull() & ~is_held_out(id_col)).select(F.col(id_col).alias("_id"), F.col(label).cast("double").alias("_y"))
     picked = usable.orderBy(F.xxhash64("_id"), "_id").limit(sample)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(picked), "_id")
@@ -161,6 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
 
 def scored(docs: DataFrame, model: Forest, out: str, text: str = "text") -> DataFrame:
     """``docs`` with the probability of label 1 in ``out``; NULL and empty texts are scored as texts without any words."""
+    small_batches(docs.sparkSession)
 
     @F.arrow_udf("double")
     def probability(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
