@@ -30,7 +30,8 @@ def mark(log: OrderedLog, params: Mapping[str, object]) -> OrderedLog:
     """Marked rows of ``log`` for the detectors named in ``params``; only what they need is computed and kept.
 
     ``_nx, _nt, _nl``: step, time and lives of the next row (NULL on the last one), ``_pt`` the time of the previous row,
-    ``_dies`` whether the next row has fewer lives, ``_final`` step and time of the key's last row.
+    ``_dies`` whether the next row has fewer lives, ``_final`` step and time of the key's last row. ``_opens`` begins a close call,
+    ``_free`` (not NULL) may end one, by a lost life if it is true.
     """
     step, df = log.step, log.df
     row: dict[str, Column] = {
@@ -61,7 +62,7 @@ def mark(log: OrderedLog, params: Mapping[str, object]) -> OrderedLog:
             raise ValueError("the search window must be at least one row")
         reach = close.search_window + 1
         row["_near"] = F.coalesce(_close(close), F.lit(False))
-        kept += ["_opens", "_until"]
+        kept += ["_opens", "_free"]
 
     def around(w) -> dict[str, Column]:
         out = {
@@ -98,12 +99,9 @@ def mark(log: OrderedLog, params: Mapping[str, object]) -> OrderedLog:
         seen = seen.having(core.running_steps(seen, numbers))
     if close:
         clear = (F.col("_pa") == 1) | ~F.col("_near")
-        freed = F.when(F.col("_reach").isNotNull() & (clear | F.col("_dies")), F.struct(F.col(step).alias("s"), F.col("_t").alias("t"), (~clear).alias("lost")))
+        free = F.when(F.col("_reach").isNotNull() & (clear | F.col("_dies")), ~clear)
         opens = F.col("_near") & (F.col("_pa") != 1) & F.col("_inside").isNotNull() & (F.col("_later") >= F.col("_l"))
-        freed_rows = seen.having(seen.df.withColumns({"_freed": freed, "_opens": F.coalesce(opens, F.lit(False))}))
-        ahead = seen.having(core.running_steps(freed_rows, {"_next": ("min", F.col("_freed"))}, reverse=True))
-        n = close.search_window
-        seen = seen.having(core.near(ahead, n, lambda w: {"_until": F.when(F.col("_opens"), F.lead("_next", n).over(w))}))
+        seen = seen.having(seen.df.withColumns({"_free": free, "_opens": F.coalesce(opens, F.lit(False))}))
     return seen.having(core.cut_lineage(seen.df.select(*log.key, step, *kept)))
 
 
@@ -144,7 +142,7 @@ def instances(log: OrderedLog, params: Mapping[str, object], maze: MazeGrid | No
         for n in means:
             add(each, n, value=F.col(n))
     if p := params.get("Caution3"):
-        spans = df.where("_opens").select(
+        spans = _close_calls(marked, p.search_window).where("_opens").select(
             *key, step.alias("start_step"), F.col("_t").alias("start_t"), F.coalesce("_until.s", "_final.s").alias("end_step"),
             F.coalesce("_until.t", "_final.t").alias("end_t"), F.coalesce("_until.lost", F.lit(False)).alias("_lost"),
         )
@@ -156,6 +154,20 @@ def instances(log: OrderedLog, params: Mapping[str, object], maze: MazeGrid | No
     return out, ends.select(*key)
 
 
+def _close_calls(marked: OrderedLog, n: int) -> DataFrame:
+    """The rows of keys in which a close call opens, with ``_until``: of an opening row, the first row that frees at least ``n``
+    rows later. Few keys have one, so the others are spared the way back through their rows."""
+    names = [f"_o{k}" for k in marked.key]
+    some = core.cut_lineage(marked.df.where("_opens").select(*[F.col(k).alias(o) for k, o in zip(marked.key, names)]).distinct())
+    if some.count() <= core.HOT_KEYS:
+        some = F.broadcast(some)
+    rows = marked.df.select(*marked.key, marked.step, "_t", "_opens", "_free", "_final")
+    rows = rows.join(some, core.null_safe(rows, some, list(zip(marked.key, names))), "left_semi")
+    freed = F.when(F.col("_free").isNotNull(), F.struct(F.col(marked.step).alias("s"), F.col("_t").alias("t"), F.col("_free").alias("lost")))
+    ahead = marked.having(core.running_steps(marked.having(rows), {"_next": ("min", freed)}, reverse=True))
+    return core.near(ahead, n, lambda w: {"_until": F.when(F.col("_opens"), F.lead("_next", n).over(w))})
+
+
 def _attack_runs(marked: OrderedLog, after: object | None, chase: bool) -> DataFrame:
     """Attack runs begun inside the key, with the approaches made in them and the few rows after them that a hunt may last."""
     step, on = F.col(marked.step), F.col("_on")

@@ -101,6 +101,14 @@ def test_the_log_is_read_and_exchanged_once(spark):
     assert initial.count("Exchange hashpartitioning") == 1 and initial.count("Scan") == 1
 
 
+def test_rows_are_marked_in_one_direction(spark, monkeypatch):
+    """No window of the marks goes back through all rows; close calls do so in the keys that have one."""
+    log, set_up, seen = make_log(spark, busy_rows(3, 20)), bh.Behaviours(maze=walls(spark)), []
+    monkeypatch.setattr(core, "cut_lineage", lambda df: (seen.append(df._jdf.queryExecution().executedPlan().toString()), df)[1])
+    detector_pass.mark(log, {"Caution3": set_up.parameters("Caution3")})
+    assert "Window" in seen[0] and "DESC" not in seen[0]
+
+
 def test_nothing_chosen_or_no_maze_is_an_error(spark):
     log = make_log(spark, busy_rows(3, 5))
     with pytest.raises(ValueError):
