@@ -185,3 +185,20 @@ def test_density_clusters_store_few_links(spark, monkeypatch):
         monkeypatch.setattr(cl, "EDGES_AT_ONCE", most)
         got = cl.density_clusters(spark.range(250), edges, 3, 4).collect()
         assert {r.id: r.label for r in got} == want
+
+
+def test_features_look_at_single_pairs_once_few_are_left():
+    rng = np.random.default_rng(9)
+    phi_a, phi_b, reach = rng.normal(size=(60, 5)), rng.normal(size=(70, 5)), rng.uniform(0.1, 2.0, (60, 70))
+    phi_a[:, 0] *= 40
+    looked = []
+
+    class Counted(np.ndarray):
+        def __getitem__(self, at):
+            got = super().__getitem__(at)
+            looked.append(np.size(got))
+            return got
+
+    keep = blocks.close_mask(phi_a, phi_b, reach.view(Counted))
+    assert (keep == (np.abs(phi_a[:, None] - phi_b[None]) <= reach[:, :, None]).all(axis=2)).all() and keep.any()
+    assert looked and max(looked) < reach.size / 8
